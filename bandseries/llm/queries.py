@@ -1,8 +1,8 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, mixing, neardup, quality, secrets, sharding, tokens, urls, warc
+from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, tokens, urls, warc
 
-MODULES = (mixing, secrets, warc, neardup, quality, decontaminate, urls, sharding, tokens)
+MODULES = (mixing, secrets, warc, neardup, quality, pii, decontaminate, urls, sharding, tokens)
 
 
 def queries() -> dict:
