@@ -15,15 +15,50 @@ from .common import table
 
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 
-PATTERN = re.compile(
-    r"""(?P<email>[^\s@<>()\[\],;:"'|=]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24})"""
-    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+EMAIL = re.compile(r"""[^\s@<>()\[\],;:"'|=]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}""")
+LOCAL_END = re.compile(r"""[\s@<>()\[\],;:"'|=]""")
+NUMBER = re.compile(
+    r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![\w.+-])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
     r"|(?<![\w.+-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-]|\.\d)"
     r"|(?<![\w.-])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w-]|\.\d)"
     r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,5})(?![\w-]|\.\d)"
-    r"|(?<![\w.-])(?P<card>\d(?:[\x20-]?\d){12,18})(?![\w-]|\.\d)"
+    r"|(?<![\w.-])(?P<card>\d(?:[\x20-]?\d){12,18})(?![\w-]|\.\d)",
+    re.A,
 )
+DIGITS = re.compile("[0-9]+")
+#: A number's first digit is at most this far from its start: two letters, or a plus sign or bracket.
+LEAD = 2
+
+
+def values(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what looks like a value, in order: mail addresses, and numbers outside these."""
+    mails, at = [], text.find("@")
+    while at >= 0:
+        begin = max(at - 64, mails[-1][1] if mails else 0)
+        stops = list(LOCAL_END.finditer(text, begin, at))
+        m = EMAIL.match(text, stops[-1].end() if stops else begin)
+        if m:
+            mails.append((m.start(), m.end()))
+        at = text.find("@", m.end() if m else at + 1)
+    done, k = 0, 0
+    for run in DIGITS.finditer(text):
+        while k < len(mails) and mails[k][1] <= run.start():
+            done = max(done, mails[k][1])
+            yield "email", *mails[k]
+            k += 1
+        inside = k < len(mails) and mails[k][0] < run.end()
+        if inside or run.start() < done:
+            continue
+        for p in range(max(done, run.start() - LEAD), run.start() + 1):
+            m = NUMBER.match(text, p)
+            if m and not (k < len(mails) and mails[k][0] < m.end()):
+                yield m.lastgroup, m.start(), m.end()
+                done = m.end()
+                break
+    for mail in mails[k:]:
+        yield "email", *mail
+
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -72,7 +107,7 @@ def luhn(digits: str) -> int:
 def _refill(text: str, digits: str) -> str:
     """text with its digits exchanged, one by one."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in text)
+    return "".join(next(it) if "0" <= c <= "9" else c for c in text)
 
 
 def _mod97(text: str) -> int:
@@ -166,16 +201,14 @@ class Pseudonyms:
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and what was replaced: (kind, start, end) in the text as it was."""
-        found = []
-
-        def one(m: re.Match) -> str:
-            new = self.of(m.lastgroup, m[0])
-            if new is None:
-                return m[0]
-            found.append((m.lastgroup, m.start(), m.end()))
-            return new
-
-        return PATTERN.sub(one, text), found
+        found, out, last = [], [], 0
+        for kind, start, end in values(text):
+            new = self.of(kind, text[start:end])
+            if new is not None:
+                found.append((kind, start, end))
+                out += [text[last:start], new]
+                last = end
+        return "".join((*out, text[last:])), found
 
 
 def _run(key: str):
