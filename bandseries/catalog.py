@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import learning, series
+
 
 def queries() -> dict:
-    return {}
+    return series.QUERIES | learning.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return series.ORACLE | learning.ORACLE
