@@ -23,7 +23,7 @@ CODE_POINT[0x80:0xC0] = False
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
 #: The transformed statistics, and the spread that each has at least: differences below it are no sign of bad text.
-FLOORS = {"log_words": 1.0, "log_word_chars": 0.15, "log_symbols": 0.5, "dup_lines": 0.15, "repeat_words": 0.05, "log_upper": 0.5}
+FLOORS = {"log_words": 1.0, "log_word_chars": 0.15, "log_symbols": 0.4, "dup_lines": 0.15, "repeat_words": 0.05, "log_upper": 0.5}
 DIMS = len(FLOORS)
 
 
@@ -171,7 +171,7 @@ def fit_mcd(rows: DataFrame, keep: float = 0.75, steps: int = 3) -> DataFrame:
     return _moments(_distance(rows, params).filter(F.col("d2") <= chi2_quantile(0.975, DIMS)), 1.0, "mcd-last")
 
 
-def judge(docs: DataFrame, reject: float = 1e-9, least: int = 200) -> DataFrame:
+def judge(docs: DataFrame, reject: float = 1e-4, least: int = 200) -> DataFrame:
     """doc_id, key, COUNTS, base_failed, d2 and kept of every row of docs (doc_id, text, lang, source).
 
     A row fails outright with under 10 words or over 20 % repeated words.  The other rows give the estimates: per
