@@ -93,12 +93,12 @@ def trials(family: str, n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def search(rows: DataFrame, family: str, n: int, folds: int = 5, balance: bool = False, key: str = "id", seed: int = 42, parallelism: int = 4) -> tuple[CrossValidatorModel, DataFrame]:
+def search(rows: DataFrame, family: str, n: int, folds: int = 5, balance: bool = False, key: str = "id", seed: int = 42, parallelism: int = 4, **fixed) -> tuple[CrossValidatorModel, DataFrame]:
     """The refitted best model, and (trial, f1, params): mean weighted F1 over stratified folds of each trial.
 
-    rows: key, features (vector), label (double).
+    rows: key, features (vector), label (double); `fixed` are parameters that all trials share.
     """
-    base = classifier(family)
+    base = classifier(family, **fixed)
     grid = [{base.getParam(k): v for k, v in t.items()} for t in trials(family, n, seed)]
     cv = CrossValidator(estimator=BalancedClassifier(base, balance, key, seed), estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, foldCol="fold", parallelism=parallelism)
     model = cv.fit(stratified_folds(rows, "label", key, folds, seed))

@@ -184,7 +184,7 @@ def gbt_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cv_objective(spark: SparkSession, d: str) -> DataFrame:
-    return models.search(binary_rows(spark, d), "linear", 2, folds=3, balance=True)[1].select("trial", "f1")
+    return models.search(binary_rows(spark, d), "linear", 2, folds=3, balance=True, maxIter=10)[1].select("trial", "f1")
 
 
 def batch_scoring(spark: SparkSession, d: str) -> DataFrame:
