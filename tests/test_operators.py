@@ -189,7 +189,7 @@ def test_models(spark):
     r = np.random.default_rng(2)
     x = r.normal(0, 1, (240, 3))
     y = (x[:, 0] + 0.3 * x[:, 1] > 0.8).astype(float)
-    data = models.with_vector(spark.createDataFrame([(k, [*map(float, v)], c) for k, (v, c) in enumerate(zip(x, y, strict=True))], "id long, a array<double>, label double"), "a").drop("a")
+    data = models.with_vector(spark.createDataFrame([(k, [*map(float, v)], float(c)) for k, (v, c) in enumerate(zip(x, y, strict=True))], "id long, a array<double>, label double"), "a").drop("a")
     got = models.score(models.fit(data, "linear", balance=True, maxIter=20), data, "m").collect()
     assert sum(r["pred"] == r["label"] for r in got) > 0.9 * len(got)
     assert models.trials("forest", 3) == models.trials("forest", 9)[:3]
