@@ -47,6 +47,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def joined_by(docs: DataFrame, keys: list[Column], other: DataFrame, how: str) -> DataFrame:
+    """docs as a struct `_row` joined with `other`, whose first columns are the keys (nulls are equal); no names clash."""
+    packed = docs.select(F.struct("*").alias("_row"), *(k.alias(f"_key{i}") for i, k in enumerate(keys)))
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"_key{i}").eqNullSafe(F.col(other.columns[i]))
+    return packed.join(small(other), on, how)
+
+
+def without(docs: DataFrame, keys: list[Column], bad: DataFrame) -> DataFrame:
+    """The rows of docs whose keys aren't rows of `bad`, with the columns of docs."""
+    return joined_by(docs, keys, bad, "left_anti").select("_row.*")
+
+
 def salt(*columns: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
@@ -71,7 +85,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, per_bucket: int = 20_000, weight: str | None = None, rows: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, per_bucket: int = 4_000, weight: str | None = None, rows: int | None = None) -> DataFrame:
     """Adds `out`: the 0-based rank of each row in its group, or, with `weight`, the sum of the weights before it.
 
     Rows are dealt into buckets by a hash of `order`, so the order is a fixed shuffle; groups must have no nulls.

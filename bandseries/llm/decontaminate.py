@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, stored, table
+from .common import small, stored, table, without
 
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -140,9 +140,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns of docs."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return keyed.join(small(stored(found, "contaminated")), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").drop("_text_hash")
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    found = stored(found.select(F.col("doc_id").alias("_bad"), F.col("hash").alias("_hash")).distinct(), "contaminated")
+    return without(docs, [F.col("doc_id"), F.xxhash64("text")], found)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

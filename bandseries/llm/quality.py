@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chi2_quantile, small, stored, table
+from .common import chi2_quantile, small, stored, table, without
 from .textnum import SPACE, Hasher, U, blocks, mix, shingles, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -198,9 +198,8 @@ def judge(docs: DataFrame, reject: float = 1e-4, least: int = 200) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    bad = stored(judge(docs).filter("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct(), "quality-rejects")
-    keyed = docs.withColumn("_row_key", F.xxhash64("text", "lang", "source"))
-    return keyed.join(small(bad), (F.col("_row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").drop("_row_key")
+    bad = stored(judge(docs).filter("NOT kept").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_hash")).distinct(), "quality-rejects")
+    return without(docs, [F.col("doc_id"), F.xxhash64("text", "lang", "source")], bad)
 
 
 def op5_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
