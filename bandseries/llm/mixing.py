@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import numbered, small, stored, table, word_count
+from .common import joined_by, numbered, small, stored, table, word_count
 
 #: Words in a block, about; each source has blocks of one length near it.
 BLOCK = 64
@@ -52,7 +52,8 @@ def schedule(targets: DataFrame, bits: int) -> DataFrame:
     runs = targets.withColumn("first", F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     runs = runs.filter("slots > 0").select("rank", "blocks", "first", F.expr("first + slots").alias("end"))
     pieces = runs.select("rank", "blocks", "end", F.explode(F.expr(f"sequence(first, end - 1, {CHUNK}L)")).alias("from"))
-    pieces = pieces.repartition("from").select("rank", "blocks", F.explode(F.expr(f"sequence(from, least(from + {CHUNK}L, end) - 1)")).alias("step"))
+    # By a number of partitions: by size, a few rows that stand for many would end up in one.
+    pieces = pieces.repartition(max(1, (1 << bits) // (2 * CHUNK)), "from").select("rank", "blocks", F.explode(F.expr(f"sequence(from, least(from + {CHUNK}L, end) - 1)")).alias("step"))
     slots = pieces.select("rank", "blocks", van_der_corput(bits, F.col("step")).alias("slot"))
     # Turns: stretches of slots are counted for each source, then numbered inside; a source never meets in one task.
     slots = slots.withColumn("part", F.expr(f"slot div {CHUNK}"))
@@ -60,7 +61,7 @@ def schedule(targets: DataFrame, bits: int) -> DataFrame:
     before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("rank", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("rank", "part").orderBy("slot")
-    turned = slots.join(counts, ["rank", "part"]).withColumn("turn", F.col("base") + F.row_number().over(inside) - 1)
+    turned = slots.hint("merge").join(counts, ["rank", "part"]).withColumn("turn", F.col("base") + F.row_number().over(inside) - 1)
     return turned.select("slot", "rank", "turn", F.expr("turn % blocks").alias("block"))
 
 
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, bl
     spans = F.when(F.col("size") > 0, F.expr("sequence(offset div length, (offset + size - 1) div length)"))
     parts = lined.select("row", "doc_id", "hash", "source", "size", "source_size", "target", "rank", "offset", "length", F.explode_outer(spans).alias("block"))
     share = F.expr("least(offset + size, (block + 1) * length) - greatest(offset, block * length)")
-    parts = parts.withColumn("share", share).join(takes, ["rank", "block"], "left")
+    parts = parts.withColumn("share", share).join(takes.hint("merge"), ["rank", "block"], "left")
     keys = ["row", "doc_id", "hash", "source", "size", "source_size", "target"]
     return parts.groupBy(*keys).agg(F.coalesce(F.sum(F.col("share") * F.coalesce("times", F.lit(0))), F.lit(0)).cast("long").alias("taken")).drop("row")
 
@@ -102,10 +103,10 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, bl
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with each row as many times as the mix takes it (0 to 3: taken / size, rounded), with the columns of docs."""
     taken = mix(docs).groupBy("doc_id", "hash").agg(F.max("size").alias("_size"), F.avg("taken").alias("_taken")).filter("_taken > 0")
-    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"), F.round(F.col("_taken") / F.col("_size")).cast("int").alias("_times"))
-    keyed = docs.withColumn("_row_hash", F.xxhash64("doc_id", "text"))
-    found = keyed.join(taken.filter("_times > 0"), (F.col("_row_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = F.round(F.col("_taken") / F.col("_size")).cast("int").alias("_times")
+    taken = stored(taken.select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"), times).filter("_times > 0"), "times")
+    found = joined_by(docs, [F.col("doc_id"), F.xxhash64("doc_id", "text")], taken, "inner")
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
