@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,18 @@ SPACES = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
+class Chunks(dict):
+    """Chunk to its number; an unknown chunk is encoded first."""
+
+    def __init__(self, add) -> None:
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, chunk: str) -> int:
+        k = self[chunk] = self.add(chunk)
+        return k
+
+
 class Encoder:
     """Ids of whole texts, by the tokenizers library; the ids of chunks seen before are looked up.
 
@@ -33,61 +46,119 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Split
 
         self.whole = Tokenizer.from_file(path)
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.pieces = ByteLevel(add_prefix_space=False, use_regex=True)
         self.model = self.whole.model
-        self.plain = re.compile(" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+)")
+        # Chunks that are cut into pieces as plainly as this: a line end, a word or number, marks.
+        self.plain = re.compile(r"(\n?)((?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+)?)([!-/:-@\[-`{-~]*)").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.bytes = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        # The model alone, over pieces in the library's letters for bytes; bytes 0 and 1 stand after chunks and pieces.
+        self.words = Tokenizer(self.model)
+        self.words.pre_tokenizer = Split(Regex(f"[{chr(self.bytes[0])}{chr(self.bytes[1])}]"), "isolated")
+        self.ends = [self.whole.token_to_id(chr(self.bytes[k])) for k in (0, 1)]
         self.held = held
         self.clear()
 
     def clear(self) -> None:
-        self.of: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.of = Chunks(self._add)
+        self.after_space = Chunks(lambda rest: self._add(rest if rest[:1] == "\n" else " " + rest))
+        self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, chunk: str) -> None:
-        if self.plain.fullmatch(chunk):  # one piece for sure
-            pieces = [chunk.encode().decode("latin-1").translate(self.bytes)]
-        else:
-            pieces = [p for p, _ in self.pieces.pre_tokenize_str(chunk)]
-        ids = [t.id for p in pieces for t in self.model.tokenize(p)]
-        k = len(self.of)
-        if k == len(self.begin):
-            self.begin, self.length = np.resize(self.begin, 2 * k), np.resize(self.length, 2 * k)
+    def _store(self, ids: list[int] | np.ndarray, lengths: np.ndarray) -> int:
+        """Keeps the ids of new chunks; the first one's number."""
+        first, n = self.n, self.n + len(lengths)
+        if n > len(self.begin):
+            size = max(n, 2 * len(self.begin))
+            self.begin, self.length = np.resize(self.begin, size), np.resize(self.length, size)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
-        self.begin[k], self.length[k] = self.used, len(ids)
+        self.length[first:n] = lengths
+        self.begin[first:n] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.of[chunk] = k
+        self.n = n
+        return first
+
+    def _add(self, chunk: str) -> int:
+        ids = [t.id for p, _ in self.pieces.pre_tokenize_str(chunk) for t in self.model.tokenize(p)]
+        return self._store(ids, np.asarray([len(ids)]))
+
+    def learn(self, texts: list[str]) -> None:
+        """Encodes the unknown words of many texts in one call."""
+        if self.n > self.held:
+            self.clear()
+        new = set()
+        for text in texts:
+            new.update(text.replace("\n", " \n").split(" "))
+        names, shown = [], []
+        for chunk in new:
+            if chunk not in self.after_space and chunk and (m := self.plain(chunk)):
+                line, word, marks = m.groups()
+                names.append(chunk)
+                if line:
+                    shown += [line, "\1", word, "\1", marks]
+                else:
+                    shown += [" ", word, "\1" if word else "", marks]
+                shown.append("\0")
+        if names:
+            joined = "".join(shown).encode().decode("latin-1").translate(self.bytes)
+            some = [m.end() for m in islice(re.finditer(chr(self.bytes[0]), joined), 31, None, 32)]
+            runs = [joined[a:z] for a, z in zip([0, *some], [*some, len(joined)], strict=True)]
+            got = self.words.encode_batch_fast([r for r in runs if r], add_special_tokens=False)
+            ids = np.asarray([k for g in got for k in g.ids], np.uint32)
+            ids = ids[ids != self.ends[1]]
+            ends = np.flatnonzero(ids == self.ends[0])
+            first = self._store(ids[ids != self.ends[0]], np.diff(ends, prepend=-1) - 1)
+            self.after_space.update(zip(names, range(first, first + len(names)), strict=True))
+
+    def _numbers(self, text: str) -> np.ndarray:
+        """The numbers of the text's chunks.
+
+        Where white space is never doubled, the text is cut at its spaces and before its line ends, which is quicker.
+        """
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or text[:1] in " \n":
+            chunks = CHUNK.findall(text)
+            return np.fromiter(map(self.of.__getitem__, chunks), np.int64, len(chunks))
+        chunks = text.replace("\n", " \n").split(" ")
+        out = np.fromiter(map(self.after_space.__getitem__, chunks[1:]), np.int64, len(chunks) - 1)
+        return np.concatenate(([self.of[chunks[0]]], out))
 
     def encode(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
         if any(s in text for s in self.special):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = CHUNK.findall(text)
-        if len(self.of) + len(chunks) > self.held:
-            self.clear()
-        of = self.of
-        for c in chunks:
-            if c not in of:
-                self._add(c)
-        at = np.fromiter(map(of.__getitem__, chunks), np.int64, len(chunks))
-        n = self.length[at]
-        step = np.ones(int(n.sum()), np.int64)
-        if not len(step):
-            return np.zeros(0, np.uint32)
-        ends = np.cumsum(n)
-        begin = self.begin[at]
-        step[0] = begin[0]
-        step[ends[:-1]] = begin[1:] - (begin[:-1] + n[:-1] - 1)
-        return self.flat[np.cumsum(step)]
+        numbers = self._numbers(text)  # first: it may replace the tables
+        return gather(self.flat, self.begin, self.length, numbers)
+
+
+    def encoded(self, batch: pa.RecordBatch, at_once: int = 128) -> Iterator[tuple[int | None, np.ndarray]]:
+        """doc_id and ids of each row (doc_id, text); null is an empty text."""
+        for i in range(0, batch.num_rows, at_once):
+            part = batch.slice(i, at_once)
+            texts = [t or "" for t in part["text"].to_pylist()]
+            self.learn(texts)
+            yield from zip(part["doc_id"].to_pylist(), map(self.encode, texts), strict=True)
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs flat[begin[k] : begin[k] + length[k]] for each k of at, one after the other; no run is empty."""
+    n = length[at]
+    ends = np.cumsum(n)
+    if not len(ends):
+        return np.zeros(0, flat.dtype)
+    step = np.ones(int(ends[-1]), np.int64)
+    first = begin[at]
+    step[0] = first[0]
+    step[ends[:-1]] = first[1:] - (first[:-1] + n[:-1] - 1)
+    return flat[np.cumsum(step, out=step)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -100,57 +171,63 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 12, per_round: int = 4096, first: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int = 4096, first: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): each round replaces the most frequent pairs of neighbours by new nonterminals.
 
-    Rule k makes symbol `first` + k of the pair rules[k].  Pairs that occur fewer than `least` times stay.  Where
+    Rule k makes symbol `first` + k of the pair rules[k].  Pairs that occur fewer than `least` times stay.  Pairs are
+    counted in 2**20 slots by a hash; of two pairs in one slot one waits for a later round and its other hash.  Where
     replaceable pairs overlap, the more frequent one is replaced, and in a run of one symbol every other pair.  No
-    pair begins with END, so no rule reaches over the end of a document.
+    pair has END in it, so no rule reaches over the end of a document.
     """
     seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
     symbols = first
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(seq) < 2 * least:
             break
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        free = seq[:-1] != END
-        free &= seq[1:] != END
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)  # 2**20 counters
-        heavy = np.bincount(slot[free], minlength=1 << 20) >= least
-        some = np.flatnonzero(heavy[slot] & free)
+        ends = np.flatnonzero(seq == END)
+        slot = ((pair * np.uint64(0x9E3779B97F4A7C15 + 2 * turn * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(44)).astype(np.int64)
+        rough = np.bincount(slot, minlength=1 << 20)
+        often = rough[rough >= least]
+        cut = int(np.partition(often, -per_round)[-per_round]) if len(often) > per_round else least
+        some = np.flatnonzero((rough >= cut)[slot])
+        dead = np.zeros(len(seq) + 1, bool)
+        dead[ends], dead[ends - 1] = True, True  # entry -1 stands for the place before the first
+        some = some[~dead[some]]
         if not len(some):
             break
-        keys, where, count = np.unique(pair[some], return_inverse=True, return_counts=True)
-        top = np.lexsort((keys, -count))[:per_round]
-        top = top[count[top] >= least]
+        mine, wants = slot[some], pair[some]
+        held = np.zeros(1 << 20, np.uint64)
+        held[mine] = wants
+        same = held[mine] == wants
+        some, mine = some[same], mine[same]
+        count = np.bincount(mine, minlength=1 << 20)
+        top = np.flatnonzero(count >= least)
+        top = top[np.argsort(-count[top], kind="stable")[:per_round]]
         if not len(top):
             break
-        rank = np.full(len(keys), len(top), np.int64)
-        rank[top] = np.arange(len(top))
-        order = np.full(len(seq) + 1, len(top), np.int64)  # order[i + 1]: rank of the pair at i
-        order[some + 1] = rank[where]
-        order[0] = len(top)
-        here = order[1:]
-        # In a run of equal ranks (a run of one symbol), keep every other one.
-        at = np.flatnonzero(here < len(top))
-        new_run = np.ones(len(at), bool)
-        new_run[1:] = (at[1:] != at[:-1] + 1) | (here[at[1:]] != here[at[:-1]])
-        begin = np.flatnonzero(new_run)
-        even = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
-        drop = at[~even]
-        here[drop] = len(top)
-        left = order[:-1]
-        right = np.append(here[1:], len(top))
-        take = np.flatnonzero((here < len(top)) & (here < left) & (here < right))
+        none = len(top)
+        rank = np.full(1 << 20, none, np.int32)
+        rank[top] = np.arange(none)
+        order = np.full(len(seq) + 1, none, np.int32)  # order[i + 1]: rank of the pair at i; nothing at both ends
+        order[some + 1] = rank[mine]
+        here = order[1:-1]
+        at = np.flatnonzero(here < none)
+        run = np.ones(len(at), bool)  # starts of runs of one pair, which are runs of one symbol
+        run[1:] = (at[1:] != at[:-1] + 1) | (here[at[1:]] != here[at[:-1]])
+        begin = np.flatnonzero(run)
+        odd = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 1
+        here[at[odd]] = none
+        mid = order[at + 1]
+        take = at[(mid < none) & (mid < order[at]) & (mid < order[at + 2])]
         if not len(take):
             break
         used, which = np.unique(here[take], return_inverse=True)
-        seq = seq.copy()
         seq[take] = (symbols + which).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
         seq = seq[keep]
-        chosen = keys[top[used]]
+        chosen = held[top[used]]
         rules.append(np.stack(((chosen >> np.uint64(32)), chosen & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         symbols += len(used)
     return seq, np.concatenate(rules)
@@ -177,13 +254,23 @@ def _expand(symbols: np.ndarray, rules: np.ndarray, first: int = 1 << 16) -> np.
 
 def decode(sequence: np.ndarray, rules: np.ndarray, length: np.ndarray, start: int = 0, stop: int | None = None, first: int = 1 << 16) -> np.ndarray:
     """The ids [start, stop) of a shard: only symbols that reach into the range are expanded."""
-    ends = np.cumsum(np.where(sequence >= first, length[np.maximum(sequence, first) - first] if len(length) else 1, 1))
+    rule = np.maximum(sequence, first).astype(np.int64) - first
+    n = np.where(sequence >= first, length[rule], 1) if len(length) else np.ones(len(sequence), np.int64)
+    ends = np.cumsum(n)
     stop = int(ends[-1]) if stop is None and len(ends) else (stop or 0)
     if start >= stop:
         return np.zeros(0, np.uint32)
-    lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop - 1, "right") + 1
+    lo, hi = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop - 1, "right")) + 1
     before = int(ends[lo - 1]) if lo else 0
-    return _expand(sequence[lo:hi], rules, first)[start - before : stop - before]
+    some, rule = sequence[lo:hi], rule[lo:hi]
+    used, rule = np.unique(rule[some >= first], return_inverse=True)
+    # Each rule in use is expanded once; the sequence then takes its runs from these and from its own plain ids.
+    flat = np.concatenate((_expand((used + first).astype(np.uint32), rules, first), some[some < first]))
+    runs = np.concatenate((length[used], np.ones(int((some < first).sum()), np.int64)))
+    number = np.empty(len(some), np.int64)
+    number[some >= first] = rule
+    number[some < first] = len(used) + np.arange(int((some < first).sum()))
+    return gather(flat, np.cumsum(runs) - runs, runs, number)[start - before : stop - before]
 
 
 SHARDS = (
@@ -209,8 +296,7 @@ def _pack(path: str, shard_ids: int):
         shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32  # ranges and their tasks are in one order
         coder, docs, ids, held = encoder(path), [], [], 0
         for b in batches:
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                own = coder.encode(text.as_py()) if text.is_valid else np.zeros(0, np.uint32)
+            for doc, own in coder.encoded(b):
                 docs.append(doc)
                 ids.append(np.append(own, np.uint32(END)))
                 held += len(ids[-1])

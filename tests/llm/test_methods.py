@@ -118,7 +118,11 @@ def test_chunked_encoding_equals_the_library():
     r = random.Random(2)
     alphabet = [" ", " ", "\n", "\t", "\r\n", "a", "B", "é", "'s", "'", "12", "³", "!?", "<|endoftext|>", "\xa0", " ", "　", "\x1c", "\x85", "日本", "word"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]
-    assert [own.encode(t).tolist() for t in texts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["\n".join(" ".join(r.choice(["Ab", "cd,", "(e)", "f'", "'s", "12", "3.5", "é!", "...", "don't", "\x00", "\x01z", "x\ty"]) for _ in range(6)) for _ in range(3)) for _ in range(500)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [own.encode(t).tolist() for t in texts] == want
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert [x.tolist() for _, x in own.encoded(batch)] == want
 
 
 def test_feistel_is_a_permutation_without_fixed_points():
