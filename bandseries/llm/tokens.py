@@ -42,7 +42,7 @@ class Encoder:
     At most `held` chunks are remembered in a worker process; then the table starts afresh.
     """
 
-    def __init__(self, path: str, held: int = 1_500_000) -> None:
+    def __init__(self, path: str, held: int = 500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
