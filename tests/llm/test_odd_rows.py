@@ -85,6 +85,14 @@ def test_near_duplicate_values(odd):
     assert all(d == c for d, c in rows if d in (3, 4, 5, 6))
 
 
+def test_dedup_judges_each_text_of_an_id(spark):
+    copied, own, other, third = (" ".join(f"{w}{k}" for k in range(12)) for w in "abcd")
+    rows = [(1, copied), (None, copied), (None, own), (None, None), (2, copied), (2, other), (2, other), (3, third), (4, third)]
+    kept = neardup.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(1, copied), (None, own), (None, None), (2, other), (2, other), (3, third)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_contamination_values(odd, items):
     got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(odd, items).collect()}
     assert got[1, 12] == (8, 2, True)
