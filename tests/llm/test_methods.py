@@ -162,6 +162,18 @@ def test_secret_spans():
         assert kinds(fine) == []
 
 
+def test_secrets_after_an_equals_sign():
+    import public_tokenizers
+
+    test = secrets.Efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), 1.9)
+    key = "Zk39vQx81LmPqT7sYw2B"
+    for before in ("pwd=", "auth=", "DB_KEY=", "https://a.org/x?sig=", "A_LONG_NAME_OF_A_VARIABLE="):
+        for after in ("", "==", "&next=1", '"'):
+            (kind, a, z), = secrets.spans(f"{before}{key}{after} end", test)
+            assert (kind, a) == ("random", len(before)) and z == len(before) + len(key) + (2 if after == "==" else 0)
+    assert secrets.spans("id=550e8400-e29b-41d4-a716-446655440000 name=getHttpResponseCodeForRequest", test) == []
+
+
 def test_segmentation_and_bayes(spark):
     s = urls.Segmenter({"cheap": 50, "pills": 40, "the": 900, "rapist": 5, "therapist": 30})
     assert s.words("cheappills.example", "/x")[:2] == ["h:cheap", "h:pills"]
