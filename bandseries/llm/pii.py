@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -17,29 +17,55 @@ KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 
 EMAIL = re.compile(r"""[^\s@<>()\[\],;:"'|=]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}""")
 LOCAL_END = re.compile(r"""[\s@<>()\[\],;:"'|=]""")
-NUMBER = re.compile(
-    r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?<![\w.+-])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
-    r"|(?<![\w.+-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-]|\.\d)"
-    r"|(?<![\w.-])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w-]|\.\d)"
-    r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,5})(?![\w-]|\.\d)"
-    r"|(?<![\w.-])(?P<card>\d(?:[\x20-]?\d){12,18})(?![\w-]|\.\d)",
-    re.A,
-)
+#: Numbers by kind, in the order in which they are tried: what may stand before one, its form, what may not follow.
+NUMBERS = [
+    (kind, re.compile(before + form, re.A), re.compile(form, re.A), re.compile(after, re.A))
+    for kind, before, form, after in (
+        ("iban", r"(?<![A-Za-z0-9])", r"[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
+        ("date", r"(?<![\w.+-])", r"\d{4}-\d{2}-\d{2}", r"(?=[Tt]\d{2})|(?![\w/-]|\.\d)"),
+        ("date", r"(?<![\w.+-])", r"\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}", r"(?![\w/-]|\.\d)"),
+        ("ssn", r"(?<![\w.+-])", r"\d{3}-\d{2}-\d{4}", r"(?![\w-]|\.\d)"),
+        ("ip", r"(?<![\w.-])", r"\d{1,3}(?:\.\d{1,3}){3}", r"(?![\w-]|\.\d)"),
+        ("phone", r"(?<!\w)", r"(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,5}", r"(?!\w|-(?!\d)|\.\d)"),
+        ("card", r"(?:(?<![\w.-])|(?<=\d-))", r"\d(?:[\x20-]?\d){12,18}", r"(?!\w|-(?!\d)|\.\d)"),
+    )
+]
+#: Most characters of a number with its separators, and where one may end.
+LONGEST, BORDER = 48, re.compile(r"(?<=[A-Z0-9])(?:(?![A-Za-z0-9])|(?=[Tt]\d))", re.A)
 DIGITS = re.compile("[0-9]+")
 #: A number's first digit is at most this far from its start: two letters, or a plus sign or bracket.
 LEAD = 2
 
 
-def values(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of what looks like a value, in order: mail addresses, and numbers outside these."""
+def number_at(text: str, start: int, stop: int, pseudonym: Callable[[str, str], str | None]) -> tuple[str, int, int, str] | None:
+    """The valid number that starts there and ends by `stop`, as (kind, start, end, pseudonym).
+
+    Kinds are tried in order and each at every end that its form has, the longest first: an invalid long match hides
+    neither a shorter valid one nor another kind.
+    """
+    ends = None
+    for kind, begins, form, after in NUMBERS:
+        if not begins.match(text, start, stop):
+            continue
+        if ends is None:
+            ends = [m.start() for m in BORDER.finditer(text, start + 1, min(start + LONGEST + 1, len(text))) if m.start() <= stop][::-1]
+        for end in ends:
+            if after.match(text, end) and form.fullmatch(text, start, end):
+                new = pseudonym(kind, text[start:end])
+                if new is not None:
+                    return kind, start, end, new
+    return None
+
+
+def values(text: str, pseudonym: Callable[[str, str], str | None]) -> Iterator[tuple[str, int, int, str]]:
+    """(kind, start, end, pseudonym) of the values, in order: mail addresses, and valid numbers outside these."""
     mails, at = [], text.find("@")
     while at >= 0:
         begin = max(at - 64, mails[-1][1] if mails else 0)
         stops = list(LOCAL_END.finditer(text, begin, at))
         m = EMAIL.match(text, stops[-1].end() if stops else begin)
         if m:
-            mails.append((m.start(), m.end()))
+            mails.append((m.start(), m.end(), pseudonym("email", m[0])))
         at = text.find("@", m.end() if m else at + 1)
     done, k = 0, 0
     for run in DIGITS.finditer(text):
@@ -51,10 +77,10 @@ def values(text: str) -> Iterator[tuple[str, int, int]]:
         if inside or run.start() < done:
             continue
         for p in range(max(done, run.start() - LEAD), run.start() + 1):
-            m = NUMBER.match(text, p)
-            if m and not (k < len(mails) and mails[k][0] < m.end()):
-                yield m.lastgroup, m.start(), m.end()
-                done = m.end()
+            found = number_at(text, p, mails[k][0] if k < len(mails) else len(text), pseudonym)
+            if found:
+                yield found
+                done = found[2]
                 break
     for mail in mails[k:]:
         yield "email", *mail
@@ -202,12 +228,10 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and what was replaced: (kind, start, end) in the text as it was."""
         found, out, last = [], [], 0
-        for kind, start, end in values(text):
-            new = self.of(kind, text[start:end])
-            if new is not None:
-                found.append((kind, start, end))
-                out += [text[last:start], new]
-                last = end
+        for kind, start, end, new in values(text, self.of):
+            found.append((kind, start, end))
+            out += [text[last:start], new]
+            last = end
         return "".join((*out, text[last:])), found
 
 
@@ -235,7 +259,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     digits, IPv4 addresses four octets, US social security numbers assignable parts.  A value's digits (of mail
     addresses the letters and digits before the @) are permuted under `key` within its format: separators, lengths, a
     card's first digit and its check digits, country codes and mail domains stay valid.  No value keeps its own text, and
-    equal values get equal pseudonyms in all documents; invalid look-alikes stay.  A null text stays null; repeated
+    equal values get equal pseudonyms in all documents; invalid look-alikes stay, but a valid value inside a longer invalid
+    run, between its separators, does not.  A null text stays null; repeated
     rows and null doc_ids are ordinary rows; other columns are not read.  One narrow pass, no shuffle.
     """
     return docs.select("doc_id", "text").mapInArrow(_run(key), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string")

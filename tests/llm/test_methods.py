@@ -149,6 +149,28 @@ def test_pseudonyms():
         assert not set(text.split()) & set(p.replace(text)[0].split()) - {"mail", "call", "from", "+1"}
 
 
+@pytest.mark.parametrize("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005"])
+def test_cards_in_longer_runs(card):
+    for before, after in (("", " 123"), ("", " 12/27"), ("", "-123"), ("", " 12 34 56"), ("77 ", ""), ("12-", " 9"), ("+1 ", " 1"), ("no. 5 ", "-1234")):
+        text = f"{before}{card}{after}"
+        new, found = pii.Pseudonyms("k").replace(text)
+        assert found and card not in new, text
+
+
+def test_numbers_in_longer_runs():
+    p = pii.Pseudonyms("k")
+    for iban in ("ES9121000418450200051332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"):
+        for before, after in (("", " PAGO"), ("", " EUR"), ("", " 12"), ("AB12 ", " Q")):
+            new, found = p.replace(f"{before}{iban}{after}")
+            assert [(k, a, z) for k, a, z in found] == [("iban", len(before), len(before) + len(iban))] and iban not in new
+    for text in ("2024-01-02T10:00", "at 2024-01-02T10:00:00Z"):
+        assert [k for k, _, _ in p.replace(text)[1]] == ["date"] and "2024-01-02" not in p.replace(text)[0]
+    new, found = p.replace("+49 30 1234 5678 2024 1000")
+    assert [k for k, _, _ in found] == ["phone"] and "1234 5678" not in new
+    for kept in ("2024-01-02Total", "4111111111111112 123", "ES9121000418450200051333 PAGO", "12345678901234567890123"):
+        assert p.replace(kept) == (kept, [])
+
+
 def test_secret_spans():
     import public_tokenizers
 
