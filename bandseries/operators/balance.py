@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import rank_by_uniform
 from ..functions.scalars import hash_uniform
 
+#: Rows that are compared with a block at a time.
+CHUNK = 128
+#: Most classes whose sizes are broadcast.
+CLASSES = 200_000
+
 
 def class_counts(rows: DataFrame, split: str, label: str) -> DataFrame:
     """(split, label, n, share); null split: over all splits."""
@@ -24,31 +29,58 @@ def imbalance_ratio(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.max("n").alias("majority"), F.min("n").alias("minority"), (F.max("n") / F.min("n")).alias("ratio"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
-
-
-def class_neighbours(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, exact_rows: int = 20_000, bucket: float = 2.0) -> DataFrame:
+def _nearest(key: str, label: str, k: int):
+    """For two blocks of one class: the k nearest of the right block to each row of the left."""
+    names = [key, label, "neighbour", "distance"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        right = right.sort_values("_key", kind="stable")
+        ours, theirs = left[key].to_numpy(), right["_key"].to_numpy()
+        x, y = np.stack(left["_v"].to_numpy()).astype(float), np.stack(right["_w"].to_numpy()).astype(float)
+        columns, out = np.ascontiguousarray(y.T), []
+        for lo in range(0, len(x), CHUNK):
+            part, same = x[lo : lo + CHUNK], ours[lo : lo + CHUNK, None] == theirs
+            square = np.zeros((len(part), len(y)))
+            for d, column in enumerate(columns):  # summed in this order whatever the block, so that equal vectors tie
+                gap = part[:, d, None] - column
+                square += gap * gap
+            far = np.where(same, np.inf, square)
+            if k < len(y):  # all as near as the k-th: the sort decides between ties, by key
+                kth = np.partition(far, k - 1, axis=1)[:, k - 1]
+            else:
+                kth = np.full(len(part), np.inf)
+            for i in range(len(part)):
+                near = np.flatnonzero((far[i] <= kth[i]) & ~same[i])
+                near = near[np.argsort(far[i][near], kind="stable")[:k]]
+                out.append((np.full(len(near), lo + i), near, np.sqrt(far[i][near])))
+        who, near, distance = map(np.concatenate, zip(*out, strict=True))
+        return pd.DataFrame({key: ours[who], label: left[label].iloc[0], "neighbour": theirs[near], "distance": distance})[names]
+
+    return run
+
+
+def class_neighbours(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, exact_rows: int = 2_000) -> DataFrame:
     """(key, label, rank, neighbour, distance): each row's k nearest rows of its own class, itself left out.
 
-    Classes of up to `exact_rows` rows are compared in full; larger ones by locality-sensitive hashing, whose misses
-    leave a row with fewer neighbours.
+    Exact for classes of any size: each class is dealt into blocks of about `exact_rows` rows, every block is compared
+    with every block of its class, and each pair of blocks gives k rows at most for each row; ties go to the smaller key.
+    So the work is the square of a class's rows over many tasks; no task has more than two blocks.  Rows without a key,
+    label or vector neither have neighbours nor are any.
     """
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    sized = rows.select(key, label, vector).join(sizes, label)
-    few, many = sized.filter(F.col("_n") <= exact_rows), sized.filter(F.col("_n") > exact_rows)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col(f"a.{label}") == F.col(f"b.{label}")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))).select(
-        F.col(f"a.{key}").alias(key), F.col(f"a.{label}").alias(label), F.col(f"b.{key}").alias("neighbour"), F.sqrt(squared_distance(F.col(f"a.{vector}"), F.col(f"b.{vector}"))).alias("distance")
-    )
-    if many.limit(1).count():
-        vectors = many.select(key, label, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-        model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=4, seed=42).fit(vectors)
-        near = model.approxSimilarityJoin(vectors, vectors, bucket * 2, "distance").filter(F.col(f"datasetA.{label}") == F.col(f"datasetB.{label}"))
-        near = near.filter(F.col(f"datasetA.{key}") != F.col(f"datasetB.{key}"))
-        pairs = pairs.unionByName(near.select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetA.{label}").alias(label), F.col(f"datasetB.{key}").alias("neighbour"), "distance"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour")))
+    held = rows.select(key, label, F.col(vector).cast("array<double>").alias("_v")).filter(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col("_v").isNotNull())
+    sizes = held.groupBy(label).agg(F.ceil(F.count(F.lit(1)) / F.lit(exact_rows)).cast("int").alias("_blocks"))
+    if sizes.limit(CLASSES + 1).count() <= CLASSES:
+        sizes = F.broadcast(sizes)
+    placed = held.join(sizes, label).withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), key), F.col("_blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = placed.select(key, label, "_v", F.col("_block").alias("_a"), each.alias("_b"))
+    right = placed.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col("_v").alias("_w"), each.alias("_c"), F.col("_block").alias("_d"))
+    kind = {f.name: f.dataType.simpleString() for f in held.schema}
+    schema = f"`{key}` {kind[key]}, `{label}` {kind[label]}, neighbour {kind[key]}, distance double"
+    pairs = left.groupBy(label, "_a", "_b").cogroup(right.groupBy("_label", "_c", "_d")).applyInPandas(_nearest(key, label, k), schema)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(label, key).orderBy("distance", "neighbour")))
     return ranked.filter(F.col("rank") <= k).select(key, label, "rank", "neighbour", "distance")
 
 

@@ -175,6 +175,20 @@ def test_smote(spark):
     assert near.filter("neighbour = id").count() == 0 and near.count() > 0
 
 
+def test_neighbours_of_many_blocks_are_exact(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate((r.integers(0, 4, (150, 3)).astype(float), 1000 * r.normal(size=(50, 3))))  # ties, and rows far from all others
+    df = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(x)], "id long, label int, x array<double>")
+    got = balance.class_neighbours(df, "id", "label", "x", exact_rows=20).orderBy("id", "rank").collect()
+    want = []
+    for k in range(200):
+        near = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(x[k], x[j], strict=True)))), j) for j in range(k % 2, 200, 2) if j != k)
+        want += [(k, k % 2, i + 1, j) for i, (_, j) in enumerate(near[:5])]
+    assert [tuple(g)[:4] for g in got] == want
+    few = spark.createDataFrame([(k, int(k < 30), [1000.0 * k]) for k in range(100)], "id long, label int, x array<double>")
+    assert balance.smote(few, "id", "label", "x").count() == 40
+
+
 def test_bootstrap(spark):
     p = spark.createDataFrame([(k, s, y) for k, (s, y) in enumerate(SCORES * 8)], "id int, score double, label int")
     exact = bootstrap.resampled_exactly(p, "id", 5)
