@@ -81,6 +81,26 @@ def test_equal_times_are_unresolved(spark):
     assert not align.align_bands(align.adaptive_bins(obs)).first()["ok"]
 
 
+def test_dense_objects_are_resolved_beyond_the_first_steps(spark):
+    times = {1: [0.0, 0.001], 2: [3.0, 3.002, 3.002], 3: [0.1 + k * 0.013 for k in range(12)]}
+    data = [(o, k, t, "gr"[o == 2 and k == 2], 1.0, 0.1) for o, ts in times.items() for k, t in enumerate(ts)] + [(4, k, 0.5 + 0.004 * (k // 2), "g", 1.0, 0.1) for k in range(4)]
+    obs = spark.createDataFrame(data, "object_id long, seq int, t double, band string, flux double, flux_err double")
+    found = {r["object_id"]: (r["frac"], r["unresolved"]) for r in align.adaptive_frac(obs).collect()}
+    assert {o: u for o, (_, u) in found.items()} == {1: False, 2: False, 3: False, 4: True}
+
+    def number(t, f):
+        return round((t - t % (1.0 / f)) / (1.0 / f))
+
+    for o, pairs in {1: [(0.0, 0.001)], 2: [(3.0, 3.002)], 3: list(zip(times[3], times[3][1:])), 4: [(0.5, 0.504)]}.items():
+        f = 1.0
+        while any(number(p, f) == number(t, f) for p, t in pairs) or o == 4 and f < align.frac_grid()[-1]:
+            f += 0.1
+        assert found[o][0] == f
+    assert found[1][0] > align.frac_grid()[-1]
+    ok = {r["object_id"]: r["ok"] for r in align.align_bands(align.adaptive_bins(obs)).groupBy("object_id").agg(F.min("ok").alias("ok")).collect()}
+    assert ok == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_runs_follow_file_order(spark):
     obs = spark.createDataFrame([(1, k, t) for k, t in enumerate([0.1, 0.2, 1.5, 0.3])], "object_id long, seq int, t double")
     assert [r["bin"] for r in align.runs(obs).orderBy("seq").collect()] == [0, 0, 1, 2]
