@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import each_salt, salt, salts_seen, stored, table
 
 #: Fixed rules: (verdict, host, path).
 RULES = [
@@ -66,8 +66,8 @@ class Segmenter:
 
     def words(self, host: str, path: str) -> list[str]:
         """h:word for the host's labels, p:word for the path's parts."""
-        out = [f"h:{w}" for label in re.split(r"[^a-z]+", host) if label for w in self.split(label[:200])]
-        return out + [f"p:{w}" for part in re.split(r"[^a-z]+", path.lower()) if part for k in range(0, len(part), 200) for w in self.split(part[k : k + 200])]
+        out = [f"h:{w}" for label in re.split(r"[^a-z]+", host) if label for w in self.split(label)]
+        return out + [f"p:{w}" for part in re.split(r"[^a-z]+", path.lower()) if part for w in self.split(part)]
 
 
 def _tokens(counts: dict[str, int]):
@@ -87,35 +87,36 @@ def unigrams(texts: DataFrame, column: str, most: int = 50_000) -> dict[str, int
     return {r["word"]: r["n"] for r in top.collect()}
 
 
-def judge_urls(pages: DataFrame, counts: dict[str, int], rules: list[tuple[str, str, str]] = RULES, most: int = 100_000) -> DataFrame:
+def judge_urls(pages: DataFrame, counts: dict[str, int], rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score and method of each row of pages (page_id, url; no other column is read).
 
     The longest rule that fits decides.  All urls that a rule decides train a multinomial naive Bayes (add-one) over
     segmented host and path tokens, which decides the others: `block` if the log odds of block, `score`, are above 0.
-    Token counts are aggregated over all rows; the `most` commonest tokens are the model.  A null url, or one without
+    Token counts are aggregated over all rows and all tokens are the model, joined to the rows by shuffle.  A null url, or one without
     ://, has an empty host and path and so no tokens; its odds are those of the classes.  With no rule decided either way
     the odds are 0 and the verdict is allow.  Repeated rows are judged alike.  No rows: an empty result.
     """
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path")).mapInPandas(_tokens(counts), "page_id long, host string, path string, tokens array<string>")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = stored(split.withColumn("rule", name).withColumn("ruled", verdict), "urls")
+    rows = stored(split.withColumn("rule", name).withColumn("ruled", verdict).withColumn("row", F.monotonically_increasing_id()), "urls")
     blocked = F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0))
     classes = rows.filter("ruled IS NOT NULL").agg(blocked.alias("block"), F.count(F.lit(1)).alias("n")).first()
     n_block, n_allow = (classes["block"] or 0), classes["n"] - (classes["block"] or 0)
     prior = math.log((n_block + 1) / (n_allow + 1))
     seen = rows.filter("ruled IS NOT NULL").select("ruled", F.explode("tokens").alias("token")).groupBy("token").agg(blocked.alias("block"), F.count(F.lit(1)).alias("n"))
-    model = [tuple(r) for r in seen.orderBy(F.desc("n"), "token").limit(most).collect()]
-    all_block, all_allow, size = sum(r[1] for r in model), sum(r[2] - r[1] for r in model), len(model)
-    odds = {t: math.log((b + 1) / (all_block + size + 1)) - math.log((n - b + 1) / (all_allow + size + 1)) for t, b, n in model}
-
-    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in frames:
-            yield pd.Series([prior + sum(odds.get(t, 0.0) for t in tokens) for tokens in s], dtype="float64")
-
-    value = F.pandas_udf(score, "double")(F.col("tokens"))
-    out = rows.withColumn("score", value)
-    return out.select(
+    seen = stored(seen, "token-counts")
+    sums = seen.agg(F.sum("block").alias("block"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("size")).first()
+    all_block, size = sums["block"] or 0, sums["size"]
+    all_allow = (sums["n"] or 0) - all_block
+    odds = F.log((F.col("block") + 1) / F.lit(all_block + size + 1)) - F.log((F.col("n") - F.col("block") + 1) / F.lit(all_allow + size + 1))
+    weights = seen.select("token", odds.alias("odds"))
+    held = rows.select("row", F.explode("tokens").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("times")).withColumn("salt", salt("row"))
+    needed = held.groupBy("token").agg(salts_seen().alias("salts")).join(weights, "token").select("token", "odds", each_salt().alias("salt"))
+    each = held.join(needed, ["token", "salt"]).groupBy("row").agg(F.array_sort(F.collect_list(F.col("times") * F.col("odds"))).alias("parts"))
+    total = each.select(F.col("row").alias("_row"), F.aggregate("parts", F.lit(prior), lambda s, x: s + x).alias("score"))  # sorted: one sum whatever the order of rows
+    scored = rows.join(total, F.col("row") == F.col("_row"), "left").withColumn("score", F.coalesce("score", F.lit(prior)))
+    return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"),
         "score", F.when(F.col("ruled").isNull(), "bayes").otherwise("rule").alias("method"),
     )

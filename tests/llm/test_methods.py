@@ -1,6 +1,7 @@
 """The methods themselves: signatures, estimates, schedules, grammars, permutations, readers."""
 
 import io
+import math
 import random
 
 import numpy as np
@@ -205,6 +206,29 @@ def test_segmentation_and_bayes(spark):
     assert (out[100], out[101]) == ("block", "allow")
 
 
+def test_long_names_are_segmented_whole(spark):
+    counts = {"good": 5, "news": 5, "cheap": 5, "pills": 5}
+    s = urls.Segmenter(counts)
+    assert s.words("news" * 60 + "pills", "") == ["h:news"] * 60 + ["h:pills"]
+    assert s.words("", "/" + "good" * 49 + "cheap" * 20) == ["p:good"] * 49 + ["p:cheap"] * 20
+    rows = [(k, f"http://{'cheappills' if k % 2 else 'goodnews'}.{'net/fr/' if k % 2 else 'com/'}") for k in range(40)]
+    rows += [(k, f"http://x.{'net/fr/q' if k % 2 else 'com'}/{chr(97 + k % 26)}{chr(97 + k // 26)}zz") for k in range(100, 160)] + [(900, "http://" + "good" * 50 + "cheap" * 200 + ".org")]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), counts).collect()}
+    assert got[900]["verdict"] == "block"
+
+    def tokens(k):
+        return s.words(got[k]["host"], got[k]["path"])
+
+    ruled = {v: [t for k in got if k != 900 and got[k]["verdict"] == v for t in tokens(k)] for v in ("block", "allow")}
+    size = len({*ruled["block"], *ruled["allow"]})
+    n = {v: sum(got[k]["verdict"] == v for k in got if k != 900) for v in ruled}
+    want = math.log((n["block"] + 1) / (n["allow"] + 1))
+    for t in tokens(900):
+        if t in ruled["block"] + ruled["allow"]:
+            want += math.log((ruled["block"].count(t) + 1) / (len(ruled["block"]) + size + 1)) - math.log((ruled["allow"].count(t) + 1) / (len(ruled["allow"]) + size + 1))
+    assert got[900]["score"] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("split", [1, 37, 1000, 1 << 22])
 def test_warc_records_are_read_once_for_any_split(split):
     r = random.Random(1)
