@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 #: Pieces into which one hot key is dealt.
-SALTS = 16
+SALTS = 32
 
 _OWN: dict[str, str] = {}
 
@@ -61,7 +61,7 @@ def without(docs: DataFrame, keys: list[Column], bad: DataFrame) -> DataFrame:
     return joined_by(docs, keys, bad, "left_anti").select("_row.*")
 
 
-def salt(*columns: str, salts: int = SALTS) -> Column:
+def salt(*columns: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
@@ -75,6 +75,17 @@ def each_salt(mask: str = "salts") -> Column:
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col(mask), i) == 1))
 
 
+def looked_up(rows: DataFrame, key: str, other: DataFrame, keys: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows (key, salt, ...) joined with the one row that `other` (key, ...) has for each key.
+
+    The rows of a hot key stay dealt out by their salts; a row of `other` is repeated for the salts that its key has.
+    `keys` are the (key, salt) of rows, where these are cheaper to come by.
+    """
+    seen = (rows if keys is None else keys).groupBy(key).agg(salts_seen().alias("_salts"))
+    each = other.join(seen, key).withColumn("salt", each_salt("_salts")).drop("_salts")
+    return rows.join(each, [key, "salt"], how)
+
+
 def word_count(text: Column) -> Column:
     """Number of WORDs; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -251,3 +251,42 @@ def test_proximity(spark):
     found = lambda slop: sorted({(r["doc_id"], r["start"], r["length"]) for r in find_phrases(docs, phrases, slop)[0].collect()})
     assert found(0) == [(1, 0, 3)]
     assert found(2) == [(1, 0, 3), (2, 0, 5)]
+
+
+def test_band_width_follows_the_similarity():
+    for s in (0.5, 0.6, 0.8, 0.9):
+        w = neardup.band_width(s)
+        assert neardup.COORDINATES % w == 0 and (1 - s**w) ** (neardup.COORDINATES // w) <= 1e-5
+    assert (neardup.band_width(0.8), neardup.band_width(0.5)) == (4, 2)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_copies_that_only_meet_through_their_original(spark, similarity):
+    """Each copy has changes of its own, so that copies are like the original but not like each other."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 301):
+        w = list(base)
+        for at in r.sample(range(40), 4 if similarity == 0.8 else 12):
+            w[at * 5] = f"x{k}-{at}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"y{k}-{j}" for j in range(50)) + " " + " ".join(base[:10])) for k in range(100)]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity).collect()}
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    g = {d: grams(t) for d, t in rows}
+    near = [k for k in range(1, 301) if len(g[0] & g[k]) >= similarity * len(g[0] | g[k])]
+    assert len(near) > 200
+    assert sum(got[k] == 0 for k in near) >= 0.99 * len(near)
+    assert all(got[k] == k for k in got if k >= 1000)
+
+
+def test_repeated_shingles_weigh_as_often_as_they_occur(spark):
+    once, often = "a b c d e f g h i j", "a b c d e f g h i j " * 12
+    rows = [(1, once), (2, often), (3, often + "k"), (4, once + " k l m n o p q r s t u v w")]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
