@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse; tables of up to 4M entries are kept."""
+    """Powers of BASE and of its inverse; tables of up to 1M entries are kept."""
     global _powers
     if len(_powers[0]) < n:
         made = []
@@ -39,7 +39,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             np.multiply.accumulate(p, out=p)
             made.append(p)
-        if n > 1 << 22:
+        if n > 1 << 20:
             return made[0], made[1]
         _powers = (made[0], made[1])
     return _powers
@@ -54,7 +54,7 @@ class Block(NamedTuple):
     at: np.ndarray
 
 
-def blocks(column: pa.Array, size: int = 1 << 21) -> Iterator[Block]:
+def blocks(column: pa.Array, size: int = 1 << 19) -> Iterator[Block]:
     """Runs of whole texts of about `size` bytes (a longer text is a block of its own); null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

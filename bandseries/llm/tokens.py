@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,34 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import scratch, small, table
+from .textnum import Hasher, U, blocks, mix
 
 END = 0  # the id after each document
 
 #: Unicode's White_Space, as the tokenizer's pattern takes it.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The tokenizer's own pieces never cross the borders of these chunks, so chunks can be encoded one by one.
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
-class Chunks(dict):
-    """Chunk to its number; an unknown chunk is encoded first."""
-
-    def __init__(self, add) -> None:
-        super().__init__()
-        self.add = add
-
-    def __missing__(self, chunk: str) -> int:
-        k = self[chunk] = self.add(chunk)
-        return k
-
-
 class Encoder:
     """Ids of whole texts, by the tokenizers library; the ids of chunks seen before are looked up.
 
-    At most `held` chunks are remembered in a worker process; then the table starts afresh.
+    Chunks are known by 64-bit hashes and their lengths (of 2 million chunks, two are taken for one another with a probability of 1e-7 at
+    most).  At most `held` chunks, of about 40 bytes each, are remembered in a worker process; then the table starts afresh.
     """
 
-    def __init__(self, path: str, held: int = 500_000) -> None:
+    def __init__(self, path: str, held: int = 1_500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,8 +43,8 @@ class Encoder:
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.pieces = ByteLevel(add_prefix_space=False, use_regex=True)
         self.model = self.whole.model
-        # Chunks that are cut into pieces as plainly as this: a line end, a word or number, marks.
-        self.plain = re.compile(r"(\n?)((?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+)?)([!-/:-@\[-`{-~]*)").fullmatch
+        # Chunks that are cut into pieces as plainly as this: a space or line end, a word or number, marks.
+        self.plain = re.compile(r"([ \n]?)((?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+)?)([!-/:-@\[-`{-~]*)").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.bytes = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
@@ -66,12 +56,11 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.of = Chunks(self._add)
-        self.after_space = Chunks(lambda rest: self._add(rest if rest[:1] == "\n" else " " + rest))
+        self.known, self.number = np.zeros(0, U), np.zeros(0, np.int32)  # sorted hashes, and their chunks' numbers
         self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
-        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _store(self, ids: list[int] | np.ndarray, lengths: np.ndarray) -> int:
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Keeps the ids of new chunks; the first one's number."""
         first, n = self.n, self.n + len(lengths)
         if n > len(self.begin):
@@ -86,66 +75,95 @@ class Encoder:
         self.n = n
         return first
 
-    def _add(self, chunk: str) -> int:
-        ids = [t.id for p, _ in self.pieces.pre_tokenize_str(chunk) for t in self.model.tokenize(p)]
-        return self._store(ids, np.asarray([len(ids)]))
-
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the unknown words of many texts in one call."""
-        if self.n > self.held:
-            self.clear()
-        new = set()
-        for text in texts:
-            new.update(text.replace("\n", " \n").split(" "))
-        names, shown = [], []
-        for chunk in new:
-            if chunk not in self.after_space and chunk and (m := self.plain(chunk)):
-                line, word, marks = m.groups()
-                names.append(chunk)
-                if line:
-                    shown += [line, "\1", word, "\1", marks]
-                else:
-                    shown += [" ", word, "\1" if word else "", marks]
-                shown.append("\0")
-        if names:
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        """Encodes chunks and keeps their ids; their numbers."""
+        numbers = np.zeros(len(chunks), np.int32)
+        plain, shown, other = [], [], []
+        for k, chunk in enumerate(chunks):
+            m = self.plain(chunk)
+            if not m:
+                other.append(k)
+                continue
+            line, word, marks = m.groups()
+            plain.append(k)
+            if line == "\n":
+                shown += [line, "\1", word, "\1", marks, "\0"]
+            elif word:
+                shown += [line, word, "\1", marks, "\0"]
+            else:
+                shown += [line, marks, "\0"]
+        if plain:
             joined = "".join(shown).encode().decode("latin-1").translate(self.bytes)
             some = [m.end() for m in islice(re.finditer(chr(self.bytes[0]), joined), 31, None, 32)]
             runs = [joined[a:z] for a, z in zip([0, *some], [*some, len(joined)], strict=True)]
             got = self.words.encode_batch_fast([r for r in runs if r], add_special_tokens=False)
-            ids = np.asarray([k for g in got for k in g.ids], np.uint32)
+            ids = np.fromiter(chain.from_iterable(g.ids for g in got), np.uint32)
             ids = ids[ids != self.ends[1]]
             ends = np.flatnonzero(ids == self.ends[0])
             first = self._store(ids[ids != self.ends[0]], np.diff(ends, prepend=-1) - 1)
-            self.after_space.update(zip(names, range(first, first + len(names)), strict=True))
-
-    def _numbers(self, text: str) -> np.ndarray:
-        """The numbers of the text's chunks.
-
-        Where white space is never doubled, the text is cut at its spaces and before its line ends, which is quicker.
-        """
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or text[:1] in " \n":
-            chunks = CHUNK.findall(text)
-            return np.fromiter(map(self.of.__getitem__, chunks), np.int64, len(chunks))
-        chunks = text.replace("\n", " \n").split(" ")
-        out = np.fromiter(map(self.after_space.__getitem__, chunks[1:]), np.int64, len(chunks) - 1)
-        return np.concatenate(([self.of[chunks[0]]], out))
+            numbers[plain] = np.arange(first, first + len(plain))
+        if other:
+            each = [[t.id for p, _ in self.pieces.pre_tokenize_str(chunks[k]) for t in self.model.tokenize(p)] for k in other]
+            first = self._store(np.asarray([i for ids in each for i in ids], np.uint32), np.asarray([len(ids) for ids in each]))
+            numbers[other] = np.arange(first, first + len(other))
+        return numbers
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of the chunks data[start:end]; unknown ones are learnt."""
+        hashed = mix(Hasher(data)(start, end) ^ (end - start).astype(U))
+        each, at, which = np.unique(hashed, return_index=True, return_inverse=True)
+        if self.n + len(each) > self.held:
+            self.clear()
+        place = np.searchsorted(self.known, each)
+        fresh = np.ones(len(each), bool)
+        inside = place < len(self.known)
+        fresh[inside] = self.known[place[inside]] != each[inside]
+        if fresh.any():
+            new = self.learn([bytes(data[a:z]).decode() for a, z in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)])
+            self.known, self.number = np.insert(self.known, place[fresh], each[fresh]), np.insert(self.number, place[fresh], new)
+            place = np.searchsorted(self.known, each)
+        return self.number[place][which]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if any(s in text for s in self.special):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        numbers = self._numbers(text)  # first: it may replace the tables
-        return gather(self.flat, self.begin, self.length, numbers)
+        return next(ids for _, ids in self.encoded(pa.RecordBatch.from_pydict({"doc_id": [0], "text": [text]})))
 
+    def _cuts(self, text: str) -> list[int] | None:
+        """Where the chunks of a text start, in bytes, if white space is doubled in it; None: at each space and line end."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or text[:1] in " \n":
+            return [0, *accumulate(len(c.encode()) for c in CHUNK.findall(text))][:-1]
+        return None
 
-    def encoded(self, batch: pa.RecordBatch, at_once: int = 128) -> Iterator[tuple[int | None, np.ndarray]]:
+    def encoded(self, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of each row (doc_id, text); null is an empty text."""
-        for i in range(0, batch.num_rows, at_once):
-            part = batch.slice(i, at_once)
-            texts = [t or "" for t in part["text"].to_pylist()]
-            self.learn(texts)
-            yield from zip(part["doc_id"].to_pylist(), map(self.encode, texts), strict=True)
+        for block in blocks(batch["text"]):
+            docs = batch["doc_id"].slice(block.first, block.last - block.first).to_pylist()
+            at = block.at.tolist()
+            raw = block.data.tobytes()
+            texts = [raw[a:z].decode() for a, z in zip(at, at[1:])]
+            whole = {k for k, t in enumerate(texts) if any(x in t for x in self.special)}
+            cut = (block.data == 32) | (block.data == 10)
+            cut[block.at[:-1][np.diff(block.at) > 0]] = True
+            for k, text in enumerate(texts):
+                if k in whole:  # encoded by itself: one chunk here, which isn't used
+                    cut[at[k] + 1 : at[k + 1]] = False
+                elif (starts := self._cuts(text)) is not None:
+                    cut[at[k] : at[k + 1]] = False
+                    cut[at[k] + np.asarray(starts, np.int64)] = True
+            if whole:
+                data = block.data.copy()
+                for k in whole:
+                    data[at[k] : at[k + 1]] = 32
+                    cut[at[k] : at[k + 1]] = False
+                    cut[at[k]] = True
+            else:
+                data = block.data
+            start = np.flatnonzero(cut)
+            number = self.numbers(data, start, np.append(start[1:], len(data))) if len(start) else start
+            ids = gather(self.flat, self.begin, self.length, number)
+            ends = np.concatenate(([0], np.cumsum(self.length[number], dtype=np.int64)))[np.searchsorted(start, block.at)]
+            for k, doc in enumerate(docs):
+                own = ids[ends[k] : ends[k + 1]]
+                yield doc, np.asarray(self.whole.encode(texts[k], add_special_tokens=False).ids, np.uint32) if k in whole else own
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -177,16 +195,23 @@ def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int =
     Rule k makes symbol `first` + k of the pair rules[k].  Pairs that occur fewer than `least` times stay.  Pairs are
     counted in 2**20 slots by a hash; of two pairs in one slot one waits for a later round and its other hash.  Where
     replaceable pairs overlap, the more frequent one is replaced, and in a run of one symbol every other pair.  No
-    pair has END in it, so no rule reaches over the end of a document.
+    pair has END in it, so no rule reaches over the end of a document.  The rounds and pairs a round bound the work: a pair
+    that is still frequent after them stays as it is, which costs bytes and never an id.  Ids must be below `first`.
     """
+    if len(ids) and int(ids.max()) >= first:
+        raise ValueError(f"id {int(ids.max())}: nonterminals start at {first}")
     seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
     symbols = first
     for turn in range(rounds):
         if len(seq) < 2 * least:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         ends = np.flatnonzero(seq == END)
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15 + 2 * turn * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(44)).astype(np.int64)
+        left, right = np.uint32(0x9E3779B1 + 2 * turn * 0x632BE59B & 0xFFFFFFFF), np.uint32(0x85EBCA77 + 2 * turn * 0x27D4EB2F & 0xFFFFFFFF)
+        slot = seq[:-1] * left
+        slot ^= slot >> np.uint32(15)
+        slot += seq[1:] * right
+        slot *= np.uint32(0xC2B2AE3D)
+        slot = (slot >> np.uint32(12)).astype(np.int64)
         rough = np.bincount(slot, minlength=1 << 20)
         often = rough[rough >= least]
         cut = int(np.partition(often, -per_round)[-per_round]) if len(often) > per_round else least
@@ -196,7 +221,7 @@ def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int =
         some = some[~dead[some]]
         if not len(some):
             break
-        mine, wants = slot[some], pair[some]
+        mine, wants = slot[some], (seq[some].astype(np.uint64) << np.uint64(32)) | seq[some + 1]
         held = np.zeros(1 << 20, np.uint64)
         held[mine] = wants
         same = held[mine] == wants
@@ -314,7 +339,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, partition_bytes: in
 
     Rows are dealt into ranges of doc_id of about `partition_bytes` of text.  A task encodes its range in order and
     closes a shard each `shard_ids` ids: a shard has whole documents, the grammar's rules, how many ids each rule
-    stands for, and the sequence.  Nulls come first; rows with equal doc_ids follow a hash of their text.
+    stands for, and the sequence.  Nulls come first; rows with equal doc_ids follow a hash of their text.  No rows: no shards.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -358,6 +383,7 @@ def tokens_of(docs: DataFrame) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row of docs, from the shards written; nulls and repeated rows as in write_tokens."""
     return tokens_of(docs)
 
 
