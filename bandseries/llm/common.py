@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a folder of our own only where the session names none (tests)."""
+    """A new path in the cluster's shared folder; a folder of our own only on a local master (tests) that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -96,21 +99,28 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, per_bucket: int = 4_000, weight: str | None = None, rows: int | None = None) -> DataFrame:
+def met(rows: DataFrame, key: str, other: DataFrame, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (key, salt, ...) joined with the one row of `other` (key, ...): broadcast if a count allows it, else by salts."""
+    if other.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(other), key, how)
+    return looked_up(rows, key, other, how=how)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, tie: list[str] | None = None, weight: str | None = None, rows: int | None = None) -> DataFrame:
     """Adds `out`: the 0-based rank of each row in its group, or, with `weight`, the sum of the weights before it.
 
-    Rows are dealt into buckets by a hash of `order`, so the order is a fixed shuffle; groups must have no nulls.
-    Buckets hold about `per_bucket` rows, however large a group is: a group's rows never meet in one task, only its
-    bucket totals do.
+    Rows are dealt into buckets by a hash of `order`, so the order is a fixed shuffle, whatever the rows' places; `tie` orders rows
+    that are equal in `order`.  Groups must have no nulls.  Buckets hold about the square root of all rows, 4,000 at
+    most, however large a group is: a group's rows never meet in one task, only its bucket totals do.
     """
     n = df.count() if rows is None else rows
-    buckets = max(1, -(-n // per_bucket))
+    buckets = max(1, -(-n // min(4_000, max(64, isqrt(max(n, 1))))))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("bucket"), *order), F.lit(buckets)).cast("int"))
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     sums = df.groupBy(*group, "_bucket").agg(amount.alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long")).drop("_sum")
-    inside = Window.partitionBy(*group, "_bucket").orderBy(F.xxhash64(F.lit("order"), *order), *order)
+    inside = Window.partitionBy(*group, "_bucket").orderBy(F.xxhash64(F.lit("order"), *order), *order, *(tie or []))
     within = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(inside) - 1
     return df.join(sums, [*group, "_bucket"]).withColumn(out, (F.col("_base") + within).cast("long")).drop("_bucket", "_base")
 

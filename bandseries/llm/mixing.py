@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import joined_by, numbered, small, stored, table, word_count
+from .common import joined_by, met, numbered, salt, stored, table, word_count
 
 #: Words in a block, about; each source has blocks of one length near it.
 BLOCK = 64
@@ -72,12 +72,12 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, bl
     stand in a fixed shuffled order (a hash of doc_id and text) on a line of words, cut into blocks of equal length
     (the last may be shorter).  The schedule says how often each block is taken, and taken counts a document's words in
     the taken blocks.  A source takes its target to within about a block, and no block, so no word, more than `most`
-    times.  Reruns agree.  Documents without words take part in ranking the sources and take nothing; null doc_ids and
+    times.  Reruns agree, however the rows are partitioned: only equal rows (doc_id and text) may swap what they take.  Documents without words take part in ranking the sources and take nothing; null doc_ids and
     repeated rows are ordinary rows; other columns are not read.  No rows: an empty result.
     """
     spark = docs.sparkSession
     read = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("hash"), word_count(F.col("text")).alias("size"))
-    sizes = stored(read.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sizes = stored(read.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", salt("row")), "sizes")
     targets = source_targets(sizes, weights or [1, 2, 3], most)
     wanted = F.greatest(F.round(F.col("source_size") / block), F.lit(1)).cast("long")
     length = F.ceil(F.col("source_size") / wanted).cast("long")
@@ -90,14 +90,16 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, bl
 
     takes = schedule(targets.select("rank", "slots", "blocks"), bits).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     few = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target", "length")
-    rows = sizes.join(small(few), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    lined = numbered(rows, ["rank"], ["hash", "row"], "offset", weight="size", rows=int(total["n"] or 0))
-    spans = F.when(F.col("size") > 0, F.expr("sequence(offset div length, (offset + size - 1) div length)"))
-    parts = lined.select("row", "doc_id", "hash", "source", "size", "source_size", "target", "rank", "offset", "length", F.explode_outer(spans).alias("block"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("?"))
+    rows = met(sizes.withColumn("_name", named(F.col("source"))), "_name", few.select(named(F.col("_source")).alias("_name"), "rank", "source_size", "target", "length"))
+    lined = numbered(rows.filter("size > 0").select("row", "rank", "hash", "size", "length"), ["rank"], ["hash"], "offset", ["row"], "size", int(total["n"] or 0))
+    spans = F.expr("sequence(offset div length, (offset + size - 1) div length)")
+    parts = lined.select("row", "size", "rank", "offset", "length", F.explode(spans).alias("block"))
     share = F.expr("least(offset + size, (block + 1) * length) - greatest(offset, block * length)")
-    parts = parts.withColumn("share", share).join(takes.hint("merge"), ["rank", "block"], "left")
-    keys = ["row", "doc_id", "hash", "source", "size", "source_size", "target"]
-    return parts.groupBy(*keys).agg(F.coalesce(F.sum(F.col("share") * F.coalesce("times", F.lit(0))), F.lit(0)).cast("long").alias("taken")).drop("row")
+    parts = parts.select("row", "rank", "block", share.alias("share")).join(takes.hint("merge"), ["rank", "block"])
+    taken = parts.groupBy("row").agg(F.sum(F.col("share") * F.col("times")).cast("long").alias("taken"))
+    out = rows.select("row", "doc_id", "hash", "source", "size", "source_size", "target").join(taken, "row", "left")
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("row")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

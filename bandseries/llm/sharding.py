@@ -51,8 +51,9 @@ def lpt_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     A row's size is its text's UTF-8 bytes plus 1; a null text is an empty one.  Rows of equal texts are one group and
     share a shard.  Groups are ordered by size class (0.1 % wide), the largest first, and by a fixed shuffle within a
-    class; the heap works on the class table alone, whose length depends on the precision and not on the rows.
-    slot numbers the rows of a shard from 0.  Null or repeated doc_ids are ordinary rows.  No rows: an empty result.
+    class; the heap works on the class table alone, whose length depends on the precision and not on the rows, and takes a
+    class's mean for its groups' sizes: loads differ by a shard's share of that rounding and one group of the smallest classes.
+    slot numbers the rows of a shard from 0.  Partitioning changes nothing: only equal rows may swap slots.  Null or repeated doc_ids are ordinary rows.  No rows: an empty result.
     """
     spark = docs.sparkSession
     rows = stored(
@@ -76,8 +77,8 @@ def lpt_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     placed = ranked.join(small(spans), "class").select(
         "key", each_salt().alias("salt"), F.filter("spans", lambda s: s["last"] > F.col("rank"))[0]["shard"].alias("shard")
     )
-    out = rows.join(placed, ["key", "salt"]).select("doc_id", "size", "text_crc32", "shard", "row")
-    return numbered(stored(out, "placed"), ["shard"], ["row"], "slot").drop("row")
+    out = rows.join(placed, ["key", "salt"]).select("doc_id", "size", "text_crc32", "shard", "key", "row")
+    return numbered(stored(out, "placed"), ["shard"], ["doc_id", "key"], "slot", ["row"]).drop("row", "key")
 
 
 def op9_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
