@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chi2_quantile, small, stored, table, without
+from .common import SALTS, chi2_quantile, met, small, stored, table, without
 from .textnum import SPACE, Hasher, U, blocks, mix, shingles, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -104,7 +104,9 @@ def _vector() -> list[Column]:
     ]
 
 
-PARAMS = "level string, n long, mean array<double>, inverse array<double>"
+PARAMS = "level string, n long, mean array<double>, inverse array<double>, logdet double"
+#: Rows that a level borrows from the level above it (a source from its language, a language from all), whatever its size.
+BORROWED = 24
 
 
 def _invert(scale: float):
@@ -119,43 +121,60 @@ def _invert(scale: float):
                 mean = np.asarray(s) / n
                 cov = np.zeros((DIMS, DIMS))
                 cov[upper] = np.asarray(p) / n
-                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-                out.append((level, n, mean, np.linalg.inv(cov * scale + floor).ravel()))
-            yield pd.DataFrame(out, columns=["level", "n", "mean", "inverse"])
+                cov = (cov + np.triu(cov, 1).T - np.outer(mean, mean)) * scale + floor
+                out.append((level, int(n), mean, np.linalg.inv(cov).ravel(), np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame(out, columns=["level", "n", "mean", "inverse", "logdet"])
 
     return run
 
 
-def _moments(rows: DataFrame, scale: float, name: str) -> DataFrame:
-    """PARAMS of each level, from rows (level, x1..): one pass of plain sums, combined before the shuffle."""
+def _moments(rows: DataFrame, parents: DataFrame, scale: float, name: str) -> DataFrame:
+    """PARAMS of each level, from rows (level, x0..): one pass of plain sums, combined before the shuffle.
+
+    Each level's sums take in BORROWED rows' worth of its parent's: a level of a few rows is judged much as its parent is,
+    a level of many by itself, and there is no size at which one turns into the other.
+    """
     x = [f"x{i}" for i in range(DIMS)]
     sums = [F.sum(k) for k in x]
     products = [F.sum(F.col(x[i]) * F.col(x[j])) for i in range(DIMS) for j in range(i, DIMS)]
-    grouped = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products"))
-    return stored(grouped.mapInPandas(_invert(scale), PARAMS), name)
+    grouped = rows.groupBy("level").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products"))
+    grouped = stored(parents.join(grouped, "level"), f"{name}-sums")
+    done = grouped.filter("depth = 0").drop("parent", "depth")
+    for depth in (1, 2):
+        above = done.select(F.col("level").alias("parent"), F.col("n").alias("_n"), F.col("sums").alias("_s"), F.col("products").alias("_p"))
+        own = grouped.filter(F.col("depth") == depth).join(small(above), "parent")
+        more = lambda a, b: F.zip_with(a, b, lambda u, v: u + v * F.lit(float(BORROWED)) / F.col("_n")).alias(a)
+        done = done.unionByName(own.select("level", (F.col("n") + BORROWED).alias("n"), more("sums", "_s"), more("products", "_p")))
+    return stored(done.mapInPandas(_invert(scale), PARAMS), name)
+
+
+def _d2() -> Column:
+    """The squared Mahalanobis distance of x0.. from `mean`, by `inverse`."""
+    d = [F.col(f"x{i}") - F.col("mean")[i] for i in range(DIMS)]
+    return sum((d[i] * d[j] * F.col("inverse")[i * DIMS + j] * (1 if i == j else 2) for i in range(DIMS) for j in range(i, DIMS)), F.lit(0.0))
 
 
 def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance from the level's estimate."""
-    d = [F.col(f"x{i}") - F.col("mean")[i] for i in range(DIMS)]
-    total = sum((d[i] * d[j] * F.col("inverse")[i * DIMS + j] * (1 if i == j else 2) for i in range(DIMS) for j in range(i, DIMS)), F.lit(0.0))
-    return rows.join(small(params.drop("n"), 20_000), "level").withColumn("d2", total).drop("mean", "inverse")
+    """Adds d2, the squared distance from the level's estimate."""
+    return met(rows, "level", params.select("level", "mean", "inverse"), most=20_000).withColumn("d2", _d2()).drop("mean", "inverse")
 
 
-def fit_mcd(rows: DataFrame, keep: float = 0.75, steps: int = 3) -> DataFrame:
-    """Minimum-covariance-determinant estimates, as PARAMS, of each level of rows (level, x0..x5); all rows take part.
+def fit_mcd(rows: DataFrame, parents: DataFrame, keep: float = 0.75, steps: int = 8) -> DataFrame:
+    """Minimum-covariance-determinant estimates, as PARAMS, of each level of rows (level, salt, x0..x5); all rows take part.
 
-    The start is each level's median and quartile range.  A concentration step keeps the `keep` share of a level's
-    rows that are nearest by the last estimate and takes their mean and covariance; each is two aggregations whose
-    partial results combine before the shuffle, so a level with a third of all rows is no harder than the rest.  A
-    last step takes the rows within the 97.5 % distance.
+    parents: (level, parent, depth) of each level, depth 0 for the one above all.  The start is each level's median and
+    quartile range.  A concentration step keeps the `keep` share of a level's rows that are nearest by the last estimate and
+    takes their mean and covariance (_moments); each is two aggregations whose partial results combine before the shuffle,
+    so a level with a third of all rows is no harder than the rest.  Steps end when no level's determinant falls by
+    1 % any more, or after `steps`; each level has the estimate of its least determinant.  A last step takes the rows
+    within the 97.5 % distance.
     """
     x = [f"x{i}" for i in range(DIMS)]
     quartiles = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(k, [0.25, 0.5, 0.75], 1000).alias(k) for k in x))
     spread = [F.pow((F.col(k)[2] - F.col(k)[0]) / 1.349, 2) + v * v for k, v in zip(x, FLOORS.values(), strict=True)]
     start = quartiles.select(
         "level", "n", F.array(*(F.col(k)[1] for k in x)).alias("mean"),
-        F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS))).alias("inverse"),
+        F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS))).alias("inverse"), F.lit(None).cast("double").alias("logdet"),
     )
     params = stored(start, "mcd")
     inner = chi2_quantile(keep, DIMS)
@@ -166,38 +185,48 @@ def fit_mcd(rows: DataFrame, keep: float = 0.75, steps: int = 3) -> DataFrame:
     for step in range(steps):
         far = _distance(rows, params)
         cut = stored(far.groupBy("level").agg(F.percentile_approx("d2", keep, 2000).alias("cut")), "mcd-cut")
-        near = far.join(small(cut, 20_000), "level").filter("d2 <= cut")
-        params = _moments(near, 1 / shrunk, f"mcd-{step}")
-    return _moments(_distance(rows, params).filter(F.col("d2") <= chi2_quantile(0.975, DIMS)), 1.0, "mcd-last")
+        near = met(far, "level", cut, most=20_000).filter("d2 <= cut")
+        new = _moments(near, parents, 1 / shrunk, f"mcd-{step}")
+        both = new.join(small(params.select("level", *(F.col(c).alias(f"_{c}") for c in ("mean", "inverse", "logdet")))), "level")
+        falls = F.col("_logdet").isNull() | (F.col("logdet") < F.col("_logdet"))
+        best = both.select("level", "n", *(F.when(falls, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("mean", "inverse", "logdet")), (F.col("_logdet").isNull() | (F.col("logdet") < F.col("_logdet") - 0.01)).alias("moved"))
+        best = stored(best, f"mcd-best-{step}")
+        params = best.drop("moved")
+        if not best.filter("moved").limit(1).count():
+            break
+    return _moments(_distance(rows, params).filter(F.col("d2") <= chi2_quantile(0.975, DIMS)), parents, 1.0, "mcd-last")
+
+
+def levels() -> list[Column]:
+    """The levels of a row: all, its language, its language and source; nulls have names of their own."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("?"))
+    return [F.lit("*"), name(F.col("lang")), F.concat_ws("\x1f", name(F.col("lang")), name(F.col("source")))]
 
 
-def judge(docs: DataFrame, reject: float = 1e-4, least: int = 200) -> DataFrame:
+def judge(docs: DataFrame, reject: float = 1e-4) -> DataFrame:
     """doc_id, key, COUNTS, base_failed, d2 and kept of every row of docs (doc_id, text, lang, source).
 
-    A row fails outright with under 10 words or over 20 % repeated words.  The other rows give the estimates: per
-    language and source where these have at least `least` rows, else per language, else over all.  A row is rejected
-    if its squared distance exceeds the chi-square quantile of 1 - reject.  A null text is empty and so fails; null
-    languages and sources form groups of their own; repeated rows are judged alike.  No rows: an empty result.
+    A row fails outright with under 10 words or over 20 % repeated words.  The other rows give the estimates, for each
+    language and source, whatever its size; each borrows BORROWED rows' worth from its language's and that from all
+    rows' estimate.  A row is rejected if its squared distance from its own language's and source's estimate exceeds the
+    chi-square quantile of 1 - reject.  A null text is empty and so fails; null languages and sources form groups of
+    their own; repeated rows are judged alike.  No rows: an empty result.
     """
-    stats = stored(statistics(docs).withColumns({f"x{i}": v for i, v in enumerate(_vector())}), "quality")
-    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("?"))
-    fine, lang, whole = F.concat_ws("\x1f", name(F.col("lang")), name(F.col("source"))), name(F.col("lang")), F.lit("*")
+    stats = statistics(docs).withColumns({f"x{i}": v for i, v in enumerate(_vector())}).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    stats = stored(stats.withColumn("level", levels()[2]), "quality")
     x = [f"x{i}" for i in range(DIMS)]
-    sizes = stored(stats.filter("NOT base_failed").groupBy(fine.alias("fine"), lang.alias("coarse")).agg(F.count(F.lit(1)).alias("n")), "quality-groups")
-    coarse = sizes.groupBy("coarse").agg(F.sum("n").alias("n_coarse"))
-    level = F.when(F.col("n") >= least, F.col("fine")).when(F.col("n_coarse") >= least, F.col("coarse")).otherwise(whole)
-    chosen = sizes.join(coarse, "coarse").select("fine", level.alias("chosen"))
-    good = stats.filter("NOT base_failed").select(F.explode(F.array(fine, lang, whole)).alias("level"), *x)
-    params = fit_mcd(good.join(small(chosen.select(F.col("chosen").alias("level")).distinct(), 20_000), "level", "left_semi"))
-    rows = stats.withColumn("fine", fine).join(small(chosen, 20_000), "fine", "left").withColumn("level", F.coalesce("chosen", whole)).drop("fine", "chosen")
-    d = [F.col(f"x{i}") - F.col("mean")[i] for i in range(DIMS)]
-    d2 = sum((d[i] * d[j] * F.col("inverse")[i * DIMS + j] * (1 if i == j else 2) for i in range(DIMS) for j in range(i, DIMS)), F.lit(0.0))
-    rows = rows.join(small(params.drop("n"), 20_000), "level", "left").withColumn("d2", d2).drop("mean", "inverse", "level", *x)
+    good = stats.filter("NOT base_failed")
+    whole, lang, fine = levels()
+    groups = good.select(lang.alias("lang"), fine.alias("fine")).distinct()
+    kinds = [(whole, F.lit(None).cast("string"), 0), (F.col("lang"), whole, 1), (F.col("fine"), F.col("lang"), 2)]
+    parents = groups.select(F.inline(F.array(*(F.struct(c.alias("level"), p.alias("parent"), F.lit(d).alias("depth")) for c, p, d in kinds)))).distinct()
+    params = fit_mcd(good.select("salt", *x, F.explode(F.array(*levels())).alias("level")), stored(parents, "quality-levels"))
+    rows = met(stats, "level", params.select("level", "mean", "inverse"), "left", 20_000).withColumn("d2", _d2()).drop("mean", "inverse", "level", "salt", *x)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi2_quantile(1 - reject, DIMS)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
+    """The rows of docs that the rules keep, with the columns of docs; rows of equal doc_id and text share their verdict.  A null text goes."""
     bad = stored(judge(docs).filter("NOT kept").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_hash")).distinct(), "quality-rejects")
     return without(docs, [F.col("doc_id"), F.xxhash64("text", "lang", "source")], bad)
 

@@ -54,8 +54,8 @@ def test_mcd_resists_outliers(spark):
     r = np.random.default_rng(3)
     good = r.normal(0, 1, (3000, quality.DIMS))
     bad = r.normal(12, 0.3, (400, quality.DIMS))
-    rows = spark.createDataFrame([("a", *map(float, x)) for x in np.concatenate((good, bad))], "level string, " + ", ".join(f"x{i} double" for i in range(quality.DIMS)))
-    fit = quality.fit_mcd(rows).first()
+    rows = spark.createDataFrame([("*", k % 7, *map(float, x)) for k, x in enumerate(np.concatenate((good, bad)))], "level string, salt int, " + ", ".join(f"x{i} double" for i in range(quality.DIMS)))
+    fit = quality.fit_mcd(rows, spark.createDataFrame([("*", None, 0)], "level string, parent string, depth int")).first()
     assert np.abs(np.array(fit["mean"])).max() < 0.15
     cov = np.linalg.inv(np.array(fit["inverse"]).reshape(quality.DIMS, quality.DIMS)) - np.diag([v * v for v in quality.FLOORS.values()])
     assert np.diag(cov) == pytest.approx(np.ones(quality.DIMS), abs=0.25)
