@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,8 +17,14 @@ from .common import table
 
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 
-EMAIL = re.compile(r"""[^\s@<>()\[\],;:"'|=]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}""")
-LOCAL_END = re.compile(r"""[\s@<>()\[\],;:"'|=]""")
+EMAIL = re.compile(r"""[^\s@<>()\[\],;:"'|=]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}""")
+LOCAL_END = set("@<>()[],;:\"'|=")
+#: Where an IPv6 address may be, and its form; it must be whole, or have three groups and a digit, so that a::b is none.
+COLONS, IPV6 = re.compile(r":[0-9A-Fa-f]{0,4}:"), re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:]|\.\d)", re.A)
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODES = set(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 #: Numbers by kind, in the order in which they are tried: what may stand before one, its form, what may not follow.
 NUMBERS = [
     (kind, re.compile(before + form, re.A), re.compile(form, re.A), re.compile(after, re.A))
@@ -26,7 +34,7 @@ NUMBERS = [
         ("date", r"(?<![\w.+-])", r"\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}", r"(?![\w/-]|\.\d)"),
         ("ssn", r"(?<![\w.+-])", r"\d{3}-\d{2}-\d{4}", r"(?![\w-]|\.\d)"),
         ("ip", r"(?<![\w.-])", r"\d{1,3}(?:\.\d{1,3}){3}", r"(?![\w-]|\.\d)"),
-        ("phone", r"(?<!\w)", r"(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,5}", r"(?!\w|-(?!\d)|\.\d)"),
+        ("phone", r"(?<!\w)", r"(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,5}|(?:1-)?[2-9]\d{2}-\d{3}-\d{4}|(?:1\.)?[2-9]\d{2}\.\d{3}\.\d{4}", r"(?!\w|-(?!\d)|\.\d)"),
         ("card", r"(?:(?<![\w.-])|(?<=\d-))", r"\d(?:[\x20-]?\d){12,18}", r"(?!\w|-(?!\d)|\.\d)"),
     )
 ]
@@ -59,31 +67,36 @@ def number_at(text: str, start: int, stop: int, pseudonym: Callable[[str, str],
 
 def values(text: str, pseudonym: Callable[[str, str], str | None]) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of the values, in order: mail addresses, and valid numbers outside these."""
-    mails, at = [], text.find("@")
+    fixed, at = [], text.find("@")
     while at >= 0:
-        begin = max(at - 64, mails[-1][1] if mails else 0)
-        stops = list(LOCAL_END.finditer(text, begin, at))
-        m = EMAIL.match(text, stops[-1].end() if stops else begin)
+        begin, least = at, fixed[-1][2] if fixed else 0
+        while begin > least and not (text[begin - 1] in LOCAL_END or text[begin - 1].isspace()):
+            begin -= 1
+        m = EMAIL.match(text, begin)
         if m:
-            mails.append((m.start(), m.end(), pseudonym("email", m[0])))
+            fixed.append(("email", m.start(), m.end(), pseudonym("email", m[0])))
         at = text.find("@", m.end() if m else at + 1)
+    if "::" in text or COLONS.search(text):
+        others = ((m, pseudonym("ip", m[0])) for m in IPV6.finditer(text))
+        spans = [(a, z) for _, a, z, _ in fixed]
+        fixed += [("ip", m.start(), m.end(), new) for m, new in others if new and not any(a < m.end() and m.start() < z for a, z in spans)]
+        fixed.sort(key=lambda f: f[1])
     done, k = 0, 0
     for run in DIGITS.finditer(text):
-        while k < len(mails) and mails[k][1] <= run.start():
-            done = max(done, mails[k][1])
-            yield "email", *mails[k]
+        while k < len(fixed) and fixed[k][2] <= run.start():
+            done = max(done, fixed[k][2])
+            yield fixed[k]
             k += 1
-        inside = k < len(mails) and mails[k][0] < run.end()
+        inside = k < len(fixed) and fixed[k][1] < run.end()
         if inside or run.start() < done:
             continue
         for p in range(max(done, run.start() - LEAD), run.start() + 1):
-            found = number_at(text, p, mails[k][0] if k < len(mails) else len(text), pseudonym)
+            found = number_at(text, p, fixed[k][1] if k < len(fixed) else len(text), pseudonym)
             if found:
                 yield found
                 done = found[2]
                 break
-    for mail in mails[k:]:
-        yield "email", *mail
+    yield from fixed[k:]
 
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -167,11 +180,13 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def _email(self, text: str) -> str:
+        """Case stays where it is and decides nothing else."""
         local, _, domain = text.rpartition("@")
-        done = "".join(self._letters(local[i : i + 24], f"email{i}") for i in range(0, len(local), 24))
-        if done == local:  # nothing in it to permute
-            done = hashlib.blake2b(local.encode(), key=self.feistel.key, digest_size=6).hexdigest()
-        return f"{done}@{domain}"
+        plain = "".join(c.lower() if c.isascii() else c for c in local)
+        done = "".join(self._letters(plain[i : i + 24], f"email{i}") for i in range(0, len(plain), 24))
+        if done == plain:  # nothing in it to permute
+            return f"{hashlib.blake2b(plain.encode(), key=self.feistel.key, digest_size=6).hexdigest()}@{domain}"
+        return f"{''.join(n.upper() if c.isascii() and c.isupper() else n for c, n in zip(local, done, strict=True))}@{domain}"
 
     def _card(self, text: str) -> str | None:
         d = "".join(c for c in text if c.isdigit())
@@ -184,8 +199,13 @@ class Pseudonyms:
         d = "".join(c for c in text if c.isdigit())
         if not 8 <= len(d) <= 15:
             return None
-        keep = len(re.match(r"\+(\d{1,3})(?=\D|$)", text)[1]) if re.match(r"\+\d{1,3}(?=\D|$)", text) else 2 if text[0] == "+" else 0
-        return _refill(text, d[:keep] + self._number(d[keep:], f"phone{d[:keep]}"))
+        # The digits decide alone: a country code after a plus, or a 1 before ten digits; ten digits without one are as with +1.
+        if text[0] == "+":
+            keep = next((n for n in (1, 2) if d[:n] in COUNTRY_CODES), 3)
+        else:
+            keep = int(len(d) == 11 and d[0] == "1")
+        code = d[:keep] or ("1" if len(d) == 10 else "")
+        return _refill(text, d[:keep] + self._number(d[keep:], f"phone{code}"))
 
     def _ssn(self, text: str) -> str | None:
         valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
@@ -197,6 +217,14 @@ class Pseudonyms:
         return _refill(text, d) if d != text.replace("-", "") else None
 
     def _ip(self, text: str) -> str | None:
+        if ":" in text:
+            try:
+                x = int(ipaddress.IPv6Address(text))
+            except ValueError:
+                return None
+            if sum(map(bool, text.split(":"))) < 3 or not any(c.isdigit() for c in text):
+                return None
+            return str(ipaddress.IPv6Address(self.feistel.permute(x, 1 << 128, "ip6")))
         parts = text.split(".")
         if any(int(p) > 255 or p != str(int(p)) for p in parts):
             return None
@@ -214,7 +242,11 @@ class Pseudonyms:
     def _date(self, text: str) -> str | None:
         sep = next(c for c in text if not c.isdigit())
         parts = text.split(sep)
-        y, m, d = parts if sep == "-" else (parts[2], parts[0], parts[1]) if sep == "/" else reversed(parts)
+        if sep == "/" and int(parts[0]) > 12:  # no month: the day comes first
+            shape = "dmy"
+        else:
+            shape = {"-": "ymd", "/": "mdy", ".": "dmy"}[sep]
+        y, m, d = (parts[shape.index(c)] for c in "ymd")
         try:
             day = datetime.date(int(y), int(m), int(d)).toordinal()
         except ValueError:
@@ -222,8 +254,10 @@ class Pseudonyms:
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
         new = datetime.date.fromordinal(FIRST_DAY + self.feistel.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-        shown = [f"{new.year}", f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}"]
-        return sep.join(shown if sep == "-" else [shown[1], shown[2], shown[0]] if sep == "/" else shown[::-1])
+        if shape == "dmy" and sep == "/" and new.day <= 12:  # a reader would take the day for the month
+            shape, m, d = "mdy", d, m
+        shown = {"y": f"{new.year}", "m": f"{new.month:0{len(m)}d}", "d": f"{new.day:0{len(d)}d}"}
+        return sep.join(shown[c] for c in shape)
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and what was replaced: (kind, start, end) in the text as it was."""
@@ -256,19 +290,24 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, counts by kind, and the replaced spans, of each row of docs (doc_id, text).
 
     Cards (13 to 19 digits) must pass Luhn and IBANs modulo 97, dates must exist (1900 to 2099), phones have 8 to 15
-    digits, IPv4 addresses four octets, US social security numbers assignable parts.  A value's digits (of mail
-    addresses the letters and digits before the @) are permuted under `key` within its format: separators, lengths, a
+    digits, IPv4 addresses four octets, IPv6 addresses eight groups (or three beside ::), US social security numbers assignable
+    parts; 12/25/2024 and 25/12/2024 are one date.  A value's digits (of mail addresses the letters and digits before the @, case aside) are permuted under `key` within its format: separators, lengths, a
     card's first digit and its check digits, country codes and mail domains stay valid.  No value keeps its own text, and
     equal values get equal pseudonyms in all documents; invalid look-alikes stay, but a valid value inside a longer invalid
     run, between its separators, does not.  A null text stays null; repeated
-    rows and null doc_ids are ordinary rows; other columns are not read.  One narrow pass, no shuffle.
+    rows and null doc_ids are ordinary rows; other columns are not read.  No rows: an empty result.  One narrow pass, no shuffle.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     return docs.select("doc_id", "text").mapInArrow(_run(key), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string")
 
 
 def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key is a secret of whoever runs it: spark.bandseries.pseudonym.key, with a default for tests only."""
-    key = spark.conf.get("spark.bandseries.pseudonym.key", "for tests only")
+    key = spark.conf.get("spark.bandseries.pseudonym.key", None)
+    if key is None:
+        warnings.warn("spark.bandseries.pseudonym.key is unset: pseudonyms under the key for tests can be taken back by anyone", stacklevel=2)
+        key = "for tests only"
     return pseudonymise(table(spark, sf_dir, "documents"), key)
 
 
