@@ -32,11 +32,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest fitting rule (host + path) and its verdict; nulls where none fits."""
-    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    name, verdict, *_ = ruled(host, path, rules)
+    return name, verdict
+
+
+def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column, Column, Column]:
+    """As rule_of, and what the rule leaves of host and path; all of both where none fits."""
+    name, verdict, host_rest, path_rest = F.lit(None).cast("string"), F.lit(None).cast("string"), host, path
     for says, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(says)).otherwise(verdict)
-    return name, verdict
+        host_rest = F.when(fits, F.substring(host, F.lit(1), F.length(host) - len(h))).otherwise(host_rest)
+        path_rest = F.when(fits, F.substring(path, F.lit(len(p) + 1), F.length(path))).otherwise(path_rest)
+    return name, verdict, host_rest, path_rest
 
 
 class Segmenter:
@@ -74,15 +82,19 @@ def _tokens(counts: dict[str, int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Segmenter(counts)
         for f in frames:
-            f["tokens"] = [s.words(h, p) for h, p in zip(f["host"], f["path"], strict=True)]
-            yield f
+            f["tokens"] = [s.words(h, p) for h, p in zip(f["host_rest"], f["path_rest"], strict=True)]
+            yield f.drop(columns=["host_rest", "path_rest"])
 
     return run
 
 
 def unigrams(texts: DataFrame, column: str, most: int = 50_000) -> dict[str, int]:
-    """Counts of the `most` commonest lower-case ASCII words of all rows: the segmenter's model, of bounded size."""
-    words = texts.select(F.explode(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), "[^a-z]+")).alias("word")).filter("length(word) > 1")
+    """Counts of the `most` commonest words of two or more ASCII letters, case aside, over all rows.
+
+    They are the segmenter's dictionary; its size is a parameter of the model, and rarer words are unknown words to it.
+    """
+    lowered = F.translate(F.coalesce(F.col(column), F.lit("")), UPPER, LOWER)
+    words = texts.select(F.explode(F.split(lowered, "[^a-z]+")).alias("word")).filter("length(word) > 1")
     top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
     return {r["word"]: r["n"] for r in top.collect()}
 
@@ -91,15 +103,17 @@ def judge_urls(pages: DataFrame, counts: dict[str, int], rules: list[tuple[str,
     """page_id, host, path, rule, verdict, score and method of each row of pages (page_id, url; no other column is read).
 
     The longest rule that fits decides.  All urls that a rule decides train a multinomial naive Bayes (add-one) over
-    segmented host and path tokens, which decides the others: `block` if the log odds of block, `score`, are above 0.
+    segmented host and path tokens, which decides the others: `block` if the log odds of block, `score`, are above 0.  What the
+    deciding rule itself names of host and path trains nothing, so the classifier doesn't learn the rules over again.
     Token counts are aggregated over all rows and all tokens are the model, joined to the rows by shuffle.  A null url, or one without
-    ://, has an empty host and path and so no tokens; its odds are those of the classes.  With no rule decided either way
+    ://, has an empty host and path and so no tokens; its odds are those of the classes.  Names are segmented whole, however long.  With no rule decided either way
     the odds are 0 and the verdict is allow.  Repeated rows are judged alike.  No rows: an empty result.
     """
     host, path = host_and_path(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path")).mapInPandas(_tokens(counts), "page_id long, host string, path string, tokens array<string>")
-    name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = stored(split.withColumn("rule", name).withColumn("ruled", verdict).withColumn("row", F.monotonically_increasing_id()), "urls")
+    name, verdict, host_rest, path_rest = ruled(F.col("host"), F.col("path"), rules)
+    split = pages.select("page_id", host.alias("host"), path.alias("path")).select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), host_rest.alias("host_rest"), path_rest.alias("path_rest"))
+    split = split.mapInPandas(_tokens(counts), "page_id long, host string, path string, rule string, ruled string, tokens array<string>")
+    rows = stored(split.withColumn("row", F.monotonically_increasing_id()), "urls")
     blocked = F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0))
     classes = rows.filter("ruled IS NOT NULL").agg(blocked.alias("block"), F.count(F.lit(1)).alias("n")).first()
     n_block, n_allow = (classes["block"] or 0), classes["n"] - (classes["block"] or 0)
@@ -124,8 +138,8 @@ def judge_urls(pages: DataFrame, counts: dict[str, int], rules: list[tuple[str,
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    titles = pages.select(F.regexp_extract("html", r"(?s)<title>([^<]*)", 1).alias("title"))
-    return judge_urls(pages, unigrams(titles, "title")).select("page_id", "host", "path", "rule", "verdict", "score")
+    texts = pages.select(F.regexp_replace("html", r"(?s)<[^>]*>", " ").alias("text"))
+    return judge_urls(pages, unigrams(texts, "text")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 QUERIES = {"op8_url_filter": op8_url_filter}
