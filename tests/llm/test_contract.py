@@ -204,6 +204,55 @@ def test_op8(spark, sf, pages):
         assert r["verdict"] == best[0] if best else r["verdict"] in ("allow", "block")
 
 
+def test_op8_verdicts(spark):
+    """Viterbi and naive Bayes in plain Python, trained without what the deciding rules name."""
+    import math
+
+    sf = "/root/testdata/sf0.01"
+    pages = duck(sf).execute("SELECT page_id, url, html FROM pages ORDER BY page_id").fetchall()
+    small = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts = Counter(w for _, _, html in pages for w in re.split("[^a-z]+", re.sub("<[^>]*>", " ", html or "").translate(small)) if len(w) > 1)
+    counts = dict(sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:50_000])
+    total = sum(counts.values()) + 1
+
+    def split(name):
+        best = [(0.0, [])]
+        for j in range(1, len(name) + 1):
+            ways = []
+            for i in range(max(0, j - 24), j):
+                w = name[i:j]
+                cost = math.log(total / counts[w]) if w in counts else math.log(10 * total) + 2.3 * (len(w) - 1)
+                ways.append((best[i][0] + cost, i, w))
+            cost, i, w = min(ways)
+            best.append((cost, [*best[i][1], w]))
+        return best[-1][1]
+
+    words = lambda host, path: [f"{k}:{w}" for k, text in (("h", host), ("p", path.lower())) for part in re.split("[^a-z]+", text) if part for w in split(part)]
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    n, seen, rest = Counter(), {"block": Counter(), "allow": Counter()}, {}
+    for p, url, _ in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate(small), m[2]) if m else ("", "")
+        fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        if not fits:
+            rest[p] = words(host, path)
+            continue
+        says, h, q = max(fits, key=lambda r: len(r[1] + r[2]))
+        n[says] += 1
+        seen[says].update(words(host[: len(host) - len(h)], path[len(q) :]))
+    size = len(seen["block"].keys() | seen["allow"].keys())
+    base = {v: sum(c.values()) + size + 1 for v, c in seen.items()}
+    got = {r["page_id"]: r for r in run(spark, sf, "op8_url_filter")}
+    assert len(rest) > 20
+    for p, tokens in rest.items():
+        score = math.log((n["block"] + 1) / (n["allow"] + 1))
+        for t in tokens:
+            if t in seen["block"] or t in seen["allow"]:
+                score += math.log((seen["block"][t] + 1) / base["block"]) - math.log((seen["allow"][t] + 1) / base["allow"])
+        assert got[p]["score"] == pytest.approx(score, abs=1e-9)
+        assert got[p]["verdict"] == ("block" if score > 0 else "allow") or abs(score) < 1e-9
+
+
 def test_op9(spark, sf, docs):
     rows = run(spark, sf, "op9_lpt_sharding")
     text = {d: t or "" for d, t, _, _ in docs}
@@ -290,6 +339,37 @@ def test_op6(spark, sf, docs):
     assert kinds
 
 
+def personal(text):
+    """Values that must not stay, by plain patterns of their own and a check of each."""
+    found = [m[0] for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}", text)]
+    for m in re.finditer(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        doubled = [x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))]
+        if sum(doubled) % 10 == 0 and len(set(d)) > 1:
+            found.append(m[0])
+    for m in re.finditer(r"(?<![\w.+-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w-])", text):
+        if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+            found.append(m[0])
+    for m in re.finditer(r"(?<![\w.-])(?:[0-9]{1,3}[.]){3}[0-9]{1,3}(?![\w-]|[.][0-9])", text):
+        if all(str(int(x)) == x and int(x) < 256 for x in m[0].split(".")):
+            found.append(m[0])
+    return found
+
+
+def test_op6_leaves_none_of_what_a_plain_finder_finds(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = duck(sf).execute("SELECT doc_id, text FROM documents").fetchall()
+    got = {r["doc_id"]: r for r in run(spark, sf, "op6_feistel_pii")}
+    n = 0
+    for d, t in rows:
+        values = personal(t or "")
+        n += len(values)
+        assert all(v not in got[d]["text"] for v in values)
+        if not re.search(r"[0-9]{2}|@|::", t or ""):
+            assert got[d]["text"] == t
+    assert n > 20
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
