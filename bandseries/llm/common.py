@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,7 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 
 _OWN: dict[str, str] = {}
+_STEP = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +39,26 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if getattr(_STEP, "paths", None) is not None:
+        _STEP.paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_of_a_step() -> Iterator[list[str]]:
+    """The scratch paths that this thread asks for inside, so that they can be discarded once the step's result is written."""
+    before, _STEP.paths = getattr(_STEP, "paths", None), []
+    try:
+        yield _STEP.paths
+    finally:
+        _STEP.paths = before
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -64,8 +64,9 @@ def find_phrases(docs: DataFrame, phrases: DataFrame, slop: int = 0) -> tuple[Da
     """Exact matches (doc_id, hash, phrase, start, length) of phrases (phrase, terms), and (doc_id, hash, n_words) per row.
 
     Phrases with a term that no document has are out at once.  Of each other phrase, the lists of its two rarest terms are
-    taken from the index; shifted by the terms' offsets, they must meet in one start.  What meets is held against the
-    document's words.  With slop > 0 the two rarest terms may be up to `slop` words off their distance, and a match is
+    taken from the index; shifted by the terms' offsets, they must meet in one start.  The index has no lists of terms that are
+    in no phrase among the two rarest: these would be the longest, and what meets is held against the document's words, which
+    decides on all terms at once.  With slop > 0 the two rarest terms may be up to `slop` words off their distance, and a match is
     a stretch in which all terms occur in order with at most `slop` words between in all (proximity).
     """
     rows = document_rows(docs)
@@ -92,9 +93,11 @@ def find_phrases(docs: DataFrame, phrases: DataFrame, slop: int = 0) -> tuple[Da
 
     found = met.select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).distinct()
     here = rows.join(small(found), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "hash"])
-    tried = met.withColumnRenamed("doc_id", "_doc").withColumnRenamed("hash", "_hash").join(small(phrases), "phrase")
-    tried = here.join(tried, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
+    tries = met.withColumnsRenamed({"doc_id": "_doc", "hash": "_hash"}).join(small(phrases), "phrase")
+    tries = tries.groupBy("_doc", "_hash").agg(F.collect_list(F.struct("phrase", "start", "length", "terms")).alias("tries"))  # so a text's words are there once
+    tried = here.join(tries, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
     if slop:
+        tried = tried.select("doc_id", "hash", "words", F.inline("tries"))
         span = F.slice("words", F.col("start") + 1, F.col("length") + slop)
         # Walk through the span: at each word, go on to the next term if it is the one awaited.
         walked = F.aggregate(span, F.struct(F.lit(0).alias("at"), F.lit(0).alias("seen")), lambda s, w: F.struct(
@@ -104,7 +107,8 @@ def find_phrases(docs: DataFrame, phrases: DataFrame, slop: int = 0) -> tuple[Da
         tried = tried.withColumn("walk", walked).filter((F.col("walk.at") == F.col("length")) & (F.get("words", F.col("start")) == F.get("terms", F.lit(0))))
         matches = tried.select("doc_id", "hash", "phrase", "start", F.col("walk.seen").alias("length"))
     else:
-        matches = tried.filter(F.slice("words", F.col("start") + 1, F.col("length")) == F.col("terms")).select("doc_id", "hash", "phrase", "start", "length")
+        exact = F.filter("tries", lambda t: F.slice("words", t["start"] + 1, t["length"]) == t["terms"])
+        matches = tried.select("doc_id", "hash", F.inline(exact)).drop("terms")
     return stored(matches, "matches"), index.filter("term IS NULL").select("doc_id", "hash", F.col("position").cast("long").alias("n_words"))
 
 
@@ -139,7 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs."""
+    """The rows of docs that are not contaminated, with the columns of docs; rows of equal doc_id and text share their verdict, null texts stay."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
     found = stored(found.select(F.col("doc_id").alias("_bad"), F.col("hash").alias("_hash")).distinct(), "contaminated")
     return without(docs, [F.col("doc_id"), F.xxhash64("text")], found)

@@ -372,6 +372,7 @@ def test_op6_leaves_none_of_what_a_plain_finder_finds(spark):
 
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
+    from bandseries.llm.common import stored
 
     d = spark.read.parquet(f"{sf}/documents.parquet")
     kept = [d.count()]
@@ -379,8 +380,7 @@ def test_pipeline(spark, sf, docs):
         before = d.columns
         d = stage(spark, d, sf)
         assert d.columns == before, name
-        path = corpus_pipeline.stored(d, "test")
-        d = path
+        d = stored(d, "test")
         kept.append(d.count())
     assert kept[0] > kept[1] > kept[2] >= kept[3]
     texts = [r["text"] for r in d.select("doc_id", "text").distinct().collect()]
