@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandseries.llm.common import stored, table
+from bandseries.llm.common import discard, scratch, scratch_of_a_step, table
 from bandseries.llm.decontaminate import decontamination_stage
 from bandseries.llm.mixing import mixing_stage
 from bandseries.llm.neardup import dedup_stage
@@ -24,7 +24,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's own tables, and the stage before, are deleted once it is written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = scratch(spark, f"stage-{name.replace(' ', '-')}")
+        with scratch_of_a_step() as made:
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        discard(spark, made + last)
+        docs, last = spark.read.schema(out.schema).parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
