@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SALTS, chi2_quantile, met, small, stored, table, without
-from .textnum import SPACE, Hasher, U, blocks, mix, shingles, words
+from .textnum import SPACE, Hasher, U, blocks, mix, shingles, trim, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -85,6 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(i, 2000)
             out = {n: part[n] for n in part.schema.names if n != "text"} | {k: pa.array(v) for k, v in text_counts(part["text"]).items()}
             yield pa.RecordBatch.from_pydict(out)
+    trim()
 
 
 def statistics(docs: DataFrame) -> DataFrame:

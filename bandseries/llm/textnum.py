@@ -5,6 +5,7 @@ Hashes are polynomials in the bytes modulo 2**64, finished by a mixer; equal str
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,6 +46,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def trim() -> None:
+    """Gives freed memory back to the system at the end of a task: worker processes live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 class Block(NamedTuple):
     """Some whole texts: rows [first, last) of the column; text i is data[at[i]:at[i + 1]]."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import scratch, small, table
-from .textnum import Hasher, U, blocks, mix
+from .textnum import Hasher, U, blocks, mix, trim
 
 END = 0  # the id after each document
 
@@ -28,11 +28,11 @@ CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 class Encoder:
     """Ids of whole texts, by the tokenizers library; the ids of chunks seen before are looked up.
 
-    Chunks are known by 64-bit hashes and their lengths (of 2 million chunks, two are taken for one another with a probability of 1e-7 at
+    Chunks are known by 64-bit hashes and their lengths (of a million chunks, two are taken for one another with a probability of 1e-7 at
     most).  At most `held` chunks, of about 40 bytes each, are remembered in a worker process; then the table starts afresh.
     """
 
-    def __init__(self, path: str, held: int = 1_500_000) -> None:
+    def __init__(self, path: str, held: int = 600_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -330,6 +330,8 @@ def _pack(path: str, shard_ids: int):
                     shard, docs, ids, held = shard + 1, [], [], 0
         if docs:
             yield pack(shard, docs, ids)
+        del docs, ids
+        trim()
 
     return run
 
@@ -359,6 +361,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": row["doc_ids"][0].values, "start": pa.array(ends - n + row["base"][0].as_py()), "n_tokens": pa.array(n.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())}
             )
+    trim()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
