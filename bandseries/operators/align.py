@@ -149,9 +149,8 @@ def nearest_value(obs: DataFrame, times: DataFrame, band: str, value: str = "flu
     one = obs.filter(F.col("band") == band).groupBy("object_id", "t").agg(F.min(F.struct("seq", value)).alias("_p"))
     both = one.select("object_id", "t", F.lit(None).cast("long").alias("bin"), F.struct("t", F.col(f"_p.{value}").alias("v")).alias("_p"))
     both = both.unionByName(times.select("object_id", "t", "bin", F.lit(None).cast(both.schema["_p"].dataType).alias("_p")))
-    w = Window.partitionBy("object_id").orderBy("t")
-    near = both.withColumn("_a", F.last("_p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    near = near.withColumn("_b", F.first("_p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).filter("bin IS NOT NULL")
+    way = lambda order: Window.partitionBy("object_id").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_a", F.last("_p", ignorenulls=True).over(way("t"))).withColumn("_b", F.last("_p", ignorenulls=True).over(way(F.desc("t")))).filter("bin IS NOT NULL")
     closer = F.col("_b.t") - F.col("t") < F.col("t") - F.col("_a.t")
     got = F.when(F.col("_a").isNull() | closer, F.col("_b.v")).otherwise(F.col("_a.v"))
     return near.select("object_id", "bin", "t", F.lit(band).alias("band"), F.coalesce(got, F.lit(0.0)).alias("value"))

@@ -88,7 +88,8 @@ def smote(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, seed:
     """Synthetic rows (label, draw, base, neighbour, step, vector) that bring each class up to the largest.
 
     Draw d of a class picks a row, one of its k nearest and a step by hashes of seed, class and d; the vector lies on
-    the segment between the two.  Only classes that need rows have neighbours computed.
+    the segment between the two; a row that is alone in its class is its own neighbour, so every draw makes a row.  Only
+    classes that need rows have neighbours computed.
     """
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     most = sizes.agg(F.max("_n")).first()[0] or 0
@@ -100,9 +101,9 @@ def smote(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, seed:
     drawn = draws.withColumn("_at", F.floor(u("row") * F.col("_n")).cast("long")).join(placed, [label, "_at"])
     near = class_neighbours(minority, key, label, vector, k)
     held = near.groupBy(F.col(key).alias("base")).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))
-    drawn = drawn.join(held, "base")
+    drawn = drawn.join(held, "base", "left")
     pick = F.element_at("_near", (F.floor(u("neighbour") * F.size("_near")) + 1).cast("int"))
-    drawn = drawn.select(label, "draw", "base", pick["neighbour"].alias("neighbour"), u("step").alias("step"), "_x")
+    drawn = drawn.select(label, "draw", "base", F.coalesce(pick["neighbour"], "base").alias("neighbour"), u("step").alias("step"), "_x")
     other = minority.select(F.col(key).alias("neighbour"), F.col(vector).alias("_y"))
     made = drawn.join(other, "neighbour")
     mixed = lambda x, y: x.cast("double") + F.col("step") * (y.cast("double") - x.cast("double"))

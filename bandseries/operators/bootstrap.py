@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform, predicted
+from ..sources.tables import stored
 from . import curves, metrics
 
 MEASURES = ["precision", "recall", "f1", "roc_auc", "pr_auc"]
@@ -45,8 +46,11 @@ def resampled_exactly(predictions: DataFrame, key: str, iterations: int, seed: i
 
 
 def iteration_metrics(drawn: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(iter, MEASURES) from weighted rows (iter, label, score, weight)."""
-    sums = drawn.groupBy("iter", "label", "score").agg(F.sum("weight").alias("weight"))
+    """(iter, MEASURES) from weighted rows (iter, label, score, weight).
+
+    Draws are summed by score once and written; all measures start from these sums.
+    """
+    sums = stored(drawn.groupBy("iter", "label", "score").agg(F.sum("weight").alias("weight")), "bootstrap")
     counts = metrics.confusion(sums.withColumn("pred", predicted(F.col("score"), threshold)), [0, 1], ["iter"], "weight")
     totals = curves.score_totals(sums, 1, ["iter"], "weight")
     out = metrics.weighted_prf(counts, ["iter"]).drop("accuracy")

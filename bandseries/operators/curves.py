@@ -86,7 +86,7 @@ def score_density(predictions: DataFrame, grid: int = 100) -> DataFrame:
     xs = [lo + k * (hi - lo) / (grid - 1) for k in range(grid)]
     each = predictions.groupBy("label", "score").agg(F.count(F.lit(1)).alias("n"))
     width = predictions.groupBy("label").agg((F.stddev_samp("score") * F.pow(F.count("score").cast("double"), -0.2)).alias("h"), F.count("score").alias("all")).filter("h > 0")
-    spread = each.join(F.broadcast(width), "label").select("label", "score", "n", "h", "all", F.posexplode(F.array(*map(F.lit, xs))).alias("k", "x"))
+    spread = each.join(width, "label").select("label", "score", "n", "h", "all", F.posexplode(F.array(*map(F.lit, xs))).alias("k", "x"))
     z = (F.col("x") - F.col("score")) / F.col("h")
     kernel = F.col("n") * F.exp(-0.5 * z * z) / (F.col("all") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
     return spread.groupBy("label", "k", "x").agg(F.sum(kernel).alias("density"))

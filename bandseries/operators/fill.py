@@ -22,11 +22,12 @@ def fill_gaps(aligned: DataFrame, bands: list[str] = BANDS, seed: int = 42, inte
     off: the earlier value).  Before the first or after the last: that value.  No value at all: 0.  Errors likewise.
     """
     key = ["pass", "object_id"] if "pass" in aligned.columns else ["object_id"]
-    w = Window.partitionBy(*key).orderBy("bin")
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # Running values in both directions: a frame that ends with the partition would be read to its end for every row.
+    past = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    future = Window.partitionBy(*key).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for c in [*bands, *(f"{b}_err" for b in bands)]:
-        before, after = F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(future)
+        before, after = F.last(c, ignorenulls=True).over(past), F.last(c, ignorenulls=True).over(future)
         u = hash_uniform(seed, *key, "bin", F.lit(c))
         inner = before + u * (after - before) if interior else before
         out[c] = F.coalesce(F.col(c), inner, before, after, F.lit(0.0))

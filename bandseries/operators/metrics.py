@@ -13,7 +13,10 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def confusion(predictions: DataFrame, classes: list[int], keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """(keys, label, pred, n) on the full grid of classes; pairs that don't occur have 0."""
+    """(keys, label, pred, n) on the full grid of classes; pairs that don't occur have 0.
+
+    Rows whose label or prediction is null or none of `classes` are in no cell; left_out counts them.
+    """
     keys = keys or []
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     n = predictions.groupBy(*keys, "label", "pred").agg(amount.alias("n"))
@@ -22,6 +25,12 @@ def confusion(predictions: DataFrame, classes: list[int], keys: list[str] | None
     return grid.join(n, [*keys, "label", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def left_out(predictions: DataFrame, classes: list[int]) -> int:
+    """Rows that no cell of `confusion` counts."""
+    inside = F.col("label").isin(classes) & F.col("pred").isin(classes)
+    return predictions.filter(~F.coalesce(inside, F.lit(False))).count()
+
+
 def per_class(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, label, precision, recall, f1, support) from confusion counts."""
     keys = keys or []

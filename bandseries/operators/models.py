@@ -66,8 +66,8 @@ class BalancedClassifier(Estimator):
 
 #: Ranges of the search, by Spark's names: (kind, least, largest) or a list.
 SPACES = {
-    "boosted": {"maxIter": ("step", 10, 100), "maxDepth": ("int", 3, 10), "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("real", 0.5, 1.0), "featureSubsetStrategy": ["all", "sqrt", "log2"]},
-    "forest": {"numTrees": ("step", 10, 100), "maxDepth": ("int", 5, 30), "minInstancesPerNode": ("int", 1, 5), "featureSubsetStrategy": ["sqrt", "log2", "all"]},
+    "boosted": {"maxIter": ("step", 100, 1000), "maxDepth": ("int", 3, 15), "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("real", 0.5, 1.0), "featureSubsetStrategy": ["all", "sqrt", "log2"]},
+    "forest": {"numTrees": ("step", 100, 1000), "maxDepth": ("int", 5, 50), "minInstancesPerNode": ("int", 1, 5), "featureSubsetStrategy": ["sqrt", "log2", "all"]},
     "linear": {"regParam": ("log", 1e-4, 1.0), "elasticNetParam": ("real", 0.0, 1.0)},
 }
 
@@ -82,7 +82,7 @@ def trials(family: str, n: int, seed: int = 42) -> list[dict]:
             if isinstance(space, list):
                 draw[name] = r.choice(space)
             elif space[0] == "step":
-                draw[name] = 10 * r.randint(space[1] // 10, space[2] // 10)
+                draw[name] = 100 * r.randint(space[1] // 100, space[2] // 100)
             elif space[0] == "int":
                 draw[name] = r.randint(space[1], space[2])
             elif space[0] == "real":

@@ -28,13 +28,27 @@ def linear_resample(obs: DataFrame, times: DataFrame, bands: list[str]) -> DataF
     p = p.select("object_id", "band", "t", F.lit(None).cast("long").alias("bin"), line.alias("_line"))
     asked = times.select("object_id", F.explode(F.array(*map(F.lit, bands))).alias("band"), "t", "bin", F.lit(None).cast(p.schema["_line"].dataType).alias("_line"))
     both = p.unionByName(asked)
-    past, future = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_use", F.coalesce(F.last("_line", ignorenulls=True).over(past), F.first("_line", ignorenulls=True).over(future))).filter("bin IS NOT NULL")
+    past = w.rangeBetween(Window.unboundedPreceding, 0)
+    future = Window.partitionBy("object_id", "band").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_use", F.coalesce(F.last("_line", ignorenulls=True).over(past), F.last("_line", ignorenulls=True).over(future))).filter("bin IS NOT NULL")
     a, b = F.col("_use.a"), F.col("_use.b")
     slope = F.when(a["t"] == b["t"], F.lit(0.0)).otherwise((b["y"] - a["y"]) / (b["t"] - a["t"]))
     return both.select("object_id", "band", "bin", "t", F.coalesce(a["y"] + slope * (F.col("t") - a["t"]), F.lit(0.0)).alias("value"))
 
 
+def _three_diagonals(low: list, mid: list, up: list, right: list) -> list:
+    """x of low[i] x[i-1] + mid[i] x[i] + up[i] x[i+1] = right[i], in one sweep down and one up."""
+    for i in range(1, len(mid)):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        right[i] -= f * right[i - 1]
+    x = right[-1:]
+    x[0] /= mid[-1]
+    for i in range(len(mid) - 2, -1, -1):
+        x.append((right[i] - up[i] * x[-1]) / mid[i])
+    return x[::-1]
+
+
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The cubic spline through (x, y), x increasing, whose first and last two pieces are one polynomial each.
 
@@ -49,13 +63,14 @@ def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     if n < 4:
         return y[k] + (y[k + 1] - y[k]) / h[k] * (at - x[k])
-    a, b = np.zeros((n, n)), np.zeros(n)
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    rows = np.arange(1, n - 1)
-    a[rows, rows - 1], a[rows, rows], a[rows, rows + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    b[1:-1] = 6 * np.diff(np.diff(y) / h)
-    m = np.linalg.solve(a, b)
+    # The ends' conditions give the first and last second derivative by the next two, which leaves three diagonals inside.
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    mid[0] += h[0] * (h[0] + h[1]) / h[1]
+    up[0] -= h[0] ** 2 / h[1]
+    mid[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    low[-1] -= h[-1] ** 2 / h[-2]
+    inner = _three_diagonals(low.tolist(), mid.tolist(), up.tolist(), (6 * np.diff(np.diff(y) / h)).tolist())
+    m = np.concatenate(([((h[0] + h[1]) * inner[0] - h[0] * inner[1]) / h[1]], inner, [((h[-2] + h[-1]) * inner[-1] - h[-1] * inner[-2]) / h[-2]]))
     d = at - x[k]
     slope = (y[k + 1] - y[k]) / h[k] - h[k] * (2 * m[k] + m[k + 1]) / 6
     return y[k] + d * (slope + d * (m[k] / 2 + d * (m[k + 1] - m[k]) / (6 * h[k])))

@@ -13,7 +13,7 @@ def object_ids(rows: DataFrame, key: str = "object_id") -> DataFrame:
     return rows.select(key).distinct()
 
 
-def split_objects(ids: DataFrame, test_fraction: float = 0.25, seed: int = 42, key: str = "object_id") -> DataFrame:
+def split_objects(ids: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: str = "object_id") -> DataFrame:
     """(key, split): floor(n x fraction) of the ids, by a hash of seed and id, are `test`, the rest `train`.  Exact at any size."""
     n = ids.count()
     placed = rank_by_uniform(ids.withColumn("_u", hash_uniform(seed, key)).withColumn("_all", F.lit(0)), ["_all"], "_u", [key], "_rank")
@@ -27,7 +27,7 @@ def route(rows: DataFrame, split: DataFrame, key: str = "object_id") -> tuple[Da
 
 
 def gather(rows: DataFrame, positions: DataFrame, key: str) -> DataFrame:
-    """The rows at the positions, as often as each is asked for."""
+    """The rows at the positions, as often as each is asked for; a position that no row has gives none."""
     return positions.select(key).join(rows, key)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import balance, bootstrap, curves, metrics, models, report, sequences, splits
+from ..operators import balance, bootstrap, curves, fill, metrics, models, report, sequences, splits
 from ..schemas import RESULTS
 from ..sources import tables as T
 from . import series
@@ -58,7 +58,7 @@ def class_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def smote(spark: SparkSession, d: str) -> DataFrame:
     made = balance.smote(minority(spark, d), "vec_id", "label", "embedding")
-    return rounded(made.select("draw", "base", "neighbour", "step", F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "x")), "step", "x")
+    return rounded(made.select("draw", "base", "neighbour", "step", F.posexplode("embedding").alias("dim", "x")), "step", "x")
 
 
 def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def score_density(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d)
-    each = bootstrap.iteration_metrics(bootstrap.resampled(rows, "doc_id", 50))
+    each = bootstrap.iteration_metrics(bootstrap.resampled(rows, "doc_id", 1000))
     point = report.model_metrics(rows.withColumn("model", F.lit("all"))).select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("point")) for m in bootstrap.MEASURES))))
     return rounded(bootstrap.against_point(bootstrap.intervals(each), point), "mean", "lower", "upper", "point", "below", "above")
 
@@ -197,10 +197,34 @@ def batch_scoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flat_io(spark: SparkSession, d: str) -> DataFrame:
-    rows = series.aligned(spark, d).withColumn("pass", F.lit(1)).withColumns({"ra": F.lit(52.5), "decl": F.lit(-27.5), "mwebv": F.lit(0.0096), "sim_z": F.lit(0.49), "class_code": (F.col("object_id") % 3 + 1).cast("int")})
+    """Two passes with the host's redshift, written apart and read together."""
+    rows = fill.passes(series.aligned(spark, d), 2).withColumns({"hostz": (F.col("object_id") % 9) / 10, "ra": F.lit(52.5), "decl": F.lit(-27.5), "mwebv": F.lit(0.0096), "sim_z": F.lit(0.49), "class_code": (F.col("object_id") % 3 + 1).cast("int")})
     path = T.scratch(spark, "flat")
-    T.write_flat(rows, path, fmt="csv")
-    return T.read_flat(spark, path, fmt="csv").select("pass", "object_id", F.round("t", 6).alias("t"), "g", "r", "i", "z", "class_code")
+    T.write_flat(rows, path, with_host=True, fmt="csv")
+    return T.read_flat(spark, path, with_host=True, fmt="csv").select("pass", "object_id", F.round("t", 6).alias("t"), F.round("hostz", 6).alias("hostz"), "g", "r", "i", "z", "class_code")
+
+
+def gather(spark: SparkSession, d: str) -> DataFrame:
+    """Rows taken by position, some of them often and some never."""
+    rows = features(spark, d).select(F.col("vec_id").alias("position"), "label")
+    return splits.gather(rows, rows.select((F.col("position") * F.col("position") % 500).alias("position")), "position")
+
+
+def fold_means(spark: SparkSession, d: str) -> DataFrame:
+    """Two thresholds as trials, their weighted F1 in five folds, and the means over these."""
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("trial"), F.lit(t).alias("least")) for k, t in enumerate((0.3, 0.5)))))
+    rows = scored(spark, d).select("label", "score", (F.col("doc_id") % 5).alias("fold"), each)
+    counts = metrics.confusion(rows.withColumn("pred", (F.col("score") >= F.col("least")).cast("int")), [0, 1], ["trial", "fold"])
+    return rounded(report.mean_over_folds(metrics.weighted_prf(counts, ["trial", "fold"])), "f1")
+
+
+def all_models(spark: SparkSession, d: str) -> DataFrame:
+    """Every family plain and balanced, scored on one test split: what must hold of any model's predictions."""
+    train, test = train_test(spark, d)
+    small = {"linear": {"maxIter": 10}, "forest": {"numTrees": 10, "maxDepth": 5, "seed": 42}, "boosted": {"maxIter": 3, "maxDepth": 3, "seed": 42}}
+    rows = models.score_all(models.train_all(train, small), test)
+    sure = F.bool_and((F.col("score") >= 0) & (F.col("score") <= 1) & (F.col("pred") == (F.col("score") >= 0.5).cast("int")))
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("object_id").alias("n_objects"), F.sum("label").alias("positives"), sure.alias("sure"))
 
 
 def dataset_io(spark: SparkSession, d: str) -> DataFrame:
@@ -225,6 +249,7 @@ QUERIES = {
         onehot_argmax, class_counts, imbalance_ratio, standardise, class_knn, smote, stratified_folds, confusion, class_report, weighted_prf, fp_fn, spcc,
         roc_curve, roc_auc, pr_curve, pr_auc, gain_curve, threshold_sweep, score_histogram, score_density, bootstrap_ci, model_comparison, dataset_comparison,
         params_text, linear_model, forest_model, gbt_model, cv_objective, batch_scoring, flat_io, dataset_io, results_io,
+        gather, fold_means, all_models,
     )
 }
 
@@ -289,7 +314,7 @@ ORACLE = {
             SELECT draw, base, x, {_U('step')} AS step, CAST(floor({_U('neighbour')} * k) + 1 AS BIGINT) AS rank
             FROM draws JOIN placed ON place = CAST(floor({_U('row')} * n) AS BIGINT) JOIN held ON held.vec_id = base)
         SELECT draw, base, neighbour, round(step, 6) AS step, CAST(d.dim AS INTEGER) AS dim, round(x[d.dim + 1]::DOUBLE + step * (y.embedding[d.dim + 1]::DOUBLE - x[d.dim + 1]::DOUBLE), 6) AS x
-        FROM picked p JOIN knn k ON k.vec_id = p.base AND k.rank = p.rank JOIN embeddings y ON y.vec_id = neighbour, (SELECT unnest([0, 1, 2, 3]) AS dim) d""",
+        FROM picked p JOIN knn k ON k.vec_id = p.base AND k.rank = p.rank JOIN embeddings y ON y.vec_id = neighbour, (SELECT unnest(range(0, 64)) AS dim) d""",
     "stratified_folds": f"SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {uniform_sql(chr(39) + '42' + chr(39), 'vec_id')}, vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings",
     "confusion": f"WITH {SCORED} SELECT CAST(a.c AS INTEGER) AS label, CAST(b.c AS INTEGER) AS pred, (SELECT count(*) FROM scored s WHERE s.label = a.c AND s.pred = b.c) AS n FROM (SELECT unnest([0, 1]) AS c) a, (SELECT unnest([0, 1]) AS c) b",
     "class_report": f"""
@@ -319,7 +344,7 @@ ORACLE = {
         SELECT label, k, round(sum(exp(-0.5 * ((x - score) / h) * ((x - score) / h))) / any_value(c * h * sqrt(2 * pi())), 6) AS density FROM scored JOIN h USING (label), g GROUP BY label, k""",
     "bootstrap_ci": f"""
         WITH {SCORED}, drawn AS (
-            SELECT iter, label, score, pred, len(list_filter([{_STEPS}], lambda c: c <= {uniform_sql("'42'", 'iter', 'doc_id')})) AS w FROM scored, (SELECT unnest(range(1, 51)) AS iter)),
+            SELECT iter, label, score, pred, len(list_filter([{_STEPS}], lambda c: c <= {uniform_sql("'42'", 'iter', 'doc_id')})) AS w FROM scored, (SELECT unnest(range(1, 1001)) AS iter)),
         d AS (SELECT * FROM drawn WHERE w > 0), prf AS ({_prf('d', 'iter', 'w')}), tot AS ({_totals('d', 'iter', 'w')}),
         area AS (SELECT iter, {_ROC} AS roc_auc, {_PR} AS pr_auc FROM tot GROUP BY iter),
         one AS ({_prf('scored', '')}), tot1 AS ({_totals('scored')}), area1 AS (SELECT {_ROC} AS roc_auc, {_PR} AS pr_auc FROM tot1),
@@ -331,7 +356,16 @@ ORACLE = {
         CASE model WHEN 'length' THEN 'learning_rate: 0.103961, max_depth: 38, max_features: None' WHEN 'short' THEN 'n_estimators: 600' ELSE 'N/A' END AS params FROM prf JOIN area USING (model)""",
     "dataset_comparison": f"WITH {_STACK}, prf AS ({_prf('stacked', 'model, dataset')}) SELECT model, round(max(CASE WHEN dataset = 'even' THEN f1 END), 6) AS even, round(max(CASE WHEN dataset = 'odd' THEN f1 END), 6) AS odd FROM prf GROUP BY model",
     "params_text": "SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(round(CAST(CAST(embedding[1]::DOUBLE AS DECIMAL(20, 10)) AS DOUBLE), 3) AS DOUBLE) AS first FROM embeddings",
-    "flat_io": f"WITH {series._ALIGNED} SELECT CAST(1 AS INTEGER) AS pass, object_id, round(t, 6) AS t, g, r, i, z, CAST(object_id % 3 + 1 AS INTEGER) AS class_code FROM aligned",
+    "flat_io": f"WITH {series._ALIGNED} SELECT CAST(unnest([1, 2]) AS INTEGER) AS pass, object_id, round(t, 6) AS t, round((object_id % 9) / 10.0::DOUBLE, 6) AS hostz, g, r, i, z, CAST(object_id % 3 + 1 AS INTEGER) AS class_code FROM aligned",
     "dataset_io": f"WITH {series._SEQ}, {series._SPLIT.strip()} SELECT n.object_id, CAST(k AS INTEGER) AS pos, t, g, r, i, z, split FROM numbered n JOIN split USING (object_id)",
+    "gather": "SELECT b.vec_id AS position, b.label FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id * a.vec_id % 500",
+    "fold_means": f"""
+        WITH {SCORED}, t AS (SELECT label, doc_id % 5 AS fold, trial, CAST(score >= least AS INTEGER) AS pred FROM (SELECT *, CAST(unnest([0, 1]) AS INTEGER) AS trial, unnest([0.3, 0.5]::DOUBLE[]) AS least FROM scored)),
+        m AS ({_prf('t', 'trial, fold')}) SELECT trial, round(avg(f1), 6) AS f1 FROM m GROUP BY trial""",
+    "all_models": f"""
+        WITH r AS (SELECT vec_id, label, row_number() OVER (ORDER BY {uniform_sql("'42'", "vec_id")}, vec_id) AS place FROM embeddings),
+        test AS (SELECT * FROM r WHERE place <= CAST(floor((SELECT count(*) FROM embeddings) * 0.2) AS BIGINT))
+        SELECT model, count(*) AS n, count(DISTINCT vec_id) AS n_objects, CAST(count(CASE WHEN label = 1 THEN 1 END) AS BIGINT) AS positives, true AS sure
+        FROM test, (SELECT unnest(['linear_plain', 'linear_balanced', 'forest_plain', 'forest_balanced', 'boosted_plain', 'boosted_balanced']) AS model) GROUP BY model""",
     "results_io": f"{_MODELS} SELECT model, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1_score, round(roc_auc, 6) AS roc_auc, 'from: labels' AS best_params FROM prf JOIN area USING (model)",
 }

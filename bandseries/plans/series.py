@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import align, fill, resample, sequences, splits
+from ..operators import align, fill, methods, resample, sequences, splits
 from ..schemas import BANDS, CLASS_CODES, TARGETS
 from ..sources import light_curves
+from ..sources.tables import scratch
 from .tables import OBS, bin_sql, features, observations, uniform_sql
 
 ERRORS = [f"{b}_err" for b in BANDS]
@@ -27,8 +28,8 @@ def relative_time(spark: SparkSession, d: str) -> DataFrame:
     return rounded(observations(spark, d).select("object_id", "seq", "t"), "t")
 
 
-def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Objects rendered as text blocks and parsed back: headers and observations."""
+def rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Objects as text blocks (file, text); every ninth is of no known class."""
     obs = observations(spark, d).withColumn("file", F.col("object_id").cast("string"))
     name = F.element_at(F.array(*map(F.lit, [*CLASS_CODES, "XX"])), F.pmod("object_id", F.lit(len(CLASS_CODES) + 1)).cast("int") + 1)
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -37,13 +38,43 @@ def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         F.lit("SURVEY: EVT"), text("SNID: ", oid), text("RA: ", oid % 360, ".5 deg"), F.lit("MWEBV: 0.0096 MW E(B-V)"),
         text("HOST_GALAXY_PHOTO-Z: 0.", oid % 9 + 1, " +- 0.02"), text("SIM_COMMENT: SN Type = ", name, " , MODEL = X"), F.lit("SIM_REDSHIFT: 0.49"),
     )
-    blocks = light_curves.render(obs.select("file", "object_id").distinct().select("file", lines.alias("lines")), obs)
+    return light_curves.render(obs.select("file", "object_id").distinct().select("file", lines.alias("lines")), obs)
+
+
+def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Objects rendered as text blocks and parsed back: headers and observations."""
+    blocks = rendered(spark, d)
     heads, _ = light_curves.accepted(light_curves.parse_headers(blocks))
     back = light_curves.parse_observations(blocks)
     rows = heads.select("file", "object_id", "ra", "decl", F.col("hostz.value").alias("hostz"), F.col("hostz.error").alias("hostz_err"), "sim_type", "class_code").join(back, "file")
     return rows.select("object_id", "ra", "decl", "hostz", "hostz_err", "sim_type", "class_code", "time", "band", "flux", "flux_err")
 
 
+def object_files(spark: SparkSession, d: str) -> DataFrame:
+    """A text file for each object, scanned and parsed: its class and number of observations."""
+    path = scratch(spark, "objects")
+    light_curves.write_objects(rendered(spark, d), path)
+    objects = light_curves.read_objects(spark, f"{path}/*/*.txt")
+    counts = light_curves.parse_observations(objects).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return light_curves.parse_headers(objects).join(counts, "file").select("object_id", "class_code", "n")
+
+
+def ingest_tally(spark: SparkSession, d: str) -> DataFrame:
+    return light_curves.tally(light_curves.parse_headers(rendered(spark, d)))
+
+
+def align_last(spark: SparkSession, d: str) -> DataFrame:
+    return methods.epochs(observations(spark, d), "last").select("object_id", F.col("bin").alias("seq"), *BANDS, *ERRORS)
+
+
+def align_augment(spark: SparkSession, d: str) -> DataFrame:
+    return methods.epochs(observations(spark, d).filter("band <> 'u'"), "no such name")
+
+
+def align_spline(spark: SparkSession, d: str) -> DataFrame:
+    return methods.epochs(observations(spark, d), "spline")
+
+
 def class_map(spark: SparkSession, d: str) -> DataFrame:
     codes = list(CLASS_CODES)
     rows = features(spark, d).select("vec_id", F.get(F.array(*map(F.lit, codes)), F.col("label")).alias("name"), F.when(F.col("label") == 9, -999).otherwise(F.col("label")).alias("raw"))
@@ -75,7 +106,7 @@ def band_align(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    out = fill.fill_gaps(fill.passes(aligned(spark, d), 2))
+    out = fill.fill_gaps(fill.passes(aligned(spark, d), 5))
     return rounded(out.select("pass", "object_id", "bin", *BANDS, *ERRORS), *BANDS, *ERRORS)
 
 
@@ -90,7 +121,9 @@ def times(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def nearest_error(spark: SparkSession, d: str) -> DataFrame:
     obs, at = times(spark, d)
-    out = align.nearest_value(obs, at, "g").unionByName(align.nearest_value(obs, at, "r"))
+    out = align.nearest_value(obs, at, BANDS[0])
+    for b in BANDS[1:]:
+        out = out.unionByName(align.nearest_value(obs, at, b))
     return out.drop("t")
 
 
@@ -112,6 +145,22 @@ def sequence_pad_pre(spark: SparkSession, d: str) -> DataFrame:
     return sequences.exploded(sequences.pad_sequences(sequence(spark, d), 5, 24), ["t", *BANDS])
 
 
+def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Padded sequences as one vector each, and its places as rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    flat = sequences.flat_vector(sequences.pad_sequences(sequence(spark, d), 5, 24))
+    return flat.select("object_id", F.posexplode(vector_to_array("features")).alias("k", "value"))
+
+
+def width_check(spark: SparkSession, d: str) -> DataFrame:
+    """Objects whose sequences are not of the width asked for: here those of odd number, built without the last band."""
+    rows = rounded(fill.fill_gaps(aligned(spark, d), interior=False), "t")
+    whole, short = rows.filter("object_id % 2 = 0"), rows.filter("object_id % 2 = 1")
+    both = sequences.assemble(whole, ["t", *BANDS]).unionByName(sequences.assemble(short, ["t", *BANDS[:-1]]))
+    return sequences.check_width(both, 5).select("object_id")
+
+
 def sequence_pad_post(spark: SparkSession, d: str) -> DataFrame:
     return sequences.exploded(sequences.pad_sequences(sequence(spark, d), 5, None, "post", "post"), ["t", *BANDS])
 
@@ -149,6 +198,7 @@ QUERIES = {
     for f in (
         class_profile, long_observations, relative_time, text_roundtrip, class_map, carry_forward, fixed_bins, adaptive_bins, band_align, gap_fill, edge_fill,
         nearest_error, linear_resample, cubic_resample, sequence_pad_pre, sequence_pad_post, sequence_reverse, object_split, split_gather, dataset_profile,
+        object_files, ingest_tally, align_last, align_augment, align_spline, feature_matrix, width_check,
     )
 }
 
@@ -179,13 +229,14 @@ _GRID = ", ".join(f"{g!r}::DOUBLE" for g in align.frac_grid())
 _SPLIT = f"""
     ids AS (SELECT DISTINCT user_id AS object_id FROM events),
     split AS (
-        SELECT object_id, CASE WHEN row_number() OVER (ORDER BY {uniform_sql("'42'", "object_id")}, object_id) <= CAST(floor((SELECT count(*) FROM ids) * 0.25) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+        SELECT object_id, CASE WHEN row_number() OVER (ORDER BY {uniform_sql("'42'", "object_id")}, object_id) <= CAST(floor((SELECT count(*) FROM ids) * 0.2) AS BIGINT) THEN 'test' ELSE 'train' END AS split
         FROM ids)"""
-_CLASSES = ", ".join(f"'{c}'" for c in CLASS_CODES)
-
-
-def _case(mapping: dict, key: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN {k!r} THEN {v}" for k, v in mapping.items()) + " END"
+# Written out by hand, so that the SQL doesn't share the library's own tables.
+_CLASSES = "'Ia', 'II', 'Ibc', 'IIn', 'IIP', 'IIL', 'Ib', 'Ic'"
+_CODE = "CASE name WHEN 'Ia' THEN 1 WHEN 'II' THEN 2 WHEN 'Ibc' THEN 3 WHEN 'IIn' THEN 21 WHEN 'IIP' THEN 22 WHEN 'IIL' THEN 23 WHEN 'Ib' THEN 32 WHEN 'Ic' THEN 33 END"
+_BINARY = "CASE WHEN code = 1 THEN 0 WHEN code IN (2, 3, 21, 22, 23, 32, 33) THEN 1 END"
+_THREE = "CASE WHEN code = 1 THEN 0 WHEN code IN (2, 21, 22, 23) THEN 1 WHEN code IN (3, 32, 33) THEN 2 END"
+_SUBTYPE = "CASE code WHEN 1 THEN 0 WHEN 21 THEN 1 WHEN 22 THEN 2 WHEN 23 THEN 3 WHEN 32 THEN 4 WHEN 33 THEN 5 WHEN 3 THEN 6 END"
 
 
 def _padded(maxlen: str, at: str, rows: str) -> str:
@@ -231,8 +282,8 @@ ORACLE = {
         FROM named WHERE sim_type <> 'XX'""",
     "class_map": f"""
         WITH n AS (SELECT vec_id, ([{_CLASSES}])[label + 1] AS name, CASE WHEN label = 9 THEN NULL ELSE label END AS raw FROM embeddings),
-        c AS (SELECT *, {_case(CLASS_CODES, 'name')} AS code FROM n),
-        m AS (SELECT *, {', '.join(f'{_case(m, "code")} AS "{n}"' for n, m in TARGETS.items())} FROM c)
+        c AS (SELECT *, {_CODE} AS code FROM n),
+        m AS (SELECT *, {_BINARY} AS "binary", {_THREE} AS three_way, {_SUBTYPE} AS subtype FROM c)
         SELECT *, CASE "binary" WHEN 0 THEN 'Type Ia' WHEN 1 THEN 'Non Type Ia' END AS shown FROM m""",
     "carry_forward": f"""
         WITH {OBS} SELECT object_id, seq, {', '.join(f"coalesce(last_value(CASE WHEN band = '{b}' THEN {v} END IGNORE NULLS) OVER w, 0.0) AS {n}" for b in BANDS for v, n in (('flux', b), ('flux_err', f'{b}_err')))}
@@ -249,15 +300,23 @@ ORACLE = {
         SELECT object_id, seq, {bin_sql('t', 'frac')} AS bin, round(frac, 6) AS frac, unresolved FROM got""",
     "band_align": f"WITH {_ALIGNED} SELECT * REPLACE (round(t, 6) AS t) FROM aligned",
     "gap_fill": f"""
-        WITH {_ALIGNED}, passed AS (SELECT *, unnest([1, 2]) AS pass FROM aligned)
+        WITH {_ALIGNED}, passed AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS pass FROM aligned)
         SELECT pass, object_id, bin, {', '.join(f'round({_filled(c, True, ["pass", "object_id"])}, 6) AS {c}' for c in [*BANDS, *ERRORS])} FROM passed {_windows('pass, object_id')}""",
     "edge_fill": f"WITH {_EDGE} SELECT object_id, bin, {', '.join(BANDS)} FROM filled",
     "nearest_error": f"""
         WITH {_TIMES}, near AS (
             SELECT a.object_id, a.bin, a.band, o.flux_err, row_number() OVER (PARTITION BY a.object_id, a.bin, a.band ORDER BY abs(o.t - a.t), o.t, o.seq) AS k
-            FROM (SELECT *, unnest(['g', 'r']) AS band FROM times) a LEFT JOIN obs o ON a.object_id = o.object_id AND a.band = o.band)
+            FROM (SELECT *, unnest(['g', 'r', 'i', 'z']) AS band FROM times) a LEFT JOIN obs o ON a.object_id = o.object_id AND a.band = o.band)
         SELECT object_id, bin, band, coalesce(flux_err, 0.0) AS value FROM near WHERE k = 1""",
     "linear_resample": _resampled(),
+    "object_files": f"""
+        WITH named AS (SELECT user_id AS object_id, ([{_CLASSES}, 'XX'])[user_id % 9 + 1] AS name FROM events)
+        SELECT object_id, {_CODE} AS class_code, count(*) AS n FROM named GROUP BY object_id, name""",
+    "ingest_tally": f"""
+        WITH o AS (SELECT DISTINCT user_id, ([{_CLASSES}, 'rejected'])[user_id % 9 + 1] AS name FROM events)
+        SELECT name, count(*) AS n FROM o GROUP BY name UNION ALL SELECT 'total', count(*) FROM o WHERE name <> 'rejected'""",
+    "feature_matrix": f"SELECT object_id, CAST(pos * 5 + c AS INTEGER) AS k, ([t, g, r, i, z])[c + 1] AS value FROM ({_padded('24', '24 - least(len, 24) + k - greatest(len - 24, 0)', 'k >= len - 24')}), (SELECT unnest(range(0, 5)) AS c)",
+    "width_check": "SELECT DISTINCT user_id AS object_id FROM events WHERE user_id % 2 = 1",
     "sequence_pad_pre": _padded("24", "24 - least(len, 24) + k - greatest(len - 24, 0)", "k >= len - 24"),
     "sequence_pad_post": _padded("most", "k", "true"),
     "sequence_reverse": _padded("most", "most - 1 - k", "true"),
@@ -267,3 +326,4 @@ ORACLE = {
         WITH {_SEQ.replace("obs AS", _SPLIT.strip() + ", obs AS", 1)}, per AS (SELECT object_id, max(len) AS len FROM numbered GROUP BY object_id)
         SELECT split, count(*) AS n_objects, max(len) AS max_length, CAST(sum(len) AS BIGINT) AS n_rows, CAST(5 AS BIGINT) AS width, count(DISTINCT object_id % 3) AS n_classes FROM per JOIN split USING (object_id) GROUP BY split""",
 }
+ORACLE["align_last"] = ORACLE["carry_forward"]

@@ -13,7 +13,7 @@ CLASS_CODES = {"Ia": 1, "II": 2, "Ibc": 3, "IIn": 21, "IIP": 22, "IIL": 23, "Ib"
 TARGETS = {
     "binary": {1: 0, 2: 1, 3: 1, 21: 1, 22: 1, 23: 1, 32: 1, 33: 1},
     "three_way": {1: 0, 2: 1, 21: 1, 22: 1, 23: 1, 3: 2, 32: 2, 33: 2},
-    "subtype": {1: 0, 21: 1, 22: 2, 23: 3, 3: 4, 32: 5, 33: 6},
+    "subtype": {1: 0, 21: 1, 22: 2, 23: 3, 32: 4, 33: 5, 3: 6},
 }
 
 OBSERVATIONS = T.StructType(

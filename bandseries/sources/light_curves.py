@@ -55,6 +55,18 @@ def accepted(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return headers.filter("class_code IS NOT NULL"), headers.filter("class_code IS NULL")
 
 
+def tally(headers: DataFrame) -> DataFrame:
+    """(name, n): objects of each known class, of all of these (`total`), and without a known class (`rejected`)."""
+    known = F.col("class_code").isNotNull()
+    each = F.explode(F.array(F.when(known, F.col("sim_type")).otherwise("rejected"), F.when(known, F.lit("total"))))
+    return headers.select(each.alias("name")).filter("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_objects(objects: DataFrame, path: str) -> None:
+    """A folder with one text file for each of objects (file, text)."""
+    objects.repartition("file").write.partitionBy("file").text(path)
+
+
 def render(headers: DataFrame, observations: DataFrame) -> DataFrame:
     """(file, text) from headers (file, key columns as text lines) and observations: the inverse of the parsers.
 

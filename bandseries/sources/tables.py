@@ -8,7 +8,6 @@ import warnings
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RESULTS, flat_rows
@@ -21,11 +20,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; in a folder of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN[app] = _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_flat(rows: DataFrame, path: str, with_host: bool = False, fmt: str = "parquet") -> None:
     """Flat training rows with or without the host's redshift, a folder for each augmentation pass."""
     columns = [f.name for f in flat_rows(with_host).fields]
@@ -80,8 +88,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def parts(df: DataFrame, column: str) -> list[str]:
-    """The few values of a partitioning column."""
-    return [r[0] for r in df.select(F.col(column)).distinct().orderBy(column).collect()]

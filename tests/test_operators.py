@@ -256,3 +256,80 @@ def test_scalars(spark):
     ).first()
     assert (one["bin"], one["unknown"], one["outside"], one["first"], one["none"]) == (9, None, [0.0, 0.0, 0.0], 1, None)
     assert (one["pair"]["value"], one["pair"]["error"]) == (None, 2.0)
+
+
+def dense_not_a_knot(x, y, at):
+    """The same spline from a full system, as a check."""
+    import numpy as np
+
+    h, n = np.diff(x), len(x)
+    a, b = np.zeros((n, n)), np.zeros(n)
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
+        b[k] = 6 * ((y[k + 1] - y[k]) / h[k] - (y[k] - y[k - 1]) / h[k - 1])
+    m = np.linalg.solve(a, b)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    d = at - x[k]
+    return y[k] + d * ((y[k + 1] - y[k]) / h[k] - h[k] * (2 * m[k] + m[k + 1]) / 6 + d * (m[k] / 2 + d * (m[k + 1] - m[k]) / (6 * h[k])))
+
+
+def test_spline_by_three_diagonals():
+    import numpy as np
+
+    from bandseries.operators.resample import not_a_knot
+
+    r = np.random.default_rng(1)
+    for n in (4, 5, 6, 40):
+        x = np.cumsum(r.uniform(0.1, 2, n))
+        at = np.linspace(x[0] - 1, x[-1] + 1, 60)
+        y = r.normal(size=n)
+        assert np.allclose(not_a_knot(x, y, at), dense_not_a_knot(x, y, at))
+        assert np.allclose(not_a_knot(x, x**3 - 2 * x, at), at**3 - 2 * at)  # a cubic is its own spline
+    x = np.arange(200_000.0)
+    assert np.allclose(not_a_knot(x, np.sin(x / 50), x[:5] + 0.5), np.sin((x[:5] + 0.5) / 50), atol=1e-6)
+
+
+def test_one_long_object_fills_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from bandseries.operators.fill import fill_gaps
+
+    value = lambda k: F.when(F.col("bin") % 1000 == k, F.col("bin").cast("double"))
+    rows = spark.range(200_000).select(F.lit(1).alias("object_id"), F.col("id").alias("bin"), F.col("id").cast("double").alias("t"))
+    rows = rows.select("*", *(value(k).alias(b) for k, b in enumerate("griz")), *(F.lit(None).cast("double").alias(f"{b}_err") for b in "griz"))
+    began = time.time()
+    got = fill_gaps(rows, interior=False).agg(F.sum("g"), F.max("z"), F.min("z"), F.sum("g_err")).first()
+    assert tuple(got) == (sum(b // 1000 * 1000.0 for b in range(200_000)), 199_003.0, 3.0, 0.0)
+    assert time.time() - began < 60
+
+
+def test_smote_makes_every_draw_for_a_class_of_one(spark):
+    from bandseries.operators.balance import smote
+
+    rows = spark.createDataFrame([(k, 0, [float(k), 1.0]) for k in range(6)] + [(9, 1, [5.0, 5.0])], "id long, label int, x array<double>")
+    made = smote(rows, "id", "label", "x").collect()
+    assert [(r["label"], r["base"], r["neighbour"], r["x"]) for r in made] == [(1, 9, 9, [5.0, 5.0])] * 5
+
+
+def test_methods_are_chosen_by_name(spark):
+    from bandseries.operators.methods import epochs
+
+    obs = spark.createDataFrame([(1, k, k * 0.7, "griz"[k % 4], float(k), 0.1) for k in range(24)], "object_id long, seq int, t double, band string, flux double, flux_err double")
+    count = lambda m: epochs(obs, m, 3).groupBy("pass").count().count()
+    assert (count("augment"), count(None), count("other"), count("spline"), count("last")) == (3, 3, 3, 1, 1)
+    assert epochs(obs, "last").count() == 24
+    columns = epochs(obs, "spline").columns
+    assert columns == epochs(obs, "last").columns == epochs(obs).columns
+    assert not epochs(obs, "spline").filter("g IS NULL OR z_err IS NULL").count()
+
+
+def test_rows_of_other_classes_are_counted_apart(spark):
+    from bandseries.operators import metrics
+
+    rows = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (None, 1), (1, None), (1, 1)], "label int, pred int")
+    assert metrics.left_out(rows, [0, 1]) == 3
+    assert sum(r["n"] for r in metrics.confusion(rows, [0, 1]).collect()) == 3
