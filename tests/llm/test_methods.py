@@ -3,6 +3,7 @@
 import io
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -318,3 +319,26 @@ def test_repeated_shingles_weigh_as_often_as_they_occur(spark):
     rows = [(1, once), (2, often), (3, often + "k"), (4, once + " k l m n o p q r s t u v w")]
     got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_texts_compared_in_pairs_equal_counted_shingles():
+    """Odd texts, long ones beyond a block, and repeated shingles, against plain counting."""
+    r = random.Random(9)
+    texts = ["", "a", "a b c d", "a b c d e f", "a b c d e f " * 9, "\u00e9 " * 40, " ".join(r.choice("abc") for _ in range(300_000))]
+    texts += [" ".join(r.choice("ab") for _ in range(30)) for _ in range(40)]
+    pairs = [(x, y) for x in texts for y in texts[::3]]
+
+    def count(t):
+        w = t.split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
+
+    counts = {t: count(t) for t in texts}
+    for similarity in (0.5, 0.8):
+        want = []
+        for k, (x, y) in enumerate(pairs):
+            shared = (counts[x] & counts[y]).total()
+            if shared >= similarity * (counts[x].total() + counts[y].total() - shared) - 1e-9:
+                want.append(k)
+        ids = list(range(len(pairs)))
+        batch = pa.RecordBatch.from_pydict({"a": ids, "b": ids, "text": [x for x, _ in pairs], "theirs": [y for _, y in pairs]})
+        assert [k for out in neardup._alike(similarity)([batch]) for k in out["a"].to_pylist()] == want
