@@ -1,8 +1,8 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import clustering, decontaminate, mixing, neardup, periods, pii, quality, secrets, sharding, tokens, urls, warc
+from . import clustering, decontaminate, mixing, neardup, packing, periods, pii, quality, secrets, sharding, tokens, urls, warc
 
-MODULES = (mixing, secrets, warc, neardup, quality, pii, decontaminate, urls, sharding, tokens, periods, clustering)
+MODULES = (mixing, secrets, warc, neardup, quality, pii, decontaminate, urls, sharding, tokens, periods, clustering, packing)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from bandseries.llm import decontaminate, mixing, neardup, pii, quality, secrets, sharding, tokens, urls, warc
+from bandseries.llm import decontaminate, mixing, neardup, periods, pii, quality, secrets, sharding, tokens, urls, warc
 
 LONG = "many words of one very long text " * 20_000
 
@@ -53,6 +53,7 @@ OPERATORS = {
     "decontaminate": lambda d, i: decontaminate.contamination(d, i),
     "sharding": lambda d, i: sharding.lpt_shards(d),
     "tokens": lambda d, i: tokens.tokens_of(d),
+    "periods": lambda d, i: periods.periodic_runs(d),
 }
 
 
