@@ -19,6 +19,8 @@ from .textnum import trim
 LEAST = 12
 #: Words of a tile row, about; neighbouring boundaries share one.
 TILE = 4096
+#: Bytes of tiles that a task solves, about.
+TASK = 1 << 20
 #: Words that are searched for candidates at once (a longer text is searched by itself).
 PIECE = 1 << 18
 
@@ -251,7 +253,9 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     found = stored(rows.mapInArrow(_find, f"row long, key {kind}, words string, tiles {TILES}"), "tiles")
     some = found.filter(F.size("tiles") > 0)
-    each = some.select("row", F.inline("tiles")).repartition("row", "octave", "first")
+    each = some.select("row", F.inline("tiles"))
+    size = each.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    each = each.repartition(-(-size // TASK) or 1, "row", "octave", "first")  # by their bytes: a few of them are long work
     runs = stitched(each.mapInArrow(_solve, "row long, period long, lo long, hi long"))
     runs = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     none = F.array().cast(RUNS)
