@@ -26,61 +26,96 @@ END = 2
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, for tokenizers that drop white space; the ids of words seen before are looked up.
+    """Ids of whole texts by the tokenizers library, for tokenizers that drop white space and mark the ends of words; the ids of words seen before are looked up.
 
-    Words are what stands between ASCII white space: such a tokenizer has no token, and its normalizer no rule, that reaches over
-    it.  New words go through the library many at once, with a special token between them that marks where they end.
-    At most `held` words are remembered in a worker process; then the table starts afresh.
+    Words are what stands between ASCII white space: such a tokenizer has no token, and its normalizer no rule, that
+    reaches over it.  A word of plain letters and the marks behind it are looked up apart, the letters in lower case.
+    New letters go to the library's model many at once, as the ids that end a word are known; all other new words go
+    through the whole library, with a special token between them that marks where they end.  At most `held` words are
+    remembered in a worker process; then the table starts afresh.
     """
 
-    def __init__(self, path: str, held: int = 400_000) -> None:
+    PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[!-/:-@\\[-`{-~]*)$"
+
+    def __init__(self, path: str, held: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
         special = self.library.get_added_tokens_decoder()
-        self.mark = min(special)
         self.special = [t.content for t in special.values()]
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.mark = min(special)
+        vocabulary = self.library.get_vocab()
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # The model alone, over words in the library's letters for bytes.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden) if b != 32}
         self.held = held
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[tuple[bool, str] | str, int] = {}
         self.flat, self.begin, self.length = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _keep(self, names: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.length), len(self.length) + len(names)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.flat = np.concatenate((self.flat, ids.astype(self.kind)))
+        self.length = np.concatenate((self.length, lengths))
+
+    def learn_letters(self, words: list[str]) -> None:
+        shown = [" ".join(words[k : k + 64]).lower().encode().decode("latin-1").translate(self.letters) for k in range(0, len(words), 64)]
+        got = self.model.encode_batch_fast(shown, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(g.ids for g in got), np.uint32)
+        self._keep(words, ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if not any(s in w for s in self.special)]
-        mark = self.special[0] if self.library.token_to_id(self.special[0]) == self.mark else self.library.id_to_token(self.mark)
-        joined = [mark.join([*plain[k : k + 64], ""]) for k in range(0, len(plain), 64)]
-        got = self.library.encode_batch_fast(joined, add_special_tokens=False)
+        odd = {w for w in words if "<|" in w and any(s in w for s in self.special)}
+        plain, mark = [w for w in words if w not in odd], self.library.id_to_token(self.mark)
+        got = self.library.encode_batch_fast([mark.join([*plain[k : k + 64], ""]) for k in range(0, len(plain), 64)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(g.ids for g in got), np.uint32)
-        marks = np.flatnonzero(ids == self.mark)
-        lengths = np.diff(marks, prepend=-1) - 1
-        other = [w for w in words if any(s in w for s in self.special)]
-        each = [self.library.encode(w, add_special_tokens=False).ids for w in other]
-        new = np.concatenate((lengths, np.asarray([len(e) for e in each], np.int64)))
-        first = len(self.flat)
-        self.flat = np.concatenate((self.flat, ids[ids != self.mark].astype(self.kind), np.asarray([i for e in each for i in e], self.kind)))
-        self.known.update(zip(plain + other, range(len(self.length), len(self.length) + len(new)), strict=True))
-        self.begin = np.concatenate((self.begin, first + np.cumsum(new) - new))
-        self.length = np.concatenate((self.length, new))
+        self._keep([(True, w) for w in plain], ids[ids != self.mark], np.diff(np.flatnonzero(ids == self.mark), prepend=-1) - 1)
+        for w in odd:
+            each = np.asarray(self.library.encode(w, add_special_tokens=False).ids, np.uint32)
+            self._keep([(True, w)], each, np.asarray([len(each)]))
+
+    def numbers(self, words: pa.Array, letters: bool) -> np.ndarray:
+        """The numbers of words in the table; those of letters are under their own names, all others under (True, word)."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        keys = names if letters else [(True, w) for w in names]
+        fresh = [w for w, k in zip(names, keys, strict=True) if k not in self.known]
+        if fresh:
+            (self.learn_letters if letters else self.learn)(fresh)
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one entry more)."""
         lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
         first = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         if len(self.known) + len(words) > self.held:
             self.clear()
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            self.learn(fresh)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        parts = pc.extract_regex(words, self.PLAIN)
+        plain = np.asarray(parts.is_valid())
+        number = np.zeros((len(words), 2), np.int64)
+        some = parts.filter(pa.array(plain))
+        number[plain, 0] = self.numbers(pc.ascii_lower(some.field("core")), True)
+        number[plain, 1] = self.numbers(some.field("tail"), False)
+        number[~plain, 0] = self.numbers(words.filter(pa.array(~plain)), False)
+        number[~plain, 1] = self.numbers(pa.array([""]), False)[0]
         size = self.length[number]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        return gather(self.flat, self.begin, self.length, number[size > 0]), ends[first - first[0]]
+        index = coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(size.sum(1)[index])))
+        each = number[index].ravel()
+        return gather(self.flat, self.begin, self.length, each[self.length[each] > 0]), ends[first - first[0]]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -104,7 +139,7 @@ def _pieces(path: str, capacity: int):
             sizes = np.cumsum(pc.binary_length(texts).to_numpy())
             at = 0
             while at < len(texts):
-                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (2 << 20), "right")))
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (6 << 20), "right")))
                 ids, ends = coder.encode(texts.slice(at, stop - at))
                 who, out = [], []
                 for k in range(stop - at):
