@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import numbered, scratch, small, table
-from .textnum import trim
-from .tokens import gather
+from .textnum import gather, trim
 
 #: Tokens of a whole sequence.
 CAPACITY = 4096

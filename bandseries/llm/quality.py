@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SALTS, chi2_quantile, met, small, stored, table, without
-from .textnum import SPACE, Hasher, U, blocks, mix, shingles, trim, words
+from .textnum import SPACE, Hasher, U, alike, blocks, mix, shingles, trim, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
-CODE_POINT = np.ones(256, bool)
-CODE_POINT[0x80:0xC0] = False
+#: Bytes that add no letter to a word: white space, and all bytes of a code point but the first.
+NOT_INK = SPACE.copy()
+NOT_INK[0x80:0xC0] = True
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
@@ -27,12 +28,25 @@ FLOORS = {"log_words": 1.0, "log_word_chars": 0.15, "log_symbols": 0.4, "dup_lin
 DIMS = len(FLOORS)
 
 
-def _again(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: whether it occurs twice or more; whether it occurred before."""
+def _again(key: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each item: whether it occurs twice or more; whether it occurred before.
+
+    Items are brought together by their keys; exact(a, b) says whether items a[k] and b[k], which have one key, are equal.
+    """
     order = np.argsort(key, kind="stable")
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[order][1:] == key[order][:-1]
     twice, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    met = np.flatnonzero(same)
+    if not exact(order[met - 1], order[met]).all():  # different items with one key: all of these are compared
+        for items in np.split(order, np.flatnonzero(~same[1:-1]) + 1):
+            left = items
+            while len(left) > 1:
+                equal = exact(np.full(len(left), left[0]), left)
+                twice[left[equal]] = equal.sum() > 1
+                later[left[equal][1:]] = True
+                left = left[~equal]
+        return twice, later
     twice[order] = same[1:] | same[:-1]
     later[order] = same[:-1]
     return twice, later
@@ -43,10 +57,10 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
     parts: dict[str, list[np.ndarray]] = {k: [] for k in COUNTS}
     for block in blocks(column):
         data, at, n = block.data, block.at, block.last - block.first
-        count = lambda hit: np.diff(np.concatenate(([0], np.cumsum(hit)))[at])
+        count = lambda hit: np.diff(np.searchsorted(np.flatnonzero(hit), at))  # noqa: B023, E731
         start, end, first = words(block)
         parts["n_words"].append(np.diff(first))
-        parts["word_chars"].append(count(CODE_POINT[data] & ~SPACE[data]))
+        parts["word_chars"].append(np.diff(at) - count(NOT_INK[data]))
         parts["n_symbols"].append(count(SYMBOLS[data]))
         parts["n_upper"].append(count(UPPER[data]))
 
@@ -61,16 +75,31 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
         of.sort()
         inked = np.searchsorted(start, hi) > np.searchsorted(start, lo)  # words never span lines
         lo, hi, of = lo[inked], hi[inked], of[inked]
-        _, later = _again(hashed(lo, hi) ^ mix(of.astype(U) + U(1)))
+        line = lambda k: (data, lo[k], hi[k] - lo[k])  # noqa: B023, E731
+        _, later = _again(hashed(lo, hi) ^ mix(of.astype(U) + U(1)), lambda a, b: (of[a] == of[b]) & alike(line(a), line(b)))  # noqa: B023
         parts["n_lines"].append(np.bincount(of, minlength=n))
         parts["n_dup_lines"].append(np.bincount(of[later], minlength=n))
 
         per = np.diff(first)
         whole = per >= 5
-        runs, begin = shingles(hashed(start, end), first)
+        word = hashed(start, end)
+        runs, begin = shingles(word, first)
         of = np.repeat(np.arange(n), np.diff(begin))
         at_word = np.arange(len(runs)) - np.repeat(begin[:-1], np.diff(begin)) + np.repeat(first[:-1], np.diff(begin))
-        twice, _ = _again(runs ^ mix(of.astype(U) + U(1)))
+
+        def windows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether windows that stand for 5 words are equal, word by word."""
+            out = (of[a] == of[b]) & whole[of[a]] & whole[of[b]]  # noqa: B023
+            some = np.flatnonzero(out)
+            x, y = (at_word[k[some]][:, None] + np.arange(5) for k in (a, b))  # noqa: B023
+            same = word[x] == word[y]  # noqa: B023
+            long = same & (end[x] - start[x] > 7)  # noqa: B023
+            x, y = x[long], y[long]
+            same[long] = alike((data, start[x], end[x] - start[x]), (data, start[y], end[y] - start[y]))  # noqa: B023
+            out[some] = same.all(1)
+            return out
+
+        twice, _ = _again(runs ^ mix(of.astype(U) + U(1)), windows)
         hit = at_word[twice & whole[of]]
         depth = np.zeros(len(start) + 6, np.int64)
         depth += np.bincount(hit, minlength=len(depth)) - np.bincount(hit + 5, minlength=len(depth))

@@ -1,6 +1,7 @@
-"""Word, line and shingle hashes of many texts at once, as numpy arrays over the bytes of an Arrow column.
+"""Word and shingle hashes of many texts at once, as numpy arrays over the bytes of an Arrow column.
 
-Hashes are polynomials in the bytes modulo 2**64, finished by a mixer; equal strings have equal hashes everywhere.
+Hashes are chains of a mixer over 8 bytes at a time; equal strings have equal hashes everywhere.  Where a result depends
+on two strings being equal, users compare what has equal hashes (`alike`).
 """
 
 from __future__ import annotations
@@ -12,15 +13,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers = (np.ones(1, U), np.ones(1, U))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit values."""
     x = x ^ (x >> U(30))
@@ -30,22 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse; tables of up to 1M entries are kept."""
-    global _powers
-    if len(_powers[0]) < n:
-        made = []
-        for base in (BASE, pow(BASE, -1, 2**64)):
-            p = np.full(max(n, 1 << 16), base, U)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            made.append(p)
-        if n > 1 << 20:
-            return made[0], made[1]
-        _powers = (made[0], made[1])
-    return _powers
-
-
 def trim() -> None:
     """Gives freed memory back to the system at the end of a task: worker processes live on, and others need it."""
     pa.default_memory_pool().release_unused()
@@ -80,16 +63,74 @@ def blocks(column: pa.Array, size: int = 1 << 19) -> Iterator[Block]:
         first = last
 
 
+#: Ranges beyond this are hashed one by one.
+LONG = 1024
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U)
+
+
 class Hasher:
-    """Hashes of any ranges of a block's bytes."""
+    """Hashes of any ranges of a block's bytes.
+
+    Two ranges of up to 7 bytes have one hash only if they are equal, and none has that of a longer one: their bytes and length go
+    through bijections alone.  Of longer ones, 63 bits are left of a chain over all their bytes.
+    """
 
     def __init__(self, data: np.ndarray) -> None:
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
+        self.data = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.eight = np.lib.stride_tricks.sliding_window_view(self.data, 8)
+
+    def _read(self, at: np.ndarray) -> np.ndarray:
+        return self.eight[at].view("<u8")[:, 0]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
+        start, n = np.asarray(start, np.int64), np.asarray(end - start, np.int64)
+        first = np.minimum(n, 8)
+        out = self._read(start) & MASKS[first]
+        short = n < 8
+        out[short] |= n[short].astype(U) << U(56)
+        some = np.flatnonzero(~short)
+        if len(some):
+            far = some[n[some] > LONG]
+            held = mix(mix(out[some] ^ U(BASE)) + n[some].astype(U))
+            at = 8
+            going = np.flatnonzero((n[some] > at) & (n[some] <= LONG))
+            while len(going):
+                who = some[going]
+                held[going] = mix(held[going] * U(0xD1342543DE82EF95) ^ (self._read(start[who] + at) & MASKS[np.minimum(n[who] - at, 8)]))
+                at += 8
+                going = going[n[who] > at]
+            out[some] = held
+            for i in far.tolist():
+                out[i] = xxhash.xxh3_64_intdigest(self.data[start[i] : start[i] + n[i]].tobytes())
+            out[some] |= U(1 << 63)
+        return mix(out)
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs flat[begin[k] : begin[k] + length[k]] for each k of at, one after the other; no run is empty."""
+    n = length[at]
+    ends = np.cumsum(n)
+    if not len(ends):
+        return np.zeros(0, flat.dtype)
+    step = np.ones(int(ends[-1]), np.int64)
+    first = begin[at]
+    step[0] = first[0]
+    step[ends[:-1]] = first[1:] - (first[:-1] + n[:-1] - 1)
+    return flat[np.cumsum(step, out=step)]
+
+
+def alike(one: tuple[np.ndarray, np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether range k of one (data, start, length) has the bytes of range k of the other, for each k."""
+    (data, start, n), (data2, start2, n2) = one, other
+    out = n == n2
+    some = np.flatnonzero(out & (n > 0))
+    if len(some):
+        every = np.arange(len(some))
+        same = gather(data, start[some], n[some], every) == gather(data2, start2[some], n[some], every)
+        if not same.all():
+            ends = np.cumsum(n[some])
+            out[some] = np.logical_and.reduceat(same, ends - n[some])
+    return out
 
 
 def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import scratch, small, table
-from .textnum import Hasher, U, blocks, mix, trim
+from .textnum import Hasher, U, alike, blocks, gather, trim
 
 END = 0  # the id after each document
 
@@ -28,8 +28,8 @@ CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 class Encoder:
     """Ids of whole texts, by the tokenizers library; the ids of chunks seen before are looked up.
 
-    Chunks are known by 64-bit hashes and their lengths (of a million chunks, two are taken for one another with a probability of 1e-7 at
-    most).  At most `held` chunks, of about 40 bytes each, are remembered in a worker process; then the table starts afresh.
+    Chunks are found by hashes and then compared byte by byte: one that has another one's hash is encoded by itself.  At
+    most `held` chunks, of about 60 bytes each, are remembered in a worker process; then the table starts afresh.
     """
 
     def __init__(self, path: str, held: int = 600_000) -> None:
@@ -59,6 +59,8 @@ class Encoder:
         self.known, self.number = np.zeros(0, U), np.zeros(0, np.int32)  # sorted hashes, and their chunks' numbers
         self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0  # the known chunks' own bytes
+        self.raw_begin, self.raw_length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # in the order of known
 
     def _store(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Keeps the ids of new chunks; the first one's number."""
@@ -110,19 +112,44 @@ class Encoder:
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The numbers of the chunks data[start:end]; unknown ones are learnt."""
-        hashed = mix(Hasher(data)(start, end) ^ (end - start).astype(U))
+        length = end - start
+        hashed = Hasher(data)(start, end)
         each, at, which = np.unique(hashed, return_index=True, return_inverse=True)
         if self.n + len(each) > self.held:
             self.clear()
+        right = np.ones(len(start), bool)  # chunks of 7 bytes or fewer are told apart by their hashes
+        far = np.flatnonzero((length > 7) & (at[which] != np.arange(len(start))))
+        right[far] = alike((data, start[far], length[far]), (data, start[at[which[far]]], length[at[which[far]]]))
         place = np.searchsorted(self.known, each)
         fresh = np.ones(len(each), bool)
         inside = place < len(self.known)
         fresh[inside] = self.known[place[inside]] != each[inside]
+        held = np.flatnonzero(~fresh & (length[at] > 7))
+        unlike = np.zeros(len(each), bool)
+        unlike[held] = ~alike((data, start[at[held]], length[at[held]]), (self.raw, self.raw_begin[place[held]], self.raw_length[place[held]]))
+        right &= ~unlike[which]
         if fresh.any():
-            new = self.learn([bytes(data[a:z]).decode() for a, z in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)])
-            self.known, self.number = np.insert(self.known, place[fresh], each[fresh]), np.insert(self.number, place[fresh], new)
+            new = at[fresh]
+            number = self.learn(self._texts(data, start[new], end[new]))
+            size = length[new]
+            self._keep_bytes(gather(data, start, length, new))
+            begin = self.raw_used + np.cumsum(size) - size
+            self.raw_used += int(size.sum())
+            for name, values in (("known", each[fresh]), ("number", number), ("raw_begin", begin), ("raw_length", size)):
+                setattr(self, name, np.insert(getattr(self, name), place[fresh], values))
             place = np.searchsorted(self.known, each)
-        return self.number[place][which]
+        out = self.number[place][which]
+        if not right.all():
+            out[~right] = self.learn(self._texts(data, start[~right], end[~right]))
+        return out
+
+    def _texts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+        return [bytes(data[a:z]).decode() for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+
+    def _keep_bytes(self, new: np.ndarray) -> None:
+        if self.raw_used + len(new) > len(self.raw):
+            self.raw = np.resize(self.raw, max(2 * len(self.raw), self.raw_used + len(new)))
+        self.raw[self.raw_used : self.raw_used + len(new)] = new
 
     def encode(self, text: str) -> np.ndarray:
         return next(ids for _, ids in self.encoded(pa.RecordBatch.from_pydict({"doc_id": [0], "text": [text]})))
@@ -166,19 +193,6 @@ class Encoder:
                 yield doc, np.asarray(self.whole.encode(texts[k], add_special_tokens=False).ids, np.uint32) if k in whole else own
 
 
-def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The runs flat[begin[k] : begin[k] + length[k]] for each k of at, one after the other; no run is empty."""
-    n = length[at]
-    ends = np.cumsum(n)
-    if not len(ends):
-        return np.zeros(0, flat.dtype)
-    step = np.ones(int(ends[-1]), np.int64)
-    first = begin[at]
-    step[0] = first[0]
-    step[ends[:-1]] = first[1:] - (first[:-1] + n[:-1] - 1)
-    return flat[np.cumsum(step, out=step)]
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
