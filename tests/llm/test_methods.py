@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bandseries.llm import mixing, neardup, pii, quality, secrets, sharding, textnum, tokens, urls, warc
 from bandseries.llm.decontaminate import find_phrases
@@ -87,7 +88,7 @@ def test_lpt_is_greedy_for_small_classes_and_level_for_large():
 
 
 def test_schedule_is_even(spark):
-    targets = spark.createDataFrame([(0, 100, 40), (1, 300, 500), (2, 111, 111)], "rank int, slots long, blocks long")
+    targets = spark.createDataFrame([(0, 0, 100, 40), (1, 100, 300, 500), (2, 400, 111, 111)], "rank int, first long, slots long, blocks long")
     rows = sorted((r["slot"], r["rank"], r["turn"], r["block"]) for r in mixing.schedule(targets, 9).collect())
     assert len(rows) == 511 and len({r[0] for r in rows}) == 511
     for k, n, blocks in ((0, 100, 40), (1, 300, 500), (2, 111, 111)):
@@ -96,6 +97,46 @@ def test_schedule_is_even(spark):
         assert all(r[3] == r[2] % blocks for r in own)
         for cut in (64, 128, 256):  # any stretch has each source in its share, nearly
             assert abs(sum(r[0] < cut for r in own) - n * cut / 512) <= 5
+        first = {0: 0, 1: 100, 2: 400}[k]
+        assert [r[0] for r in own] == sorted(int(f"{step:09b}"[::-1], 2) for step in range(first, first + n))
+
+
+def test_every_stretch_of_the_mix_has_each_source_in_its_share(spark):
+    docs = spark.createDataFrame([(k, f"w{k} " * (20 + k % 50), "abcd"[min(k % 7, 3)]) for k in range(3000)], "doc_id long, text string, source string").persist()
+    share = {r["source"]: r["t"] for r in mixing.mix(docs).groupBy("source").agg(F.first("target").alias("t")).collect()}
+    total = sum(share.values())
+    of = dict(docs.select("doc_id", "source").collect())
+    words = {k: 20 + k % 50 for k in range(3000)}
+    first = sorted((r["first_slot"], r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect() if r["taken"])
+    assert len({s for s, _, _ in first}) > 0.5 * len(first)
+    slots = sorted(tuple(r) for r in mixing.mixed(docs).select("slot", "_row.doc_id").collect())
+    assert {d: s for s, d in reversed(slots)} == {d: s for s, d, _ in first if d in {x for _, x in slots}}
+    stage = [r["doc_id"] for r in mixing.mixing_stage(spark, docs, "").collect()]
+    assert [d for _, d in slots] == sorted_alike(stage, slots)
+    for rows in (stage, [d for _, d in slots]):
+        for lo in range(0, len(rows) - 600, 600):
+            some = rows[lo : lo + 600]
+            held = sum(words[d] for d in some)
+            for s, t in share.items():
+                assert abs(sum(words[d] for d in some if of[d] == s) / held - t / total) < 0.05
+
+
+def sorted_alike(rows, slots):
+    """rows, with those that share a slot in the order of `slots`."""
+    place = {}
+    for k, (_, d) in enumerate(slots):
+        place.setdefault(d, []).append(k)
+    taken = {d: iter(v) for d, v in place.items()}
+    at = [next(taken[d]) for d in rows]
+    assert all(slots[a][0] <= slots[b][0] for a, b in zip(at, at[1:]))
+    return [slots[k][1] for k in sorted(at)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 16])
+def test_places_in_the_mix_do_not_hang_on_partitions(spark, n):
+    docs = spark.createDataFrame([(k, f"w{k} " * (1 + k % 90), "ab"[k % 3 > 0]) for k in range(400)], "doc_id long, text string, source string")
+    rows = sorted(map(tuple, mixing.mix(docs.repartition(n)).collect()), key=str)
+    assert rows == sorted(map(tuple, mixing.mix(docs.coalesce(1)).collect()), key=str)
 
 
 def test_re_pair_round_trip():
