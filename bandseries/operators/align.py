@@ -6,6 +6,8 @@ shuffles by object at most, and the steps of one chain share that partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import bin_of
 from ..schemas import BANDS
+from .steps import Grid, first_free
 
 #: Steps in one mask of the bin search: as many bits as a long safely holds.
 MASK = 60
@@ -68,8 +71,9 @@ def adaptive_frac(obs: DataFrame, bands: list[str] = BANDS, max_per_bin: int = 4
     Bins also hold at most `max_per_bin` observations of all bands.  Only neighbours can clash: two observations in a row of one
     band, or max_per_bin apart in all.  Each pair marks the grid steps at which it shares a bin in bit masks, which are
     or-ed per object before the shuffle; pairs at least a bin apart mark nothing.  Objects with no free step among the
-    first `steps` go on from the last one, step by step, until no pair with different times shares a bin; unresolved are
-    those of them that have a pair with equal times, which no step parts.
+    first `steps` go on from the last one, without those of their pairs that have equal times, which no step parts; such objects are
+    unresolved.  There the step is found by arithmetic (`steps.first_free`), however far it is; an object whose times
+    are so close that the grid ends before is unresolved too.  One pass over the observations.
     """
     grid = frac_grid(steps)
     order = Window.partitionBy("object_id").orderBy("t", "seq")
@@ -84,40 +88,28 @@ def adaptive_frac(obs: DataFrame, bands: list[str] = BANDS, max_per_bin: int = 4
         mask = F.aggregate(F.transform(some, lambda f, i: F.struct(f.alias("f"), i.alias("i"))), F.lit(0).cast("long"), lambda m, s: m.bitwiseOR(bit(s["f"], s["i"])))
         close = F.col("p").isNotNull() & (F.col("t") - F.col("p") < 1.0 / grid[0] + 1e-9)
         masks.append(F.bit_or(F.when(close, mask).otherwise(F.lit(0).cast("long"))))
-    found = pairs.groupBy("object_id").agg(*(m.alias(f"m{k}") for k, m in enumerate(masks)))
+    tight = F.col("p").isNotNull() & (F.col("t") - F.col("p") < 1.0 / grid[-1] + 1e-9)
+    found = pairs.groupBy("object_id").agg(*(m.alias(f"m{k}") for k, m in enumerate(masks)), F.collect_list(F.when(tight, F.struct("p", "t"))).alias("_close"))
     free = F.array(*(F.when(F.getbit(f"m{s // MASK}", F.lit(s % MASK)) == 0, F.lit(g)) for s, g in enumerate(grid)))
-    first = found.select("object_id", F.get(F.filter(free, lambda f: f.isNotNull()), F.lit(0)).alias("_first"))
+    first = found.select("object_id", F.get(F.filter(free, lambda f: f.isNotNull()), F.lit(0)).alias("_first"), "_close")
+    first = first.withColumn("_close", F.when(F.col("_first").isNull(), F.col("_close")))
     kind = obs.schema["object_id"].dataType.simpleString()
-    rest = pairs.filter("p IS NOT NULL").join(first.filter("_first IS NULL").select("object_id"), "object_id", "left_semi")
-    rest = rest.groupBy("object_id").applyInPandas(_further(grid[-1]), f"object_id {kind}, _frac double, _equal boolean")
-    got = first.join(rest, "object_id", "left")
-    return got.select("object_id", F.coalesce("_first", "_frac").alias("frac"), F.coalesce("_equal", F.lit(False)).alias("unresolved"))
-
-
-def _further(last: float, step: float = 0.1, stretch: int = 4096):
-    """For the pairs (p, t) of one object: the least step of the grid, from `last` on, at which none with different times shares a bin."""
-
-    def shared(p: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
-        width = 1.0 / f  # as in bin_of
-        bins = [np.rint((x[:, None] - np.fmod(x[:, None], width)) / width) for x in (p, t)]
-        return (bins[0] == bins[1]).any(axis=0)
-
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        p, t = pairs["p"].to_numpy(float), pairs["t"].to_numpy(float)
-        equal = bool((p == t).any())
-        order = np.argsort(t - p, kind="stable")  # the closest first: they rule out most steps
-        p, t = p[order][(p != t)[order]], t[order][(p != t)[order]]
-        grid, found = np.array([last]), None
-        while found is None:
-            near, free = int(np.searchsorted(t - p, 1.0 / grid[0] + 1e-9, "right")), grid
-            for lo in range(0, near, 64):
-                some = slice(lo, min(lo + 64, near))
-                free = free[~shared(p[some], t[some], free)]
-                if not len(free):
-                    break
-            found = float(free[0]) if len(free) else None
-            grid = np.cumsum(np.concatenate((grid[-1:], np.full(stretch, step))))[1:]  # repeated addition, as in frac_grid
-        return pd.DataFrame({"object_id": pairs["object_id"].iloc[:1], "_frac": [found], "_equal": [equal]})
+    return first.mapInPandas(_further(steps - 1), f"object_id {kind}, frac double, unresolved boolean")
+
+
+def _further(last: int):
+    """Objects without a free step among the first get the least one from index `last` on that parts all pairs with different times."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grid = Grid()
+        for b in batches:
+            frac, unresolved = b["_first"].to_numpy(float).copy(), np.zeros(len(b), bool)
+            for i in np.flatnonzero(np.isnan(frac)):
+                p, t = (np.asarray([x[n] for x in b["_close"].iloc[i]], float) for n in ("p", "t"))
+                apart = p != t
+                frac[i], free = first_free(grid, p[apart], t[apart], last)
+                unresolved[i] = not (free and apart.all())
+            yield pd.DataFrame({"object_id": b["object_id"], "frac": frac, "unresolved": unresolved})
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,11 +12,14 @@ from pyspark.sql.window import Window
 
 from ..functions.ranks import rank_by_uniform
 from ..functions.scalars import hash_uniform
+from ..sources.tables import stored
 
 #: Rows that are compared with a block at a time.
 CHUNK = 128
-#: Most classes whose sizes are broadcast.
-CLASSES = 200_000
+#: Draws that one copy of a row serves, about.
+DRAWS = 4096
+#: Most large classes that have pivots.
+CLASSES = 20_000
 
 
 def class_counts(rows: DataFrame, split: str, label: str) -> DataFrame:
@@ -61,27 +66,137 @@ def _nearest(key: str, label: str, k: int):
     return run
 
 
-def class_neighbours(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, exact_rows: int = 2_000) -> DataFrame:
+def _own(key: str, label: str, k: int):
+    """For one block: the k nearest in it of each row."""
+    both = _nearest(key, label, k)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        return both(block, block.rename(columns={key: "_key", "_v": "_w"}))
+
+    return run
+
+
+class Pivots:
+    """Some rows of each large class: every row belongs to its nearest one's cell, and a cell reaches as far as its farthest row."""
+
+    def __init__(self, rows: list) -> None:
+        self.of: dict = {}
+        for name, vector in rows:
+            self.of.setdefault(name, []).append(vector)
+        self.of = {name: np.asarray(sorted(v), float) for name, v in self.of.items()}
+        self.radius: dict = {}
+
+    def distances(self, name: object, x: np.ndarray) -> np.ndarray:
+        p = self.of[name]
+        out = np.empty((len(x), len(p)))
+        for j, one in enumerate(p):
+            out[:, j] = np.sqrt(np.square(x - one).sum(1))
+        return out
+
+
+def _celled(label: str, pivots: Pivots):
+    """Adds each row's cell and its distance to the pivot; rows of small classes are in cell 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cell, far = np.zeros(len(b), np.int64), np.zeros(len(b))
+            for name, at in b.groupby(label).indices.items():
+                if name in pivots.of:
+                    d = pivots.distances(name, np.stack(b["_v"].to_numpy()[at]).astype(float))
+                    cell[at] = d.argmin(1)
+                    far[at] = d[np.arange(len(at)), cell[at]]
+            yield b.assign(_cell=cell, _far=far)
+
+    return run
+
+
+def _wanted(label: str, pivots: Pivots):
+    """For each row (with `_kth`, how far its k-th nearest in its own block is): the cells that may hold a nearer one.
+
+    A row of a cell is no nearer than the pivot less the cell's reach, by the triangle inequality.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, at in b.groupby(label).indices.items():
+                some = b.iloc[at]
+                d = pivots.distances(name, np.stack(some["_v"].to_numpy()).astype(float))
+                kth = some["_kth"].to_numpy()[:, None]
+                who, cell = np.nonzero(d - pivots.radius[name] <= kth + 1e-9 * (1 + d))
+                yield some.iloc[who].drop(columns="_kth").assign(_to=cell)
+
+    return run
+
+
+def class_neighbours(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, exact_rows: int = 2_000, pivot_bytes: int = 32 << 20) -> DataFrame:
     """(key, label, rank, neighbour, distance): each row's k nearest rows of its own class, itself left out.
 
-    Exact for classes of any size: each class is dealt into blocks of about `exact_rows` rows, every block is compared
-    with every block of its class, and each pair of blocks gives k rows at most for each row; ties go to the smaller key.
-    So the work is the square of a class's rows over many tasks; no task has more than two blocks.  Rows without a key,
-    label or vector neither have neighbours nor are any.
+    Exact for classes of any size; ties go to the smaller key.  A class of up to `exact_rows` rows is one block, in which all
+    rows are compared.  A larger class has about the square root of its rows as pivots (fewer where all pivots would take
+    more than `pivot_bytes`): a row's cell is its nearest pivot's, and a cell is dealt into blocks of about `exact_rows` rows.  A row's
+    k-th nearest in its own block says how far it has to look: only blocks of cells that reach that near are compared with
+    it.  Where rows lie in clusters that's a few of all pairs; where they don't, it may be all of them, over many tasks.  No task
+    has more than two blocks.  Rows without a key, label or vector neither have neighbours nor are any.
     """
+    out, _ = _neighbours(rows, key, label, vector, k, exact_rows, pivot_bytes)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(label, key).orderBy("distance", "neighbour")))
+    return ranked.filter(F.col("rank") <= k).select(key, label, "rank", "neighbour", "distance")
+
+
+def pairs_compared(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, exact_rows: int = 2_000, pivot_bytes: int = 32 << 20) -> int:
+    """How many pairs (a row, another one's place) class_neighbours compares."""
+    _, sides = _neighbours(rows, key, label, vector, k, exact_rows, pivot_bytes)
+    total = 0
+    for left, right, on, also in sides:
+        named = lambda df, by, n: df.groupBy(*by).count().select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(by)), F.col("count").alias(n))
+        counts = named(left, on, "_n").join(named(right, also, "_m"), [f"_c{i}" for i in range(len(on))])
+        total += counts.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    return total
+
+
+def _neighbours(rows: DataFrame, key: str, label: str, vector: str, k: int, exact_rows: int, pivot_bytes: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, list[str], list[str]]]]:
+    """k nearest or more of each row by blocks, and the sides that are compared, with the columns on which they meet."""
     held = rows.select(key, label, F.col(vector).cast("array<double>").alias("_v")).filter(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col("_v").isNotNull())
-    sizes = held.groupBy(label).agg(F.ceil(F.count(F.lit(1)) / F.lit(exact_rows)).cast("int").alias("_blocks"))
-    if sizes.limit(CLASSES + 1).count() <= CLASSES:
-        sizes = F.broadcast(sizes)
-    placed = held.join(sizes, label).withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), key), F.col("_blocks")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = placed.select(key, label, "_v", F.col("_block").alias("_a"), each.alias("_b"))
-    right = placed.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col("_v").alias("_w"), each.alias("_c"), F.col("_block").alias("_d"))
     kind = {f.name: f.dataType.simpleString() for f in held.schema}
     schema = f"`{key}` {kind[key]}, `{label}` {kind[label]}, neighbour {kind[key]}, distance double"
-    pairs = left.groupBy(label, "_a", "_b").cogroup(right.groupBy("_label", "_c", "_d")).applyInPandas(_nearest(key, label, k), schema)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(label, key).orderBy("distance", "neighbour")))
-    return ranked.filter(F.col("rank") <= k).select(key, label, "rank", "neighbour", "distance")
+    beyond = held.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.first(F.size("_v")).alias("_d")).filter(F.col("_n") > exact_rows)
+    large = beyond.select(label, "_n", "_d").limit(CLASSES + 1).collect()
+    if not large:
+        return held.groupBy(label).applyInPandas(_own(key, label, k), schema), [(held, held, [label], [label])]
+    large = large if len(large) <= CLASSES else []  # of more classes than that, all are one cell, and so blocks by a hash
+    share = min(1.0, pivot_bytes / sum(8 * r["_d"] * r["_n"] ** 0.5 for r in large)) if large else 0.0
+    spark = held.sparkSession
+    least = spark.createDataFrame([(r[label], r["_n"] ** -0.5 * share) for r in large], f"`{label}` {kind[label]}, _share double")
+    chosen = held.join(F.broadcast(least), label).filter(hash_uniform(0, F.lit("pivot"), key) < F.col("_share"))
+    pivots = Pivots([(r[label], list(r["_v"])) for r in chosen.select(label, "_v").distinct().collect()])  # pivot_bytes of them, about
+    cells = stored(held.mapInPandas(_celled(label, pivots), f"{', '.join(f'`{c}` {t}' for c, t in kind.items())}, _cell long, _far double"), "cells")
+    sizes = cells.groupBy(label, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(exact_rows)).cast("int").alias("_blocks"), F.max("_far").alias("_reach"))
+    sizes = stored(sizes, "cell-sizes")
+    for r in sizes.join(F.broadcast(least), label).select(label, "_cell", "_reach").collect():
+        if r[label] in pivots.of:
+            pivots.radius.setdefault(r[label], np.full(len(pivots.of[r[label]]), -np.inf))[r["_cell"]] = r["_reach"]
+    block = F.pmod(F.xxhash64(F.lit("block"), key), F.col("_blocks")).cast("int")
+    placed = stored(cells.join(sizes.select(label, "_cell", "_blocks"), [label, "_cell"]).select(key, label, "_v", "_cell", block.alias("_block")), "blocks")
+    own_on = [label, "_cell", "_block"]
+    own = stored(placed.groupBy(*own_on).applyInPandas(_own(key, label, k), schema), "own-block")
+    kth = own.groupBy(label, key).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_kth"))
+    asking = placed.join(beyond.select(label), label, "left_semi").join(kth, [label, key], "left")
+    asking = asking.select(key, label, "_v", "_cell", "_block", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(float("inf"))).alias("_kth"))
+    columns = f"{', '.join(f'`{c}` {t}' for c, t in kind.items())}, _cell long, _block int, _to long"
+    if pivots.of:
+        asks = asking.filter(F.col(label).isin(*pivots.of)).mapInPandas(_wanted(label, pivots), columns)
+        rest = asking.filter(~F.col(label).isin(*pivots.of)).drop("_kth").withColumn("_to", F.lit(0).cast("long"))
+        asks = stored(asks.unionByName(rest), "asking")
+    else:
+        asks = stored(asking.drop("_kth").withColumn("_to", F.lit(0).cast("long")), "asking")
+    others = sizes.select(label, F.col("_cell").alias("_to"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_of"))
+    asks = asks.join(others, [label, "_to"]).filter((F.col("_to") != F.col("_cell")) | (F.col("_of") != F.col("_block")))
+    on = [label, "_cell", "_block", "_to", "_of"]
+    theirs = placed.select(F.col(key).alias("_key"), F.col(label).alias("_on0"), F.col("_v").alias("_w"), F.col("_cell").alias("_on3"), F.col("_block").alias("_on4"))
+    theirs = theirs.join(asks.select(*(F.col(c).alias(f"_on{i}") for i, c in enumerate(on))).distinct(), ["_on0", "_on3", "_on4"])
+    also = [f"_on{i}" for i in range(5)]
+    far = asks.groupBy(*on).cogroup(theirs.groupBy(*also)).applyInPandas(_nearest(key, label, k), schema)
+    return own.unionByName(far), [(placed, placed, own_on, own_on), (asks, theirs, on, also)]
 
 
 def smote(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -89,23 +204,26 @@ def smote(rows: DataFrame, key: str, label: str, vector: str, k: int = 5, seed:
 
     Draw d of a class picks a row, one of its k nearest and a step by hashes of seed, class and d; the vector lies on
     the segment between the two; a row that is alone in its class is its own neighbour, so every draw makes a row.  Only
-    classes that need rows have neighbours computed.
+    classes that need rows have neighbours computed.  Where a class has many draws to a row, its rows are repeated for
+    every DRAWS draws of one, and draws are dealt over the copies, so no row gathers the draws of its class in one task.
     """
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     most = sizes.agg(F.max("_n")).first()[0] or 0
-    short = sizes.filter(F.col("_n") < most)
-    draws = short.select(label, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most) - F.col("_n") - 1)).alias("draw"))
+    salts = F.ceil((F.lit(most) - F.col("_n")) / (F.col("_n") * F.lit(DRAWS))).cast("long")
+    short = sizes.filter(F.col("_n") < most).withColumn("_salts", salts)
+    draws = short.select(label, "_n", "_salts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most) - F.col("_n") - 1)).alias("draw"))
     u = lambda what: hash_uniform(seed, label, "draw", F.lit(what))
-    minority = rows.select(key, label, vector).join(short.select(label), label, "left_semi")
-    placed = rank_by_uniform(minority.withColumn("_u", hash_uniform(seed, key)), [label], "_u", [key], "_at").select(label, F.col(key).alias("base"), F.col(vector).alias("_x"), "_at")
-    drawn = draws.withColumn("_at", F.floor(u("row") * F.col("_n")).cast("long")).join(placed, [label, "_at"])
+    minority = rows.select(key, label, vector).join(short.select(label, "_salts"), label)
+    dealt = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    placed = rank_by_uniform(minority.withColumn("_u", hash_uniform(seed, key)), [label], "_u", [key], "_at").select(label, "_salts", F.col(key).alias("base"), F.col(vector).alias("_x"), "_at")
     near = class_neighbours(minority, key, label, vector, k)
     held = near.groupBy(F.col(key).alias("base")).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))
-    drawn = drawn.join(held, "base", "left")
+    drawn = draws.withColumn("_at", F.floor(u("row") * F.col("_n")).cast("long")).withColumn("_salt", F.col("draw") % F.col("_salts"))
+    drawn = drawn.join(dealt(placed.join(held, "base", "left")), [label, "_at", "_salt"])
     pick = F.element_at("_near", (F.floor(u("neighbour") * F.size("_near")) + 1).cast("int"))
-    drawn = drawn.select(label, "draw", "base", F.coalesce(pick["neighbour"], "base").alias("neighbour"), u("step").alias("step"), "_x")
-    other = minority.select(F.col(key).alias("neighbour"), F.col(vector).alias("_y"))
-    made = drawn.join(other, "neighbour")
+    drawn = drawn.select(label, "draw", "_salt", "base", F.coalesce(pick["neighbour"], "base").alias("neighbour"), u("step").alias("step"), "_x")
+    other = dealt(minority.select(label, "_salts", F.col(key).alias("neighbour"), F.col(vector).alias("_y")))
+    made = drawn.join(other, [label, "neighbour", "_salt"])
     mixed = lambda x, y: x.cast("double") + F.col("step") * (y.cast("double") - x.cast("double"))
     return made.select(label, "draw", "base", "neighbour", "step", F.zip_with("_x", "_y", mixed).alias(vector))
 

@@ -68,6 +68,15 @@ def binary_counts(predictions: DataFrame, positive: int = 1, keys: list[str] | N
     return predictions.groupBy(*(keys or [])).agg(F.count_if(is_ & says).alias("tp"), F.count_if(~is_ & says).alias("fp"), F.count_if(is_ & ~says).alias("fn"), F.count_if(~is_ & ~says).alias("tn"))
 
 
+def weighted_binary(counts: DataFrame) -> DataFrame:
+    """Adds precision, recall, f1, each class weighted by its support, and accuracy, to counts (tp, fp, fn, tn)."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    sides = [(tn, tn + fn, tn + fp), (tp, tp + fp, tp + fn)]  # hits, predicted, support of classes 0 and 1
+    harmonic = lambda h, said, true: _ratio(2 * h, said + true)
+    of = lambda f: _ratio(sum(f(*s) * s[2] for s in sides), tp + fp + fn + tn)
+    return counts.withColumns({"precision": of(lambda h, said, _: _ratio(h, said)), "recall": of(lambda h, _, true: _ratio(h, true)), "f1": of(harmonic), "accuracy": _ratio(tp + tn, tp + fp + fn + tn)})
+
+
 def figure_of_merit(counts: DataFrame, penalty: float = 3.0) -> DataFrame:
     """Adds fom = tp^2 / ((tp + fn) (tp + penalty fp)); 0 where undefined."""
     tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))

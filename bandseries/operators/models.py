@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .balance import oversampled
+from .boosting import BoostedTrees
 from .splits import stratified_folds
 
 
@@ -30,20 +32,23 @@ def standardise(train: DataFrame, rows: DataFrame, column: str = "features", out
 
 
 def classifier(kind: str, /, **params) -> Estimator:
-    """linear, forest or boosted; parameters the family lacks are dropped and depths clamped to what Spark allows (30)."""
-    family = {"linear": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}[kind]
-    if "maxDepth" in params:
+    """linear, forest or boosted; parameters the family lacks are dropped, and a forest's depth is clamped to what Spark allows (30)."""
+    family = {"linear": LogisticRegression, "forest": RandomForestClassifier, "boosted": BoostedTrees}[kind]
+    if kind == "forest" and "maxDepth" in params:
         params["maxDepth"] = min(int(params["maxDepth"]), 30)
     made = family(featuresCol="scaled", labelCol="label")
     known = {p.name for p in made.params}
     return made.setParams(**{k: v for k, v in params.items() if k in known})
 
 
-class BalancedClassifier(Estimator):
-    """Balances the rows it is fitted on (by synthetic minority rows), scales, and fits; its model only scales and scores.
+def balanced(rows: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
+    """(label, features) of all rows (key, features, label) and of the synthetic ones that bring each class up to the largest."""
+    plain = rows.withColumn("_x", vector_to_array("features"))
+    return with_vector(oversampled(plain, key, "label", "_x", seed=seed), "_x")
 
-    In a CrossValidator the balancing sees the training folds alone.
-    """
+
+class BalancedClassifier(Estimator):
+    """Balances the rows it is fitted on (by synthetic minority rows), scales, and fits; its model only scales and scores."""
 
     def __init__(self, inner: Estimator, balance: bool = True, key: str = "id", seed: int = 42) -> None:
         super().__init__()
@@ -54,8 +59,7 @@ class BalancedClassifier(Estimator):
 
     def _fit(self, dataset: DataFrame) -> Model:
         if self.balance:
-            plain = dataset.withColumn("_x", vector_to_array("features"))
-            dataset = with_vector(oversampled(plain, self.key, "label", "_x", seed=self.seed), "_x")
+            dataset = balanced(dataset, self.key, self.seed)
         dataset = dataset.persist()
         try:
             scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
@@ -66,45 +70,83 @@ class BalancedClassifier(Estimator):
 
 #: Ranges of the search, by Spark's names: (kind, least, largest) or a list.
 SPACES = {
-    "boosted": {"maxIter": ("step", 100, 1000), "maxDepth": ("int", 3, 15), "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("real", 0.5, 1.0), "featureSubsetStrategy": ["all", "sqrt", "log2"]},
+    "boosted": {
+        "maxIter": ("step", 100, 1000), "maxDepth": ("int", 3, 15), "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("real", 0.5, 1.0), "columnRate": ("real", 0.5, 1.0),
+        "regLambda": ("log", 1e-3, 10.0), "regAlpha": ("log", 1e-3, 10.0), "gamma": ("log", 1e-3, 10.0),
+    },
     "forest": {"numTrees": ("step", 100, 1000), "maxDepth": ("int", 5, 50), "minInstancesPerNode": ("int", 1, 5), "featureSubsetStrategy": ["sqrt", "log2", "all"]},
     "linear": {"regParam": ("log", 1e-4, 1.0), "elasticNetParam": ("real", 0.0, 1.0)},
 }
 
 
-def trials(family: str, n: int, seed: int = 42) -> list[dict]:
-    """n seeded random draws of the family's space; trial k is the same for every n."""
+def trials(family: str, n: int, seed: int = 42, space: dict | None = None) -> list[dict]:
+    """n seeded random draws of the family's space, with the ranges of `space` in place of its own; trial k is the same for every n."""
     out = []
     for k in range(n):
         r = random.Random(f"{seed}/{family}/{k}")
         draw = {}
-        for name, space in SPACES[family].items():
-            if isinstance(space, list):
-                draw[name] = r.choice(space)
-            elif space[0] == "step":
-                draw[name] = 100 * r.randint(space[1] // 100, space[2] // 100)
-            elif space[0] == "int":
-                draw[name] = r.randint(space[1], space[2])
-            elif space[0] == "real":
-                draw[name] = r.uniform(space[1], space[2])
+        for name, range_ in (SPACES[family] | (space or {})).items():
+            if isinstance(range_, list):
+                draw[name] = r.choice(range_)
+            elif range_[0] == "step":
+                draw[name] = 100 * r.randint(range_[1] // 100, range_[2] // 100)
+            elif range_[0] == "int":
+                draw[name] = r.randint(range_[1], range_[2])
+            elif range_[0] == "real":
+                draw[name] = r.uniform(range_[1], range_[2])
             else:
-                draw[name] = space[1] * (space[2] / space[1]) ** r.random()
+                draw[name] = range_[1] * (range_[2] / range_[1]) ** r.random()
         out.append(draw)
     return out
 
 
-def search(rows: DataFrame, family: str, n: int, folds: int = 5, balance: bool = False, key: str = "id", seed: int = 42, parallelism: int = 4, **fixed) -> tuple[CrossValidatorModel, DataFrame]:
-    """The refitted best model, and (trial, f1, params): mean weighted F1 over stratified folds of each trial.
+def fold_tables(rows: DataFrame, folds: int = 5, balance: bool = False, key: str = "id", seed: int = 42) -> list[tuple[DataFrame, DataFrame]]:
+    """The training and the validation table (label, scaled) of each stratified fold of rows (key, features, label).
+
+    A fold's training rows are balanced among themselves, and both tables are scaled by the training rows alone.  The
+    tables are written once, so that whatever is tried on them neither balances nor scales again.
+    """
+    placed = stored(stratified_folds(rows, "label", key, folds, seed).select(key, "features", "label", "fold"), "folds")
+    out = []
+    for k in range(folds):
+        train, valid = placed.filter(F.col("fold") != k), placed.filter(F.col("fold") == k)
+        if balance:
+            train = stored(balanced(train, key, seed), "fold")
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(train)
+        out.append(tuple(stored(scaler.transform(t).select("label", "scaled"), "fold") for t in (train, valid)))
+    return out
+
+
+def search(
+    rows: DataFrame, family: str, n: int, folds: int = 5, balance: bool = False, key: str = "id", seed: int = 42, parallelism: int = 4, space: dict | None = None, margin: float | None = None, **fixed
+) -> tuple[PipelineModel, DataFrame]:
+    """The best trial's model, fitted on all rows, and (trial, f1, folds, params): each trial's mean weighted F1 over the folds it was given.
 
-    rows: key, features (vector), label (double); `fixed` are parameters that all trials share.
+    rows: key, features (vector), label (double); `fixed` are parameters that all trials share.  Folds are made once
+    (`fold_tables`); `parallelism` fits run at a time.  With a margin, folds are taken one after the other, and a trial whose mean so
+    far is more than the margin below the best is given no more; its f1 is null.  Without one, every trial sees every fold.
     """
-    base = classifier(family, **fixed)
-    grid = [{base.getParam(k): v for k, v in t.items()} for t in trials(family, n, seed)]
-    cv = CrossValidator(estimator=BalancedClassifier(base, balance, key, seed), estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, foldCol="fold", parallelism=parallelism)
-    model = cv.fit(stratified_folds(rows, "label", key, folds, seed))
-    spark = rows.sparkSession
-    table = [(k, float(f1), {a: str(b) for a, b in t.items()}) for k, (f1, t) in enumerate(zip(model.avgMetrics, trials(family, n, seed), strict=True))]
-    return model, spark.createDataFrame(table, "trial int, f1 double, params map<string,string>")
+    tables, draws = fold_tables(rows, folds, balance, key, seed), trials(family, n, seed, space)
+    judge = MulticlassClassificationEvaluator(metricName="f1")
+    got: list[list[float]] = [[] for _ in draws]
+
+    def one(job: tuple[int, int]) -> float:
+        train, valid = tables[job[1]]
+        return judge.evaluate(classifier(family, **fixed | draws[job[0]]).fit(train).transform(valid))
+
+    going, mean = list(range(n)), lambda v: sum(v) / len(v)
+    with ThreadPoolExecutor(parallelism) as pool:
+        for some in [range(folds)] if margin is None else [[f] for f in range(folds)]:
+            jobs = [(t, f) for t in going for f in some]
+            for (t, _), f1 in zip(jobs, pool.map(one, jobs), strict=True):
+                got[t].append(f1)
+            if margin is not None:
+                best = max(mean(got[t]) for t in going)
+                going = [t for t in going if mean(got[t]) >= best - margin]
+    best = max((t for t in range(n) if len(got[t]) == folds), key=lambda t: (mean(got[t]), -t))
+    model = fit(rows, family, balance, key, **fixed | draws[best])
+    table = [(t, float(mean(got[t])) if len(got[t]) == folds else None, len(got[t]), {a: str(b) for a, b in draws[t].items()}) for t in range(n)]
+    return model, rows.sparkSession.createDataFrame(table, "trial int, f1 double, folds int, params map<string,string>")
 
 
 def fit(rows: DataFrame, kind: str, /, balance: bool = False, key: str = "id", **params) -> PipelineModel:
@@ -128,7 +170,12 @@ def score_all(models: dict[str, Model], rows: DataFrame, key: str = "id") -> Dat
     return out
 
 
-def train_all(rows: DataFrame, families: dict[str, dict] | None = None, key: str = "id") -> dict[str, PipelineModel]:
-    """Each family plain and balanced, from one feature table."""
+def train_all(rows: DataFrame, families: dict[str, dict] | None = None, key: str = "id", searches: dict[str, dict] | None = None) -> dict[str, PipelineModel]:
+    """Each family plain and balanced, and each family of `searches` with the best parameters of a search, from one feature table.
+
+    Unless told otherwise: linear, forest and boosted, and boosted once more after a search of 150 trials.
+    """
     families = families or {"linear": {}, "forest": {}, "boosted": {}}
-    return {f"{f}_{'balanced' if b else 'plain'}": fit(rows, f, b, key, **p) for f, p in families.items() for b in (False, True)}
+    searches = {"boosted": {"n": 150}} if searches is None else searches
+    out = {f"{f}_{'balanced' if b else 'plain'}": fit(rows, f, b, key, **p) for f, p in families.items() for b in (False, True)}
+    return out | {f"{f}_optimized": search(rows, f, key=key, **how)[0] for f, how in searches.items()}

@@ -68,7 +68,7 @@ def align_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_augment(spark: SparkSession, d: str) -> DataFrame:
-    return methods.epochs(observations(spark, d).filter("band <> 'u'"), "no such name")
+    return rounded(methods.epochs(observations(spark, d), "no such name"), "t", *BANDS, *ERRORS)
 
 
 def align_spline(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ def fixed_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adaptive_bins(spark: SparkSession, d: str) -> DataFrame:
-    out = align.adaptive_bins(observations(spark, d).filter("band <> 'u'"))
+    out = align.adaptive_bins(observations(spark, d))
     return rounded(out.select("object_id", "seq", "bin", "frac", "unresolved"), "frac")
 
 
@@ -225,7 +225,17 @@ def _windows(keys: str) -> str:
 _EDGE = f"{_ALIGNED}, filled AS (SELECT object_id, bin, round(t, 6) AS t, {', '.join(f'{_filled(b, False, [])} AS {b}' for b in BANDS)} FROM aligned {_windows('object_id')})"
 _SEQ = f"{_EDGE}, numbered AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY object_id) AS len FROM filled)"
 _TIMES = f"{_BINNED}, times AS (SELECT object_id, bin, avg(t) AS t FROM binned GROUP BY object_id, bin)"
-_GRID = ", ".join(f"{g!r}::DOUBLE" for g in align.frac_grid())
+# Walks the grid, object by object, until no pair shares a bin; from the 200th value on, pairs with equal times are left aside.
+_ADAPTIVE = f"""{OBS},
+    pairs AS (
+        SELECT object_id, t, unnest([CASE WHEN band <> 'u' THEN lag(t) OVER (PARTITION BY object_id, band ORDER BY t, seq) END, lag(t, 4) OVER (PARTITION BY object_id ORDER BY t, seq)]) AS p FROM obs),
+    close AS MATERIALIZED (SELECT * FROM pairs WHERE p IS NOT NULL AND t - p < 1.001),
+    walk AS (
+        SELECT DISTINCT user_id AS object_id, 0 AS k, 1.0::DOUBLE AS f FROM events
+        UNION ALL
+        SELECT DISTINCT w.object_id, w.k + 1, w.f + 0.1::DOUBLE FROM walk w JOIN close c ON c.object_id = w.object_id AND {bin_sql('c.p', 'w.f')} = {bin_sql('c.t', 'w.f')} AND (c.p <> c.t OR w.k < 199)),
+    got AS (SELECT object_id, max(f) AS frac, object_id IN (SELECT object_id FROM close WHERE p = t) AS unresolved FROM walk GROUP BY object_id),
+    binned AS MATERIALIZED (SELECT obs.*, frac, unresolved, {bin_sql('t', 'frac')} AS bin FROM obs JOIN got USING (object_id))"""
 _SPLIT = f"""
     ids AS (SELECT DISTINCT user_id AS object_id FROM events),
     split AS (
@@ -289,15 +299,10 @@ ORACLE = {
         WITH {OBS} SELECT object_id, seq, {', '.join(f"coalesce(last_value(CASE WHEN band = '{b}' THEN {v} END IGNORE NULLS) OVER w, 0.0) AS {n}" for b in BANDS for v, n in (('flux', b), ('flux_err', f'{b}_err')))}
         FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "fixed_bins": f"WITH {_BINNED} SELECT object_id, bin, round(avg(t), 6) AS t, count(*) AS n, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS members FROM binned GROUP BY object_id, bin",
-    "adaptive_bins": f"""
-        WITH {OBS}, known AS (SELECT * FROM obs WHERE band <> 'u'),
-        pairs AS (
-            SELECT object_id, t, unnest([lag(t) OVER (PARTITION BY object_id, band ORDER BY t, seq), lag(t, 4) OVER (PARTITION BY object_id ORDER BY t, seq)]) AS p FROM known),
-        grid AS (SELECT unnest([{_GRID}]) AS f),
-        clash AS (SELECT DISTINCT object_id, f FROM pairs, grid WHERE p IS NOT NULL AND {bin_sql('p', 'f')} = {bin_sql('t', 'f')}),
-        free AS (SELECT object_id, min(f) AS f FROM (SELECT object_id, f FROM (SELECT DISTINCT object_id FROM known), grid EXCEPT SELECT object_id, f FROM clash) GROUP BY object_id),
-        got AS (SELECT k.object_id, seq, t, coalesce(f, {align.frac_grid()[-1]!r}::DOUBLE) AS frac, f IS NULL AS unresolved FROM known k LEFT JOIN free USING (object_id))
-        SELECT object_id, seq, {bin_sql('t', 'frac')} AS bin, round(frac, 6) AS frac, unresolved FROM got""",
+    "adaptive_bins": f"WITH RECURSIVE {_ADAPTIVE} SELECT object_id, seq, bin, round(frac, 6) AS frac, unresolved FROM binned",
+    "align_augment": f"""
+        WITH RECURSIVE {_ADAPTIVE}, aligned AS (SELECT object_id, bin, avg(t) AS t, {_WIDE} FROM binned GROUP BY object_id, bin), passed AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS pass FROM aligned)
+        SELECT pass, object_id, bin, round(t, 6) AS t, {', '.join(f'round({_filled(c, True, ["pass", "object_id"])}, 6) AS {c}' for c in [*BANDS, *ERRORS])} FROM passed {_windows('pass, object_id')}""",
     "band_align": f"WITH {_ALIGNED} SELECT * REPLACE (round(t, 6) AS t) FROM aligned",
     "gap_fill": f"""
         WITH {_ALIGNED}, passed AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS pass FROM aligned)

@@ -101,6 +101,58 @@ def test_dense_objects_are_resolved_beyond_the_first_steps(spark):
     assert ok == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_grid_values_are_those_of_repeated_addition():
+    from bandseries.operators.steps import Grid
+
+    grid = Grid()
+    assert [grid.value(k) for k in range(200)] == align.frac_grid()
+    sums = np.cumsum(np.concatenate(([1.0], np.full(3_000_000, 0.1))))
+    for k in [*range(0, 3_000_000, 997), *(int(np.searchsorted(sums, 2.0**e)) + d for e in range(1, 18) for d in (-1, 0, 1))]:
+        assert grid.value(k) == sums[k]
+    assert grid.value(grid.size - 1) + 0.1 == grid.value(grid.size - 1) or grid.size > 10**15
+
+
+def test_next_parting_step_is_the_first():
+    import random
+
+    from bandseries.operators.steps import Grid, first_free, next_parted, shared
+
+    grid, r = Grid(), random.Random(3)
+    values = np.asarray([grid.value(k) for k in range(60_000)])
+    for _ in range(60):
+        p = r.choice([0.0, r.uniform(0, 1e-3), r.uniform(0, 5), r.uniform(0, 400), -r.uniform(0, 3)])
+        t = p + r.choice([1e-3, 2e-4, 0.01, 0.3]) * r.uniform(0.5, 1.5)
+        k = r.randrange(200)
+        rows = [j for j in range(k, 60_000) if not shared(p, t, float(values[j]))][:1]
+        found = next_parted(grid, p, t, k)
+        assert found == rows[0] if rows else found >= 60_000
+    p = np.asarray([1.0, 7.25, 30.5, 30.501])
+    t = p + np.asarray([0.002, 0.004, 0.001, 0.03])
+    want = next(f for f in values if not shared(p, t, float(f)).any())
+    assert first_free(grid, p, t, 0) == (want, True)
+
+
+def test_pairs_a_microsecond_apart_are_parted_at_once():
+    import time
+
+    from bandseries.operators.steps import Grid, first_free, shared
+
+    grid, day = Grid(), 1e-6 / 86400
+    began = time.time()
+    for p in (0.0, 0.37, 12.3456, 871.001):
+        one, other = np.asarray([p, p + 3.0]), np.asarray([p + day, p + 3.5])
+        if one[0] == other[0]:
+            continue
+        f, free = first_free(grid, one, other, 199)
+        assert free
+        assert not shared(one, other, f).any()
+    assert time.time() - began < 1
+    next_to = np.nextafter(871.001, 1e9)
+    f, free = first_free(grid, np.asarray([871.001]), np.asarray([next_to]), 199)
+    assert free
+    assert not shared(871.001, float(next_to), f)
+
+
 def test_runs_follow_file_order(spark):
     obs = spark.createDataFrame([(1, k, t) for k, t in enumerate([0.1, 0.2, 1.5, 0.3])], "object_id long, seq int, t double")
     assert [r["bin"] for r in align.runs(obs).orderBy("seq").collect()] == [0, 0, 1, 2]
@@ -178,7 +230,7 @@ def test_two_level_ranks(spark):
     df = spark.range(500).select((F.col("id") % 2).alias("k"), S.hash_uniform("id").alias("u"), "id", F.lit(2).alias("w"))
     ranked = rank_by_uniform(df, ["k"], "u", ["id"], "r", buckets=7).orderBy("k", "u").collect()
     assert [r["r"] for r in ranked] == [*range(250), *range(250)]
-    run = running_totals(df, ["k"], "u", {"total": "w"}, pieces=5).orderBy("k", F.desc("u")).collect()
+    run = running_totals(df, ["k"], "u", {"total": "w"}, rows=5).orderBy("k", F.desc("u")).collect()
     assert [r["total"] for r in run] == [*range(2, 502, 2)] * 2
 
 
@@ -315,6 +367,37 @@ def test_smote_makes_every_draw_for_a_class_of_one(spark):
     assert [(r["label"], r["base"], r["neighbour"], r["x"]) for r in made] == [(1, 9, 9, [5.0, 5.0])] * 5
 
 
+def test_neighbours_by_pivots_are_those_of_all_pairs(spark):
+    from bandseries.operators.balance import class_neighbours, pairs_compared
+
+    r = np.random.default_rng(4)
+    at = r.uniform(-10, 10, (12, 3))
+    x = np.concatenate([c + r.normal(0, 0.05, (60, 3)) for c in at] + [np.zeros((30, 3)), at[:1].repeat(40, 0)])
+    rows = [(k, k % 3 == 0, [float(v) for v in row]) for k, row in enumerate(x)] + [(10_000, None, [0.0] * 3), (None, True, [0.0] * 3), (10_001, True, None)]
+    df = spark.createDataFrame(rows, "id long, label boolean, v array<double>").repartition(4)
+    few = {(p["id"], p["rank"]): (p["neighbour"], p["distance"]) for p in class_neighbours(df, "id", "label", "v", 4, exact_rows=16).collect()}
+    one = {(p["id"], p["rank"]): (p["neighbour"], p["distance"]) for p in class_neighbours(df, "id", "label", "v", 4, exact_rows=5_000).collect()}
+    assert few == one
+    assert len(one) == 4 * len(x)
+    for k in range(0, len(x), 37):
+        same = [j for j in range(len(x)) if j != k and (j % 3 == 0) == (k % 3 == 0)]
+        want = sorted((float(np.sqrt(np.square(x[k] - x[j]).sum())), j) for j in same)[:4]
+        assert [one[k, i + 1][0] for i in range(4)] == [j for _, j in want]
+    most = sum(int((np.arange(len(x)) % 3 == 0).sum() if c else (np.arange(len(x)) % 3 != 0).sum()) ** 2 for c in (0, 1))
+    assert pairs_compared(df, "id", "label", "v", 4, exact_rows=16) < 0.25 * most
+    assert {(p["id"], p["rank"]): (p["neighbour"], p["distance"]) for p in class_neighbours(df, "id", "label", "v", 4, exact_rows=64, pivot_bytes=1).collect()} == one
+
+
+def test_draws_of_a_small_class_are_dealt_out(spark, monkeypatch):
+    from bandseries.operators import balance
+
+    rows = spark.createDataFrame([(k, 0, [float(k), 1.0]) for k in range(200)] + [(1000 + k, 1, [float(k), 5.0]) for k in range(3)], "id long, label int, x array<double>")
+    plain = sorted(map(str, balance.smote(rows, "id", "label", "x").collect()))
+    monkeypatch.setattr(balance, "DRAWS", 8)
+    assert sorted(map(str, balance.smote(rows, "id", "label", "x").collect())) == plain
+    assert len(plain) == 197
+
+
 def test_methods_are_chosen_by_name(spark):
     from bandseries.operators.methods import epochs
 
