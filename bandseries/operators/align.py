@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import bin_of
+from ..functions.scans import last_and_next
 from ..schemas import BANDS
 from .steps import Grid, first_free
 
@@ -33,11 +34,15 @@ def band_columns(bands: list[str] = BANDS) -> dict[str, Column]:
     return {b: F.when(F.col("band") == b, F.col("flux")) for b in bands} | {f"{b}_err": F.when(F.col("band") == b, F.col("flux_err")) for b in bands}
 
 
-def carry_forward(obs: DataFrame, bands: list[str] = BANDS, initial: float | None = 0.0) -> DataFrame:
-    """One row per observation with each band's latest value; `initial` before a band's first (None: null)."""
-    so_far = Window.partitionBy("object_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = {n: F.last(c, ignorenulls=True).over(so_far) for n, c in band_columns(bands).items()}
-    return obs.select("object_id", "seq", "t", *((F.coalesce(c, F.lit(initial)) if initial is not None else c).alias(n) for n, c in last.items()))
+def carry_forward(obs: DataFrame, bands: list[str] = BANDS, initial: float | None = 0.0, rows: int | None = None) -> DataFrame:
+    """One row per observation with each band's latest value; `initial` before a band's first (None: null).
+
+    With `rows`, objects are cut into ranges of about so many rows, for objects that are larger than a task.
+    """
+    wide = band_columns(bands)
+    held = last_and_next(obs.select("object_id", "seq", "t", *(c.alias(n) for n, c in wide.items())), ["object_id"], ["seq"], list(wide), rows, following=False)
+    last = {n: F.col(f"_last_{n}") for n in wide}
+    return held.select("object_id", "seq", "t", *((F.coalesce(c, F.lit(initial)) if initial is not None else c).alias(n) for n, c in last.items()))
 
 
 def fixed_bins(obs: DataFrame, frac: float | Column = 1.0) -> DataFrame:
@@ -133,16 +138,23 @@ def align_bands(binned: DataFrame, bands: list[str] = BANDS) -> DataFrame:
     return binned.groupBy("object_id", "bin").agg(F.avg("t").alias("t"), F.count(F.lit(1)).alias("n"), *(F.max(c).alias(n) for n, c in wide.items()), ok.alias("ok"))
 
 
-def nearest_value(obs: DataFrame, times: DataFrame, band: str, value: str = "flux_err") -> DataFrame:
-    """times (object_id, bin, t) with `value` of the nearest observation of the band: the first of equals, 0 for none.
+def nearest_values(obs: DataFrame, times: DataFrame, bands: list[str], value: str = "flux_err", rows: int | None = None) -> DataFrame:
+    """times (object_id, bin, t) for each band, with `value` of the nearest observation of the band: the first of equals, 0 for none.
 
-    One sort per object over both tables, not a join of all pairs.
+    All bands in one pass: observations and times of an object and band are sorted together, not joined pair by pair.
+    With `rows`, they are cut into ranges of about so many rows, for objects that are larger than a task.
     """
-    one = obs.filter(F.col("band") == band).groupBy("object_id", "t").agg(F.min(F.struct("seq", value)).alias("_p"))
-    both = one.select("object_id", "t", F.lit(None).cast("long").alias("bin"), F.struct("t", F.col(f"_p.{value}").alias("v")).alias("_p"))
-    both = both.unionByName(times.select("object_id", "t", "bin", F.lit(None).cast(both.schema["_p"].dataType).alias("_p")))
-    way = lambda order: Window.partitionBy("object_id").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("_a", F.last("_p", ignorenulls=True).over(way("t"))).withColumn("_b", F.last("_p", ignorenulls=True).over(way(F.desc("t")))).filter("bin IS NOT NULL")
-    closer = F.col("_b.t") - F.col("t") < F.col("t") - F.col("_a.t")
-    got = F.when(F.col("_a").isNull() | closer, F.col("_b.v")).otherwise(F.col("_a.v"))
-    return near.select("object_id", "bin", "t", F.lit(band).alias("band"), F.coalesce(got, F.lit(0.0)).alias("value"))
+    one = obs.filter(F.col("band").isin(bands)).groupBy("object_id", "band", "t").agg(F.min(F.struct("seq", value)).alias("_p"))
+    both = one.select("object_id", "band", "t", F.lit(-1).cast("long").alias("bin"), F.lit(0).alias("_asks"), F.struct("t", F.col(f"_p.{value}").alias("v")).alias("_p"))
+    kind = both.schema["_p"].dataType
+    asked = times.select("object_id", F.explode(F.array(*map(F.lit, bands))).alias("band"), "t", "bin", F.lit(1).alias("_asks"), F.lit(None).cast(kind).alias("_p"))
+    near = last_and_next(both.unionByName(asked), ["object_id", "band"], ["t", "_asks", "bin"], ["_p"], rows).filter("_asks = 1")
+    a, b = F.col("_last__p"), F.col("_next__p")
+    closer = b["t"] - F.col("t") < F.col("t") - a["t"]
+    got = F.when(a.isNull() | closer, b["v"]).otherwise(a["v"])
+    return near.select("object_id", "bin", "t", "band", F.coalesce(got, F.lit(0.0)).alias("value"))
+
+
+def nearest_value(obs: DataFrame, times: DataFrame, band: str, value: str = "flux_err") -> DataFrame:
+    """nearest_values of one band."""
+    return nearest_values(obs, times, [band], value)

@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions.ranks import running_totals
 
+#: Most labels whose widths are broadcast.
+LABELS = 10_000
+
 
 def score_totals(predictions: DataFrame, positive: int = 1, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(keys, score, pos, neg, tp, fp, p, n): counts at each score, running counts from the top, and totals; ties are one row."""
@@ -77,16 +80,23 @@ def score_histogram(predictions: DataFrame, bins: int = 30) -> DataFrame:
 
 
 def score_density(predictions: DataFrame, grid: int = 100) -> DataFrame:
-    """(label, x, density): Gaussian kernels about each distinct score, Scott's bandwidth, on a grid over the scores' range.
+    """(label, k, x, density): Gaussian kernels about each distinct score, Scott's bandwidth, on a grid over the scores' range.
 
-    Each distinct score meets each grid point once, after rows are counted by score; sums combine before the shuffle.
+    A label whose scores are all equal, or that has one, has kernels one step of the grid wide (1 where all scores of
+    all labels are equal).  Null scores are left out.  Each distinct score meets each grid point once, after rows are
+    counted by score; sums combine before the shuffle, and widths, a row for each label, are broadcast where a count finds them few.
     """
-    ends = predictions.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    known = predictions.filter("score IS NOT NULL")
+    ends = known.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     lo, hi = float(ends["lo"] or 0.0), float(ends["hi"] or 0.0)
     xs = [lo + k * (hi - lo) / (grid - 1) for k in range(grid)]
-    each = predictions.groupBy("label", "score").agg(F.count(F.lit(1)).alias("n"))
-    width = predictions.groupBy("label").agg((F.stddev_samp("score") * F.pow(F.count("score").cast("double"), -0.2)).alias("h"), F.count("score").alias("all")).filter("h > 0")
-    spread = each.join(width, "label").select("label", "score", "n", "h", "all", F.posexplode(F.array(*map(F.lit, xs))).alias("k", "x"))
+    step = (hi - lo) / (grid - 1) or 1.0
+    each = known.groupBy("label", "score").agg(F.count(F.lit(1)).alias("n"))
+    width = known.groupBy("label").agg((F.stddev_samp("score") * F.pow(F.count("score").cast("double"), -0.2)).alias("h"), F.count("score").alias("all"))
+    width = width.select(F.col("label").alias("_label"), F.when(F.col("h") > 0, F.col("h")).otherwise(F.lit(step)).alias("h"), "all")
+    if width.limit(LABELS + 1).count() <= LABELS:
+        width = F.broadcast(width)
+    spread = each.join(width, F.col("label").eqNullSafe(F.col("_label"))).select("label", "score", "n", "h", "all", F.posexplode(F.array(*map(F.lit, xs))).alias("k", "x"))
     z = (F.col("x") - F.col("score")) / F.col("h")
     kernel = F.col("n") * F.exp(-0.5 * z * z) / (F.col("all") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
     return spread.groupBy("label", "k", "x").agg(F.sum(kernel).alias("density"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import hash_uniform
+from ..functions.scans import last_and_next
 from ..schemas import BANDS
 
 
@@ -15,20 +15,18 @@ def passes(aligned: DataFrame, n: int = 5) -> DataFrame:
     return aligned.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def fill_gaps(aligned: DataFrame, bands: list[str] = BANDS, seed: int = 42, interior: bool = True) -> DataFrame:
+def fill_gaps(aligned: DataFrame, bands: list[str] = BANDS, seed: int = 42, interior: bool = True, rows: int | None = None) -> DataFrame:
     """Every missing band value of aligned epochs (object_id, bin, t, bands; perhaps pass).
 
     Between two known values: uniform between them, by a hash of seed, pass, object, bin and column (with `interior`
     off: the earlier value).  Before the first or after the last: that value.  No value at all: 0.  Errors likewise.
+    With `rows`, objects are cut into ranges of about so many rows, for objects that are larger than a task.
     """
     key = ["pass", "object_id"] if "pass" in aligned.columns else ["object_id"]
-    # Running values in both directions: a frame that ends with the partition would be read to its end for every row.
-    past = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(*key).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    columns = [*bands, *(f"{b}_err" for b in bands)]
     out = {}
-    for c in [*bands, *(f"{b}_err" for b in bands)]:
-        before, after = F.last(c, ignorenulls=True).over(past), F.last(c, ignorenulls=True).over(future)
-        u = hash_uniform(seed, *key, "bin", F.lit(c))
-        inner = before + u * (after - before) if interior else before
+    for c in columns:
+        before, after = F.col(f"_last_{c}"), F.col(f"_next_{c}")
+        inner = before + hash_uniform(seed, *key, "bin", F.lit(c)) * (after - before) if interior else before
         out[c] = F.coalesce(F.col(c), inner, before, after, F.lit(0.0))
-    return aligned.withColumns(out)
+    return last_and_next(aligned, key, ["bin"], columns, rows).withColumns(out).drop(*(f"_{w}_{c}" for w in ("last", "next") for c in columns))

@@ -20,10 +20,7 @@ def spline(obs: DataFrame, bands: list[str]) -> DataFrame:
     """Each band's cubic at the mean times of whole bins, and the errors of the nearest observations; one pass."""
     times = align.cluster_times(align.fixed_bins(obs)).select("object_id", "bin", "t")
     values = resample.cubic_resample(obs, times, bands).select("object_id", "bin", "t", "band", "value")
-    errors = None
-    for b in bands:
-        one = align.nearest_value(obs, times, b).withColumn("band", F.lit(f"{b}_err"))
-        errors = one if errors is None else errors.unionByName(one)
+    errors = align.nearest_values(obs, times, bands).withColumn("band", F.concat("band", F.lit("_err")))
     names = [*bands, *(f"{b}_err" for b in bands)]
     wide = values.unionByName(errors).groupBy("object_id", "bin", "t").agg(*(F.max(F.when(F.col("band") == n, F.col("value"))).alias(n) for n in names))
     return wide.withColumn("pass", F.lit(1))

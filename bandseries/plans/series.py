@@ -9,11 +9,14 @@ from ..functions import scalars as S
 from ..operators import align, fill, methods, resample, sequences, splits
 from ..schemas import BANDS, CLASS_CODES, TARGETS
 from ..sources import light_curves
+from ..sources import object_files as files_source
 from ..sources.tables import scratch
 from .tables import OBS, bin_sql, features, observations, uniform_sql
 
 ERRORS = [f"{b}_err" for b in BANDS]
 FRAC = 0.5
+#: Rows of a range of an object that is taken to be larger than a task.
+LONG = 4096
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -59,6 +62,16 @@ def object_files(spark: SparkSession, d: str) -> DataFrame:
     return light_curves.parse_headers(objects).join(counts, "file").select("object_id", "class_code", "n")
 
 
+def object_files_io(spark: SparkSession, d: str) -> DataFrame:
+    """Objects written as one named file each and read again, with the parsers on what comes back."""
+    files_source.register(spark)
+    path = scratch(spark, "files")
+    rendered(spark, d).select(F.concat("file", F.lit(".txt")).alias("file"), "text").write.format("object_files").mode("append").save(path)
+    back = spark.read.format("object_files").schema("file string, text string").load(path)
+    n = light_curves.parse_observations(back).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("flux"), 4).alias("flux"))
+    return light_curves.parse_headers(back).select("file", "object_id", "class_code").join(n, "file")
+
+
 def ingest_tally(spark: SparkSession, d: str) -> DataFrame:
     return light_curves.tally(light_curves.parse_headers(rendered(spark, d)))
 
@@ -68,11 +81,13 @@ def align_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_augment(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(methods.epochs(observations(spark, d), "no such name"), "t", *BANDS, *ERRORS)
+    out = methods.epochs(observations(spark, d), "no such name")
+    return rounded(out.withColumn("t", F.round("t", 4)), *BANDS, *ERRORS)
 
 
 def align_spline(spark: SparkSession, d: str) -> DataFrame:
-    return methods.epochs(observations(spark, d), "spline")
+    out = methods.epochs(observations(spark, d), "spline")
+    return rounded(out.withColumn("t", F.round("t", 4)), *BANDS, *ERRORS)
 
 
 def class_map(spark: SparkSession, d: str) -> DataFrame:
@@ -121,10 +136,16 @@ def times(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def nearest_error(spark: SparkSession, d: str) -> DataFrame:
     obs, at = times(spark, d)
-    out = align.nearest_value(obs, at, BANDS[0])
-    for b in BANDS[1:]:
-        out = out.unionByName(align.nearest_value(obs, at, b))
-    return out.drop("t")
+    return align.nearest_values(obs, at, BANDS).drop("t")
+
+
+def one_long_series(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one object, cut into ranges: carried forward, and each band's gaps filled by the values about them."""
+    every = observations(spark, d).select(F.lit(0).cast("long").alias("object_id"), F.col("event_id").alias("seq"), F.lit(0.0).alias("t"), "band", "flux", "flux_err")
+    carried = align.carry_forward(every, rows=LONG)
+    wide = every.select("object_id", F.col("seq").alias("bin"), "t", *(c.alias(n) for n, c in align.band_columns().items()))
+    filled = fill.fill_gaps(wide, rows=LONG).select(F.col("bin").alias("seq"), *(F.round(n, 6).alias(f"{n}_filled") for n in [*BANDS, *ERRORS]))
+    return carried.select("seq", *BANDS, *ERRORS).join(filled, "seq")
 
 
 def linear_resample(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +219,7 @@ QUERIES = {
     for f in (
         class_profile, long_observations, relative_time, text_roundtrip, class_map, carry_forward, fixed_bins, adaptive_bins, band_align, gap_fill, edge_fill,
         nearest_error, linear_resample, cubic_resample, sequence_pad_pre, sequence_pad_post, sequence_reverse, object_split, split_gather, dataset_profile,
-        object_files, ingest_tally, align_last, align_augment, align_spline, feature_matrix, width_check,
+        one_long_series, object_files_io, object_files, ingest_tally, align_last, align_augment, align_spline, feature_matrix, width_check,
     )
 }
 
@@ -278,6 +299,47 @@ def _resampled() -> str:
     """
 
 
+_BAND_LIST = "['g', 'r', 'i', 'z']"
+_CELLS = ", ".join(f"CASE WHEN band = '{b}' THEN {v} END AS {n}" for b in BANDS for v, n in (("flux", b), ("flux_err", f"{b}_err")))
+
+
+def _carried(c: str) -> str:
+    return f"coalesce(last_value({c} IGNORE NULLS) OVER p, 0.0) AS {c}"
+
+
+def _cubic(times: str) -> str:
+    """CTEs that end in cubic (object_id, band, bin, t, value): not-a-knot splines of the bands at times, by one sweep down and one up."""
+    by = "PARTITION BY object_id, band"
+    return f"""
+    times AS ({times}),
+    pts AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER ({by}) AS n, lead(t) OVER w - t AS h, t - lag(t) OVER w AS hp, lead(y) OVER w AS yn, lag(y) OVER w AS yp
+        FROM (SELECT object_id, band, t, avg(flux) AS y FROM obs WHERE band IN ('g', 'r', 'i', 'z') GROUP BY ALL) WINDOW w AS ({by} ORDER BY t)),
+    rows_ AS MATERIALIZED (
+        SELECT object_id, band, i, n, hp - CASE WHEN i = n - 2 THEN h * h / hp ELSE 0 END AS low, h - CASE WHEN i = 1 THEN hp * hp / h ELSE 0 END AS up,
+               2 * (hp + h) + CASE WHEN i = 1 THEN hp * (hp + h) / h ELSE 0 END + CASE WHEN i = n - 2 THEN h * (hp + h) / hp ELSE 0 END AS mid, 6 * ((yn - y) / h - (y - yp) / hp) AS r
+        FROM pts WHERE n >= 4 AND i BETWEEN 1 AND n - 2),
+    down AS (
+        SELECT object_id, band, i, n, up, mid, r FROM rows_ WHERE i = 1
+        UNION ALL SELECT b.object_id, b.band, b.i, b.n, b.up, b.mid - b.low / a.mid * a.up, b.r - b.low / a.mid * a.r FROM down a JOIN rows_ b ON b.object_id = a.object_id AND b.band = a.band AND b.i = a.i + 1),
+    swept AS MATERIALIZED (SELECT * FROM down),
+    back AS (
+        SELECT object_id, band, i, r / mid AS m FROM swept WHERE i = n - 2
+        UNION ALL SELECT b.object_id, b.band, b.i, (b.r - b.up * a.m) / b.mid FROM back a JOIN swept b ON b.object_id = a.object_id AND b.band = a.band AND b.i = a.i - 1),
+    inner_ AS MATERIALIZED (SELECT * FROM back),
+    bent AS (
+        SELECT p.*, CASE WHEN n < 4 THEN 0.0 WHEN i = 0 THEN ((h + lead(h) OVER w) * lead(m) OVER w - h * lead(m, 2) OVER w) / lead(h) OVER w
+            WHEN i = n - 1 THEN ((lag(hp) OVER w + hp) * lag(m) OVER w - hp * lag(m, 2) OVER w) / lag(hp) OVER w ELSE m END AS m
+        FROM pts p LEFT JOIN inner_ USING (object_id, band, i) WINDOW w AS ({by} ORDER BY i)),
+    spans AS MATERIALIZED (SELECT *, lead(m) OVER ({by} ORDER BY i) AS mn FROM bent),
+    spline AS MATERIALIZED (SELECT * FROM spans WHERE i < n - 1 OR n = 1),
+    asked AS (SELECT object_id, bin, t, unnest({_BAND_LIST}) AS band FROM times),
+    used AS (
+        SELECT a.object_id, a.band, a.bin, a.t, coalesce(s.t, f.t) AS x, coalesce(s.y, f.y) AS y, coalesce(s.yn, f.yn) AS yn, coalesce(s.h, f.h) AS h, coalesce(s.m, f.m) AS m, coalesce(s.mn, f.mn) AS mn
+        FROM asked a ASOF LEFT JOIN spline s ON a.object_id = s.object_id AND a.band = s.band AND a.t >= s.t LEFT JOIN spline f ON a.object_id = f.object_id AND a.band = f.band AND f.i = 0),
+    cubic AS (
+        SELECT object_id, band, bin, t, CASE WHEN y IS NULL THEN 0.0 WHEN h IS NULL THEN y ELSE y + (t - x) * ((yn - y) / h - h * (2 * m + mn) / 6 + (t - x) * (m / 2 + (t - x) * (mn - m) / (6 * h))) END AS value FROM used)"""
+
+
 ORACLE = {
     "class_profile": f"""
         WITH {_EDGE} SELECT ([{_CLASSES}])[object_id % 8 + 1] AS class, count(*) AS n_epochs, count(DISTINCT object_id) AS n_objects, {', '.join(f'round(avg({b}), 6) AS {b}' for b in BANDS)} FROM filled GROUP BY 1""",
@@ -302,7 +364,7 @@ ORACLE = {
     "adaptive_bins": f"WITH RECURSIVE {_ADAPTIVE} SELECT object_id, seq, bin, round(frac, 6) AS frac, unresolved FROM binned",
     "align_augment": f"""
         WITH RECURSIVE {_ADAPTIVE}, aligned AS (SELECT object_id, bin, avg(t) AS t, {_WIDE} FROM binned GROUP BY object_id, bin), passed AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS pass FROM aligned)
-        SELECT pass, object_id, bin, round(t, 6) AS t, {', '.join(f'round({_filled(c, True, ["pass", "object_id"])}, 6) AS {c}' for c in [*BANDS, *ERRORS])} FROM passed {_windows('pass, object_id')}""",
+        SELECT pass, object_id, bin, round(t, 4) AS t, {', '.join(f'round({_filled(c, True, ["pass", "object_id"])}, 6) AS {c}' for c in [*BANDS, *ERRORS])} FROM passed {_windows('pass, object_id')}""",
     "band_align": f"WITH {_ALIGNED} SELECT * REPLACE (round(t, 6) AS t) FROM aligned",
     "gap_fill": f"""
         WITH {_ALIGNED}, passed AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS pass FROM aligned)
@@ -314,9 +376,23 @@ ORACLE = {
             FROM (SELECT *, unnest(['g', 'r', 'i', 'z']) AS band FROM times) a LEFT JOIN obs o ON a.object_id = o.object_id AND a.band = o.band)
         SELECT object_id, bin, band, coalesce(flux_err, 0.0) AS value FROM near WHERE k = 1""",
     "linear_resample": _resampled(),
+    "cubic_resample": f"WITH RECURSIVE {_BINNED}, {_cubic('SELECT object_id, bin, avg(t) AS t FROM binned GROUP BY object_id, bin').strip()} SELECT object_id, band, bin, round(value, 6) AS value FROM cubic",
+    "align_spline": f"""
+        WITH RECURSIVE {OBS}, whole AS (SELECT *, {bin_sql('t', '1.0::DOUBLE')} AS bin FROM obs), {_cubic('SELECT object_id, bin, avg(t) AS t FROM whole GROUP BY object_id, bin').strip()},
+        near AS (
+            SELECT a.object_id, a.bin, a.band, o.flux_err, row_number() OVER (PARTITION BY a.object_id, a.bin, a.band ORDER BY abs(o.t - a.t), o.t, o.seq) AS k
+            FROM asked a LEFT JOIN obs o ON a.object_id = o.object_id AND a.band = o.band)
+        SELECT CAST(1 AS INTEGER) AS pass, c.object_id, c.bin, round(any_value(c.t), 4) AS t, {', '.join(f"round(max(CASE WHEN c.band = '{b}' THEN value END), 6) AS {b}, round(max(CASE WHEN c.band = '{b}' THEN coalesce(flux_err, 0.0) END), 6) AS {b}_err" for b in BANDS)}
+        FROM cubic c JOIN near n ON n.object_id = c.object_id AND n.bin = c.bin AND n.band = c.band AND k = 1 GROUP BY c.object_id, c.bin""",
+    "one_long_series": f"""
+        WITH {OBS}, wide AS (SELECT event_id AS seq, event_id AS bin, 0 AS object_id, {_CELLS} FROM obs)
+        SELECT seq, {', '.join(_carried(c) for c in [*BANDS, *ERRORS])}, {', '.join(f'round({_filled(c, True, ["object_id"])}, 6) AS {c}_filled' for c in [*BANDS, *ERRORS])} FROM wide {_windows('object_id')}""",
     "object_files": f"""
         WITH named AS (SELECT user_id AS object_id, ([{_CLASSES}, 'XX'])[user_id % 9 + 1] AS name FROM events)
         SELECT object_id, {_CODE} AS class_code, count(*) AS n FROM named GROUP BY object_id, name""",
+    "object_files_io": f"""
+        WITH named AS (SELECT *, ([{_CLASSES}, 'XX'])[user_id % 9 + 1] AS name FROM events)
+        SELECT concat(user_id, '.txt') AS file, user_id AS object_id, {_CODE} AS class_code, count(*) AS n, round(sum(value), 4) AS flux FROM named GROUP BY user_id, name""",
     "ingest_tally": f"""
         WITH o AS (SELECT DISTINCT user_id, ([{_CLASSES}, 'rejected'])[user_id % 9 + 1] AS name FROM events)
         SELECT name, count(*) AS n FROM o GROUP BY name UNION ALL SELECT 'total', count(*) FROM o WHERE name <> 'rejected'""",

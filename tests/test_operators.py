@@ -153,6 +153,41 @@ def test_pairs_a_microsecond_apart_are_parted_at_once():
     assert not shared(871.001, float(next_to), f)
 
 
+def test_a_long_object_in_ranges_is_scanned_as_in_one_piece(spark):
+    from bandseries.functions.ranks import ranged
+
+    value = lambda every, at: F.when(F.col("id") % every == at, F.col("id") * 0.5)
+    base = spark.range(0, 6000, 1, 5).select("*", F.when(F.col("id") < 5000, 1).when(F.col("id") < 5990, F.col("id") % 3).alias("object_id"))  # one long, some short, one without id
+    wide = base.select("object_id", F.col("id").alias("bin"), F.lit(0.0).alias("t"), *(value(7 + 900 * k, k).alias(b) for k, b in enumerate("griz")), *(F.lit(None).cast("double").alias(f"{b}_err") for b in "griz"))
+    plain = sorted(map(str, fill.fill_gaps(wide).collect()))
+    assert sorted(map(str, fill.fill_gaps(wide, rows=100).collect())) == plain
+    obs = base.select("object_id", F.col("id").alias("seq"), F.lit(0.0).alias("t"), F.element_at(F.array(*map(F.lit, "grizu")), F.pmod(F.col("id") * F.col("id"), F.lit(5)).cast("int") + 1).alias("band"), F.col("id").cast("double").alias("flux"), F.lit(1.0).alias("flux_err"))
+    assert sorted(map(str, align.carry_forward(obs, rows=100).collect())) == sorted(map(str, align.carry_forward(obs).collect()))
+    obs = obs.withColumn("t", (F.col("seq") % 1700) / 8)
+    times = base.filter("id % 4 = 0").select("object_id", F.col("id").alias("bin"), (F.col("id") / 31).alias("t"))
+    assert sorted(map(str, align.nearest_values(obs, times, BANDS, rows=100).collect())) == sorted(map(str, align.nearest_values(obs, times, BANDS).collect()))
+    cut, pieces = ranged(wide, [F.col("object_id"), F.col("bin")], rows=100)
+    assert pieces == 60
+    assert max(r["count"] for r in cut.groupBy("_piece").count().collect()) < 400
+
+
+def test_nearest_is_the_first_of_equals(spark):
+    obs = spark.createDataFrame([(1, 0, 1.0, "g", 0.0, 5.0), (1, 1, 3.0, "g", 0.0, 7.0), (1, 2, 3.0, "g", 0.0, 8.0), (1, 3, 2.0, "r", 0.0, 1.0)], "object_id long, seq int, t double, band string, flux double, flux_err double")
+    times = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (1, 2, 2.5), (1, 3, -4.0), (2, 0, 1.0)], "object_id long, bin long, t double")
+    got = {(r["object_id"], r["bin"], r["band"]): r["value"] for r in align.nearest_values(obs, times, ["g", "r"]).collect()}
+    assert [got[1, k, "g"] for k in range(4)] == [5.0, 7.0, 7.0, 5.0]
+    assert (got[1, 0, "r"], got[2, 0, "g"], got[2, 0, "r"]) == (1.0, 0.0, 0.0)
+
+
+def test_a_label_of_equal_scores_has_a_density(spark):
+    rows = spark.createDataFrame([(0, 0.0), (0, 0.4), (0, 0.9), (1, 0.5), (1, 0.5), (2, 0.1), (2, None), (None, 0.3)], "label int, score double")
+    got = {(r["label"], r["k"]): r["density"] for r in curves.score_density(rows, 10).collect()}
+    assert len(got) == 40
+    assert got[1, 5] == pytest.approx(1 / (0.1 * (2 * np.pi) ** 0.5))
+    alone = curves.score_density(rows.filter("label = 1"), 3).collect()
+    assert {round(r["density"], 6) for r in alone} == {round(1 / (2 * np.pi) ** 0.5, 6)}
+
+
 def test_runs_follow_file_order(spark):
     obs = spark.createDataFrame([(1, k, t) for k, t in enumerate([0.1, 0.2, 1.5, 0.3])], "object_id long, seq int, t double")
     assert [r["bin"] for r in align.runs(obs).orderBy("seq").collect()] == [0, 0, 1, 2]
