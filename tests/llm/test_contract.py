@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 
 import __spark_entry__ as entry
 from compare import compare, duck
@@ -211,23 +212,30 @@ def test_op8_verdicts(spark):
     sf = "/root/testdata/sf0.01"
     pages = duck(sf).execute("SELECT page_id, url, html FROM pages ORDER BY page_id").fetchall()
     small = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counts = Counter(w for _, _, html in pages for w in re.split("[^a-z]+", re.sub("<[^>]*>", " ", html or "").translate(small)) if len(w) > 1)
-    counts = dict(sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:50_000])
+    counts = Counter(w for _, _, html in pages for w in regex.split(r"[^\p{L}]+", re.sub("(?s)<[^>]*>", " ", html or "").lower()) if len(w) > 1)
+    assert len(counts) > 1000
     total = sum(counts.values()) + 1
 
     def split(name):
-        best = [(0.0, [])]
+        """Every end by every last word, known or not."""
+        best = [(0, [])]
         for j in range(1, len(name) + 1):
             ways = []
-            for i in range(max(0, j - 24), j):
+            for i in range(j):
                 w = name[i:j]
-                cost = math.log(total / counts[w]) if w in counts else math.log(10 * total) + 2.3 * (len(w) - 1)
-                ways.append((best[i][0] + cost, i, w))
+                price = [round(1e6 * math.log(10 * total)) + round(2.3 * 1e6) * (len(w) - 1), *([round(1e6 * math.log(total / counts[w]))] if w in counts else [])]
+                ways += [(best[i][0] + c, i, w) for c in price]
             cost, i, w = min(ways)
             best.append((cost, [*best[i][1], w]))
         return best[-1][1]
 
-    words = lambda host, path: [f"{k}:{w}" for k, text in (("h", host), ("p", path.lower())) for part in re.split("[^a-z]+", text) if part for w in split(part)]
+    def words(host, path):
+        out = []
+        for k, text in (("h", host), ("p", path)):
+            for part in regex.findall(r"\p{L}+|\p{N}+", text.lower()):
+                out += [f"{k}:#{len(part)}"] if regex.match(r"\p{N}", part) else [f"{k}:{w}" for w in split(part)]
+        return out
+
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
     n, seen, rest = Counter(), {"block": Counter(), "allow": Counter()}, {}
     for p, url, _ in pages:

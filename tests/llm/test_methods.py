@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -264,30 +265,55 @@ def test_secrets_after_an_equals_sign():
     assert secrets.spans("id=550e8400-e29b-41d4-a716-446655440000 name=getHttpResponseCodeForRequest", test) == []
 
 
+def words_of(counts, host, path):
+    """Tokens of a host and path of plain letters."""
+    total = sum(counts.values()) + 1
+    return [f"{k}:{w}" for k, text in (("h", host), ("p", path)) for part in re.findall("[a-z]+", text) for w in urls.split_name(part, counts, total)]
+
+
 def test_segmentation_and_bayes(spark):
-    s = urls.Segmenter({"cheap": 50, "pills": 40, "the": 900, "rapist": 5, "therapist": 30})
-    assert s.words("cheappills.example", "/x")[:2] == ["h:cheap", "h:pills"]
-    assert s.split("therapist") == ("therapist",)
+    counts = {"cheap": 50, "pills": 40, "the": 900, "rapist": 5, "therapist": 30}
+    assert words_of(counts, "cheappills.example", "/x")[:2] == ["h:cheap", "h:pills"]
+    assert urls.split_name("therapist", counts, 1026) == ["therapist"]
     rows = [(k, f"http://{'cheappills' if k % 2 else 'goodnews'}.{'net/fr' if k % 2 else 'com'}/{k}") for k in range(40)] + [(100, "http://cheappills.org/a"), (101, "http://goodnews.org/a")]
-    out = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), {"cheap": 5, "pills": 5, "good": 5, "news": 5}).collect()}
+    words = spark.createDataFrame([(w, 5) for w in ("cheap", "pills", "good", "news")], "word string, n long")
+    out = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), words).collect()}
     assert (out[100], out[101]) == ("block", "allow")
 
 
+def test_names_are_split_by_words_of_any_number_and_length(spark):
+    long, longer = "donaudampfschifffahrtsgesellschaft", "ab" * 40
+    counts = {f"w{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}q": 60_000 - k for k in range(17_000)} | {long: 3, longer: 2, "écho": 4000, "news": 9000}
+    more = spark.range(60_000).select(F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"), F.lit(70_000).cast("long").alias("n"))
+    words = spark.createDataFrame(list(counts.items()), "word string, n long").unionByName(more)
+    names = [f"wzzz{long}", f"news{longer}news", "échonews", longer[:70], "z" * 3000 + long, "n", f"xbcdnewsxji{long}", long * 30]
+    total = sum(counts.values()) + 60_000 * 70_000 + 1
+    known = counts | {"x" + str(k).translate(str.maketrans("0123456789", "abcdefghij")): 70_000 for k in range(60_000)}
+    got = {r["name"]: r["words"] for r in urls.segmented(spark.createDataFrame([(n,) for n in names], "name string"), words).collect()}
+    assert set(got) == set(names)
+    for n in names:
+        assert "".join(got[n]) == n
+        assert got[n] == urls.split_name(n, {w: known[w] for w in known if w in n}, total)
+    assert got[f"news{longer}news"] == ["news", longer, "news"]
+    assert got[f"xbcdnewsxji{long}"] == ["xbcd", "news", "xji", long]
+    assert got["échonews"] == ["écho", "news"]
+
+
 def test_long_names_are_segmented_whole(spark):
     counts = {"good": 5, "news": 5, "cheap": 5, "pills": 5}
-    s = urls.Segmenter(counts)
-    assert s.words("news" * 60 + "pills", "") == ["h:news"] * 60 + ["h:pills"]
-    assert s.words("", "/" + "good" * 49 + "cheap" * 20) == ["p:good"] * 49 + ["p:cheap"] * 20
+    assert words_of(counts, "news" * 60 + "pills", "") == ["h:news"] * 60 + ["h:pills"]
+    assert words_of(counts, "", "/" + "good" * 49 + "cheap" * 20) == ["p:good"] * 49 + ["p:cheap"] * 20
     rows = [(k, f"http://{'cheappills' if k % 2 else 'goodnews'}.{'net/fr/' if k % 2 else 'com/'}") for k in range(40)]
     rows += [(k, f"http://x.{'net/fr/q' if k % 2 else 'com'}/{chr(97 + k % 26)}{chr(97 + k // 26)}zz") for k in range(100, 160)] + [(900, "http://" + "good" * 50 + "cheap" * 200 + ".org")]
-    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), counts).collect()}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), words).collect()}
     assert got[900]["verdict"] == "block"
 
     def tokens(k):  # what the rule names trains nothing
         host, path = got[k]["host"], got[k]["path"]
         if k != 900:
             host, path = (host.removesuffix("net"), path.removeprefix("/fr/")) if host.endswith("net") else (host.removesuffix("com"), path.removeprefix("/"))
-        return s.words(host, path)
+        return words_of(counts, host, path)
 
     ruled = {v: [t for k in got if k != 900 and got[k]["verdict"] == v for t in tokens(k)] for v in ("block", "allow")}
     size = len({*ruled["block"], *ruled["allow"]})

@@ -104,7 +104,7 @@ def test_urls_and_warc(spark):
     big = "é" * 700
     rows = [(1, "http://A.com/x", big), (2, None, big), (3, "no scheme", None), (None, "http://b.net/fr/y?z", big), (4, "", ""), (4, "", ""), (5, "HTTP://x.org", "short"), (6, "http://y.org", "short")]
     pages = spark.createDataFrame([(*r, "q", "q", "q") for r in rows], "page_id long, url string, html string, host string, path string, digest string")
-    judged = urls.judge_urls(pages, {"word": 3}).collect()
+    judged = urls.judge_urls(pages, spark.createDataFrame([("word", 3)], "word string, n long")).collect()
     assert len(judged) == len(rows)
     assert {r["host"] for r in judged if r["page_id"] in (2, 3, 4)} == {""}
     path = warc.scratch(spark, "odd")
@@ -119,4 +119,4 @@ def test_urls_and_warc(spark):
     empty = warc.scratch(spark, "none")
     warc.write_warc(pages.limit(0), empty)
     assert warc.read_warc(spark, empty).count() == 0
-    assert urls.judge_urls(pages.limit(0), {}).count() == 0
+    assert urls.judge_urls(pages.limit(0), spark.createDataFrame([], "word string, n long")).count() == 0
