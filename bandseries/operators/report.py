@@ -9,10 +9,14 @@ from ..functions.scalars import params_text
 from . import curves, metrics
 
 
-def model_metrics(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A row per key (default model): weighted precision, recall, F1, ROC and PR areas, of stacked predictions."""
+def model_metrics(predictions: DataFrame, keys: list[str] | None = None, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """A row per key (default model): weighted precision, recall, F1, ROC and PR areas, of stacked predictions.
+
+    Rows whose label or prediction is none of `classes` count in no precision, recall or F1 (metrics.left_out says how
+    many they are); the areas take label 1 against all others.
+    """
     keys = keys or ["model"]
-    counts = metrics.confusion(predictions, [0, 1], keys)
+    counts = metrics.confusion(predictions, list(classes), keys)
     totals = curves.score_totals(predictions, 1, keys)
     out = metrics.weighted_prf(counts, keys).drop("accuracy")
     return out.join(curves.roc_auc(totals, keys), keys).join(curves.pr_auc(totals, keys), keys)
