@@ -197,3 +197,16 @@ def test_a_separable_line_is_ranked_in_order(spark):
         got = [r["score"] for r in models.score(models.fit(rows, kind, maxIter=10), rows, "m").orderBy("object_id").collect()]
         assert got == sorted(got)
         assert got[0] < 0.5 < got[-1]
+
+
+def test_cuts_of_many_rows_are_exact(spark):
+    from bandseries.operators.boosting import bin_cuts
+
+    x = np.random.default_rng(5).normal(size=(60_000, 2)).round(6)
+    x[::7, 1] = 0.25
+    x[::11, 0] = np.nan
+    rows = spark.createDataFrame([(r,) for r in x.tolist()], "x array<double>")
+    got = bin_cuts(rows, 2, 8)
+    for f in (0, 1):
+        v = np.sort(x[~np.isnan(x[:, f]), f])
+        assert got[f] == sorted({float(v[-(-len(v) * k // 8) - 1]) for k in range(1, 8)})
