@@ -451,3 +451,21 @@ def test_rows_of_other_classes_are_counted_apart(spark):
     rows = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (None, 1), (1, None), (1, 1)], "label int, pred int")
     assert metrics.left_out(rows, [0, 1]) == 3
     assert sum(r["n"] for r in metrics.confusion(rows, [0, 1]).collect()) == 3
+
+
+def test_rows_without_clusters_are_sent_once_for_each_block(spark, monkeypatch):
+    from bandseries.operators import balance
+
+    monkeypatch.setattr(balance, "BLOCKS", 4)
+    x = np.random.default_rng(6).normal(size=(600, 16)) + 1e5
+    x[300:340] = x[:40]
+    df = spark.createDataFrame([(k, 1, v) for k, v in enumerate(x.tolist())], "id long, label int, v array<double>")
+    _, sides = balance._neighbours(df, "id", "label", "v", 3, 16, 1 << 20)
+    assert sides[1][0].count() + sides[1][1].count() <= 2 * 600 * (4 + 1)
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in balance.class_neighbours(df, "id", "label", "v", 3, exact_rows=16).collect()}
+    for k in range(0, 600, 13):
+        square = np.zeros(600)
+        for d in range(16):
+            square += (x[k, d] - x[:, d]) ** 2
+        square[k] = np.inf
+        assert [got[k, i] for i in (1, 2, 3)] == np.argsort(square, kind="stable")[:3].tolist()
