@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Observations whose splines are solved in one call, about.
+PIECE = 8192
+
 
 def points(obs: DataFrame, bands: list[str]) -> DataFrame:
     """(object_id, band, t, y): observations of the bands, those of one time averaged."""
@@ -77,15 +80,28 @@ def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def cubic_resample(obs: DataFrame, times: DataFrame, bands: list[str], clamp: bool = False) -> DataFrame:
-    """As linear_resample, by a not-a-knot cubic for bands of four points or more; `clamp` keeps the end values beyond the ends."""
+    """As linear_resample, by a not-a-knot cubic for bands of four points or more; `clamp` keeps the end values beyond the ends.
+
+    Objects and bands are dealt by a hash into pieces of about PIECE observations; one of them is not parted.
+    """
     p = points(obs, bands).select("object_id", "band", "t", "y", F.lit(None).cast("long").alias("bin"))
     asked = times.select("object_id", F.explode(F.array(*map(F.lit, bands))).alias("band"), "t", F.lit(None).cast("double").alias("y"), "bin")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        known, q = f[f["bin"].isna()].sort_values("t"), f[f["bin"].notna()]
-        x = known["t"].to_numpy()
-        at = np.clip(q["t"], x[0], x[-1]) if clamp and len(x) else q["t"]
-        value = not_a_knot(x, known["y"].to_numpy(), np.asarray(at, float))
-        return pd.DataFrame({"object_id": q["object_id"], "band": q["band"], "bin": q["bin"].astype("int64"), "t": q["t"], "value": value})
-
-    return p.unionByName(asked).groupBy("object_id", "band").applyInPandas(solve, "object_id long, band string, bin long, t double, value double")
+        series = f.groupby(["object_id", "band"], sort=False, dropna=False).ngroup().to_numpy()
+        asks, t, y = f["bin"].notna().to_numpy(), f["t"].to_numpy(float), f["y"].to_numpy(float)
+        order = np.lexsort((t, asks, series))
+        series, asks, t, y = series[order], asks[order], t[order], y[order]
+        begin = np.flatnonzero(np.append(True, series[1:] != series[:-1])) if len(f) else np.zeros(0, int)
+        known, value = np.add.reduceat(~asks, begin, dtype=int) if len(f) else begin, np.zeros(len(f))
+        for lo, hi, mid in zip(begin.tolist(), [*begin[1:].tolist(), len(f)], (begin + known).tolist(), strict=True):
+            if mid < hi:
+                x, at = t[lo:mid], t[mid:hi]
+                value[mid:hi] = not_a_knot(x, y[lo:mid], np.clip(at, x[0], x[-1]) if clamp and len(x) else at)
+        q = f.iloc[order[asks]]
+        return pd.DataFrame({"object_id": q["object_id"], "band": q["band"], "bin": q["bin"].astype("int64"), "t": q["t"], "value": value[asks]})
+
+    # Many objects to a call: a call of its own for each costs more than its spline.
+    pieces = max(1, -(-obs.count() // PIECE))
+    both = p.unionByName(asked).withColumn("_piece", F.pmod(F.xxhash64("object_id", "band"), F.lit(pieces)))
+    return both.groupBy("_piece").applyInPandas(solve, "object_id long, band string, bin long, t double, value double")

@@ -469,3 +469,23 @@ def test_rows_without_clusters_are_sent_once_for_each_block(spark, monkeypatch):
             square += (x[k, d] - x[:, d]) ** 2
         square[k] = np.inf
         assert [got[k, i] for i in (1, 2, 3)] == np.argsort(square, kind="stable")[:3].tolist()
+
+
+def test_learnt_does_not_depend_on_how_many_rows_there_are(spark):
+    r = np.random.default_rng(7)
+    rows = [(m, k, int(k % 8 == 0), float(round(r.normal(0.2 if m == "weak" and k % 8 == 0 else 0.0), 3))) for m in ("weak", "random") for k in range(16_000)]
+    df = spark.createDataFrame(rows, "model string, id long, label int, score double")
+    got = {x["model"]: x for x in curves.learnt(curves.score_totals(df, 1, ["model"]), ["model"]).collect()}
+    assert got["weak"]["roc_auc"] < 0.6 and got["weak"]["learnt"]
+    assert not got["random"]["learnt"]
+
+
+def test_bootstrap_draws_rows_not_cells(spark, sf, tmp_path):
+    from bandseries.plans import learning
+
+    for name in ("labels", "documents"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        rows.withColumn("doc_id", F.col("doc_id") + 1_000_000).write.parquet(f"{tmp_path}/{name}.parquet")
+    one, two = ({r["metric"]: r for r in learning.bootstrap_ci(spark, d).collect()} for d in (sf, str(tmp_path)))
+    assert all(one[m]["point"] == two[m]["point"] for m in one)
+    assert any(one[m]["mean"] != two[m]["mean"] for m in one)
