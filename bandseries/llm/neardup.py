@@ -19,8 +19,9 @@ COORDINATES = 96
 SIMILARITY = 0.8
 #: Bytes of text, and cells of the dart board, that a worker has in memory at a time.
 TEXT_BYTES, CELLS = 1 << 19, 1 << 18
-#: Most rounds of pivots in split buckets.
+#: Most rounds of pivots in split buckets, before all pairs that are left are compared, and about how many of these at a time.
 ROUNDS = 4
+PAIRS = 200_000
 
 # Poisson(1): the chance of at most k darts in a region of area 1, as 64-bit thresholds.
 _P = np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 12.0))))
@@ -195,6 +196,52 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "text", "theirs").mapInArrow(_alike(similarity), "a long, b long")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """labels (node, salt, label) after links (a, b), and whether there were any."""
+    if not links.limit(1).count():
+        return labels, False
+    ends = links
+    for end in ("a", "b"):
+        ends = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")).join(small(ends), end)
+    merged = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).filter("a <> b"))
+    moved = met(labels, "label", merged.select(F.col("node").alias("label"), F.col("label").alias("root")), how="left")
+    return stored(moved.select("node", "salt", F.coalesce("root", "label").alias("label")), "labelled"), True
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets that hold several labels, with these, and these buckets (bucket, salts)."""
+    now = members.drop("label").join(labels.select("node", "label"), "node")
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), salts_seen().alias("salts")).filter("lo <> hi")
+    return now.join(mixed.select("bucket", each_salt().alias("salt")), ["bucket", "salt"]), mixed.select("bucket", "salts")
+
+
+def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """labels after all pairs that share a bucket, have different labels and weren't compared yet are compared.
+
+    About PAIRS of them at a time: what these link takes most of the others away, as their labels are one then.
+    """
+    apart, mixed = _apart(members, labels)
+    apart = stored(apart.select("bucket", "salt", "node", "label", "n"), "apart")
+    theirs = apart.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    theirs = theirs.join(mixed, "bucket").withColumn("salt", each_salt()).drop("salts")
+    sizes = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9
+    pairs = apart.withColumnRenamed("node", "a").join(theirs, ["bucket", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & sizes)
+    pairs = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+    turn = 0
+    while n := pairs.count():
+        parts, turn = -(-n // PAIRS), turn + 1
+        part = F.pmod(F.xxhash64(F.lit(turn), "a", "b"), F.lit(parts))
+        some = pairs.filter(part == 0).withColumn("pivot", F.col("b"))
+        labels, linked = _merged(labels, stored(_linked(stored(some, "pairs"), texts, similarity), "links"))
+        pairs = pairs.filter(part != 0)
+        if linked and parts > 1:
+            for end in ("a", "b"):
+                pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+            pairs = pairs.filter("label_a <> label_b").select("a", "b")
+        pairs = stored(pairs, "rest")
+    return labels
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and first of each row of docs (doc_id, text; other columns are not read).
 
@@ -211,7 +258,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     What is linked becomes one label; pivots meet other labels only.  In the first round pivots are the members that share most
     buckets (the original that copies were made from).  Buckets that still hold several labels are then split by every
     second such bucket that their members share, one for each member and bucket, drawn by a fresh hash each round like the pivots, until a round links nothing,
-    ROUNDS times at most: few links are left by then (the README has the recall).
+    ROUNDS times at most.  The pairs of different labels that still share a bucket and have not met are then all compared (`_rest`), so
+    no pair that shares a band is left out.
     """
     return _judged(docs, similarity).drop("key")
 
@@ -248,24 +296,15 @@ def _judged(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        links = stored(_linked(pairs, texts, similarity), "links")
-        linked = links.limit(1).count()
-        if linked:
-            ends = links
-            for end in ("a", "b"):
-                ends = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")).join(small(ends), end)
-            merged = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).filter("a <> b"))
-            moved = met(labels, "label", merged.select(F.col("node").alias("label"), F.col("label").alias("root")), how="left")
-            labels = stored(moved.select("node", "salt", F.coalesce("root", "label").alias("label")), "labelled")
+        labels, linked = _merged(labels, stored(_linked(pairs, texts, similarity), "links"))
         if turn == ROUNDS or turn and not linked:
             break
         # Buckets with several labels: what can still be linked meets in some of them.
-        now = members.drop("label").join(labels.select("node", "label"), "node")
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), salts_seen().alias("salts")).filter("lo <> hi")
-        apart = now.join(mixed.select("bucket", each_salt().alias("salt")), ["bucket", "salt"])
+        apart, _ = _apart(members, labels)
         active = apart.groupBy("node", "label", "hash", "n", "salt").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))  # one for each band at most
         pairs = _against_pivots(_split(stored(active, "active"), turn), F.xxhash64(F.lit(turn), "bucket", "hash"), similarity)
 
+    labels = _rest(members, labels, tested, texts, similarity)
     named = nodes.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("rows")).filter("rows > 1")
     grouped = looked_up(named.select("key", "label", "row_salts", "salt"), "label", classes.drop("rows"))

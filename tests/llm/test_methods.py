@@ -409,3 +409,21 @@ def test_texts_compared_in_pairs_equal_counted_shingles():
         ids = list(range(len(pairs)))
         batch = pa.RecordBatch.from_pydict({"a": ids, "b": ids, "text": [x for x, _ in pairs], "theirs": [y for _, y in pairs]})
         assert [k for out in neardup._alike(similarity)([batch]) for k in out["a"].to_pylist()] == want
+
+
+def test_pairs_that_pivots_do_not_meet_are_compared(spark, monkeypatch):
+    """Without any round after the first, a chain whose pivots miss some links still becomes one class, a few pairs at a time."""
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "PAIRS", 40)
+    # Each text is its neighbour moved on by 8 of 200 words, so links reach two texts far and a bucket may hold several.
+    rows = [(100 * g + k, " ".join(f"g{g}w{8 * k + j}" for j in range(200))) for g in range(3) for k in range(24)]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {d: new if r == old else r for d, r in root.items()}
+    assert got == root
+    assert len(set(root.values())) < len(root)
