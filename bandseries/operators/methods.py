@@ -13,7 +13,7 @@ METHODS = ("augment", "spline", "last")
 
 def augment(obs: DataFrame, bands: list[str], n_passes: int, seed: int) -> DataFrame:
     """Adaptive bins, one value per band, gaps filled at random in each pass."""
-    return fill.fill_gaps(fill.passes(align.align_bands(align.adaptive_bins(obs, bands), bands), n_passes), bands, seed)
+    return fill.fill_gaps(align.align_bands(align.adaptive_bins(obs, bands), bands), bands, seed, n_passes=n_passes)
 
 
 def spline(obs: DataFrame, bands: list[str]) -> DataFrame:

@@ -121,7 +121,7 @@ def band_align(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    out = fill.fill_gaps(fill.passes(aligned(spark, d), 5))
+    out = fill.fill_gaps(aligned(spark, d), n_passes=5)
     return rounded(out.select("pass", "object_id", "bin", *BANDS, *ERRORS), *BANDS, *ERRORS)
 
 

@@ -489,3 +489,15 @@ def test_bootstrap_draws_rows_not_cells(spark, sf, tmp_path):
     one, two = ({r["metric"]: r for r in learning.bootstrap_ci(spark, d).collect()} for d in (sf, str(tmp_path)))
     assert all(one[m]["point"] == two[m]["point"] for m in one)
     assert any(one[m]["mean"] != two[m]["mean"] for m in one)
+
+
+def test_passes_are_made_after_neighbours_are_found(spark, sf):
+    from bandseries.plans import series
+
+    once = series.aligned(spark, sf).cache()
+    assert rows(fill.fill_gaps(once, n_passes=3), "pass", "object_id", "bin", *BANDS) == rows(fill.fill_gaps(fill.passes(once, 3)), "pass", "object_id", "bin", *BANDS)
+    once.unpersist()
+    for query in (series.gap_fill, series.align_augment):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        repeated = next(k for k, line in enumerate(plan) if "Generate explode" in line and "[pass#" in line)
+        assert not any("Window" in line for line in plan[:repeated])  # no window has more rows than the aligned epochs
