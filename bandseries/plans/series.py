@@ -57,7 +57,7 @@ def object_files(spark: SparkSession, d: str) -> DataFrame:
     """A text file for each object, scanned and parsed: its class and number of observations."""
     path = scratch(spark, "objects")
     light_curves.write_objects(rendered(spark, d), path)
-    objects = light_curves.read_objects(spark, f"{path}/*/*.txt")
+    objects = light_curves.read_folder(spark, path)
     counts = light_curves.parse_observations(objects).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     return light_curves.parse_headers(objects).join(counts, "file").select("object_id", "class_code", "n")
 

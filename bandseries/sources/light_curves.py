@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import CLASS_CODES
+from . import object_files
+from .tables import stored
 
 #: Header keys and the columns they fill.
 HEADERS = {
@@ -25,7 +27,7 @@ HEADERS = {
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of each file under a path or glob; small files share tasks."""
+    """(file, text) of each file under a path or glob, by Spark's own listing, which suits thousands of files; see also read_folder."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
@@ -62,9 +64,19 @@ def tally(headers: DataFrame) -> DataFrame:
     return headers.select(each.alias("name")).filter("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of each file under a folder, by the `object_files` source: files are listed once, and dealt by their bytes.
+
+    Texts are written once, many to a file, as every parser reads them again.
+    """
+    object_files.register(spark)
+    return stored(spark.read.format("object_files").schema("file string, text string").load(path), "texts")
+
+
 def write_objects(objects: DataFrame, path: str) -> None:
-    """A folder with one text file for each of objects (file, text)."""
-    objects.repartition("file").write.partitionBy("file").text(path)
+    """A folder with one text file, `<file>.txt`, for each of objects (file, text)."""
+    object_files.register(objects.sparkSession)
+    objects.select(F.concat("file", F.lit(".txt")).alias("file"), "text").write.format("object_files").mode("append").save(path)
 
 
 def render(headers: DataFrame, observations: DataFrame) -> DataFrame:
