@@ -501,3 +501,20 @@ def test_passes_are_made_after_neighbours_are_found(spark, sf):
         plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
         repeated = next(k for k, line in enumerate(plan) if "Generate explode" in line and "[pass#" in line)
         assert not any("Window" in line for line in plan[:repeated])  # no window has more rows than the aligned epochs
+
+
+def test_a_forest_has_no_more_partitions_than_cores(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from bandseries.operators import models
+
+    class Seen(RandomForestClassifier):
+        def _fit(self, dataset):
+            Seen.partitions = dataset.rdd.getNumPartitions()
+            return super()._fit(dataset)
+
+    plain = spark.range(400).select("id", F.array(F.col("id") % 7, F.col("id") % 3).alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    train = models.with_vector(plain, "x").repartition(100)
+    models.BalancedClassifier(Seen(featuresCol="scaled", labelCol="label", numTrees=2, seed=1), balance=False).fit(train)
+    assert Seen.partitions <= spark.sparkContext.defaultParallelism
+    assert models.classifier("forest").getCacheNodeIds() and not models.classifier("forest", cacheNodeIds=False).getCacheNodeIds()
