@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain, islice
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,34 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
+#: Kinds of bytes: those of a-z and of letters with accents in U+00C0 to U+00FF, digits, ASCII marks; 0 for all others.
+LETTER, DIGIT, MARK = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[33:127] = MARK
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[48:58] = DIGIT
+#: How many pieces one call of the tokenizer takes as a string.
+RUN = 256
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of whole characters."""
+    out = KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    if len(lead):
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        out[lead], out[lead + 1] = LETTER, LETTER
+    return out
+
+
+def changes(data: np.ndarray) -> np.ndarray:
+    """Whether a byte is of another kind than the one before: the tokenizer always cuts there, save after an apostrophe (`'s`)."""
+    kind = kinds(data)
+    out = np.zeros(len(data), bool)
+    out[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & ~((data[:-1] == 39) & (kind[1:] == LETTER))
+    return out
+
+
 class Encoder:
     """Ids of whole texts, by the tokenizers library; the ids of chunks seen before are looked up.
 
@@ -36,22 +64,24 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Regex, Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Split
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.whole = Tokenizer.from_file(path)
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.pieces = ByteLevel(add_prefix_space=False, use_regex=True)
         self.model = self.whole.model
-        # Chunks that are cut into pieces as plainly as this: a space or line end, a word or number, marks.
-        self.plain = re.compile(r"([ \n]?)((?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+)?)([!-/:-@\[-`{-~]*)").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.bytes = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-        # The model alone, over pieces in the library's letters for bytes; bytes 0 and 1 stand after chunks and pieces.
+        self.bytes = np.zeros(256, "<u2")  # the library's letters for bytes
+        self.bytes[shown], self.bytes[hidden] = shown, 256 + np.arange(len(hidden))
+        # The model alone, over pieces in these letters; a blank, which is none of them, stands after each piece.
         self.words = Tokenizer(self.model)
-        self.words.pre_tokenizer = Split(Regex(f"[{chr(self.bytes[0])}{chr(self.bytes[1])}]"), "isolated")
-        self.ends = [self.whole.token_to_id(chr(self.bytes[k])) for k in (0, 1)]
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(1 + max(vocabulary.values()), np.int64)  # how many bytes an id stands for
+        self.size[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.all_bytes = all(chr(x) in vocabulary for x in self.bytes.tolist())
         self.held = held
         self.clear()
 
@@ -77,35 +107,39 @@ class Encoder:
         self.n = n
         return first
 
-    def learn(self, chunks: list[str]) -> np.ndarray:
-        """Encodes chunks and keeps their ids; their numbers."""
-        numbers = np.zeros(len(chunks), np.int32)
-        plain, shown, other = [], [], []
-        for k, chunk in enumerate(chunks):
-            m = self.plain(chunk)
-            if not m:
-                other.append(k)
-                continue
-            line, word, marks = m.groups()
-            plain.append(k)
-            if line == "\n":
-                shown += [line, "\1", word, "\1", marks, "\0"]
-            elif word:
-                shown += [line, word, "\1", marks, "\0"]
-            else:
-                shown += [line, marks, "\0"]
-        if plain:
-            joined = "".join(shown).encode().decode("latin-1").translate(self.bytes)
-            some = [m.end() for m in islice(re.finditer(chr(self.bytes[0]), joined), 31, None, 32)]
-            runs = [joined[a:z] for a, z in zip([0, *some], [*some, len(joined)], strict=True)]
-            got = self.words.encode_batch_fast([r for r in runs if r], add_special_tokens=False)
-            ids = np.fromiter(chain.from_iterable(g.ids for g in got), np.uint32)
-            ids = ids[ids != self.ends[1]]
-            ends = np.flatnonzero(ids == self.ends[0])
-            first = self._store(ids[ids != self.ends[0]], np.diff(ends, prepend=-1) - 1)
-            numbers[plain] = np.arange(first, first + len(plain))
-        if other:
-            each = [[t.id for p, _ in self.pieces.pre_tokenize_str(chunks[k]) for t in self.model.tokenize(p)] for k in other]
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encodes the chunks data[start:end] and keeps their ids; their numbers.
+
+        Plain chunks are one piece, or a line end and a piece: after a space or line end, bytes of one kind.
+        """
+        n = end - start
+        numbers = np.zeros(len(n), np.int32)
+        flat = gather(data, start, n, np.arange(len(n)))
+        begin = np.cumsum(n) - n
+        kind = kinds(flat)
+        head = flat[begin]
+        led = (head == 32) | (head == 10)
+        kind[begin[led & (n == 1)]] = MARK
+        two = begin[led & (n > 1)]
+        kind[two] = kind[two + 1]
+        least = np.minimum.reduceat(kind, begin)
+        plain = (least > 0) & (least == np.maximum.reduceat(kind, begin)) & self.all_bytes
+        if plain.any():
+            own = n[plain]
+            ends = np.cumsum(own)
+            letters = self.bytes[flat[np.repeat(plain, n)]]
+            line = (ends - own)[(head[plain] == 10) & (own > 1)] + 1
+            after = np.sort(np.concatenate((ends, line)))
+            joined = np.insert(letters, after, 32)
+            cut = np.append((after + np.arange(1, len(after) + 1))[RUN - 1 :: RUN], len(joined))
+            runs = [joined[a:z].tobytes().decode("utf-16-le") for a, z in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True) if z > a]
+            got = self.words.encode_batch_fast(runs, add_special_tokens=False)
+            ids = np.concatenate([np.asarray(g.ids, np.uint32) for g in got])
+            first = self._store(ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1, prepend=0))
+            numbers[plain] = np.arange(first, first + len(own))
+        other = np.flatnonzero(~plain)
+        if len(other):
+            each = [[t.id for p, _ in self.pieces.pre_tokenize_str(c) for t in self.model.tokenize(p)] for c in self._texts(data, start[other], end[other])]
             first = self._store(np.asarray([i for ids in each for i in ids], np.uint32), np.asarray([len(ids) for ids in each]))
             numbers[other] = np.arange(first, first + len(other))
         return numbers
@@ -130,7 +164,7 @@ class Encoder:
         right &= ~unlike[which]
         if fresh.any():
             new = at[fresh]
-            number = self.learn(self._texts(data, start[new], end[new]))
+            number = self.learn(data, start[new], end[new])
             size = length[new]
             self._keep_bytes(gather(data, start, length, new))
             begin = self.raw_used + np.cumsum(size) - size
@@ -140,7 +174,7 @@ class Encoder:
             place = np.searchsorted(self.known, each)
         out = self.number[place][which]
         if not right.all():
-            out[~right] = self.learn(self._texts(data, start[~right], end[~right]))
+            out[~right] = self.learn(data, start[~right], end[~right])
         return out
 
     def _texts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
@@ -168,13 +202,14 @@ class Encoder:
             raw = block.data.tobytes()
             texts = [raw[a:z].decode() for a, z in zip(at, at[1:])]
             whole = {k for k, t in enumerate(texts) if any(x in t for x in self.special)}
-            cut = (block.data == 32) | (block.data == 10)
+            inner = changes(block.data)
+            cut = (block.data == 32) | (block.data == 10) | inner
             cut[block.at[:-1][np.diff(block.at) > 0]] = True
             for k, text in enumerate(texts):
                 if k in whole:  # encoded by itself: one chunk here, which isn't used
                     cut[at[k] + 1 : at[k + 1]] = False
                 elif (starts := self._cuts(text)) is not None:
-                    cut[at[k] : at[k + 1]] = False
+                    cut[at[k] : at[k + 1]] = inner[at[k] : at[k + 1]]
                     cut[at[k] + np.asarray(starts, np.int64)] = True
             if whole:
                 data = block.data.copy()
@@ -203,6 +238,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+#: Places of a sequence that are looked at together: temporary arrays have this length.
+PART = 1 << 18
+
+
 def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int = 4096, first: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): each round replaces the most frequent pairs of neighbours by new nonterminals.
 
@@ -221,25 +260,31 @@ def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int =
             break
         ends = np.flatnonzero(seq == END)
         left, right = np.uint32(0x9E3779B1 + 2 * turn * 0x632BE59B & 0xFFFFFFFF), np.uint32(0x85EBCA77 + 2 * turn * 0x27D4EB2F & 0xFFFFFFFF)
-        slot = seq[:-1] * left
-        slot ^= slot >> np.uint32(15)
-        slot += seq[1:] * right
-        slot *= np.uint32(0xC2B2AE3D)
-        slot = (slot >> np.uint32(12)).astype(np.int64)
+        slot = np.empty(len(seq) - 1, np.int32)
+        parts = [slice(lo, lo + PART) for lo in range(0, len(slot), PART)]
+        for part in parts:
+            x = seq[:-1][part] * left
+            x ^= x >> np.uint32(15)
+            x += seq[1:][part] * right
+            x *= np.uint32(0xC2B2AE3D)
+            slot[part] = x >> np.uint32(12)
         rough = np.bincount(slot, minlength=1 << 20)
         often = rough[rough >= least]
         cut = int(np.partition(often, -per_round)[-per_round]) if len(often) > per_round else least
-        some = np.flatnonzero((rough >= cut)[slot])
         dead = np.zeros(len(seq) + 1, bool)
         dead[ends], dead[ends - 1] = True, True  # entry -1 stands for the place before the first
-        some = some[~dead[some]]
-        if not len(some):
+        wanted, held, found = rough >= cut, np.zeros(1 << 20, np.uint64), []
+        for part in parts:
+            at = np.flatnonzero(wanted[slot[part]] & ~dead[:-2][part]) + part.start
+            pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+            held[slot[at]] = pair
+            found.append((at.astype(np.int32), slot[at], pair))
+        if not any(len(at) for at, _, _ in found):
             break
-        mine, wants = slot[some], (seq[some].astype(np.uint64) << np.uint64(32)) | seq[some + 1]
-        held = np.zeros(1 << 20, np.uint64)
-        held[mine] = wants
-        same = held[mine] == wants
-        some, mine = some[same], mine[same]
+        same = [held[own] == pair for _, own, pair in found]
+        some = np.concatenate([at[x] for x, (at, _, _) in zip(same, found, strict=True)])
+        mine = np.concatenate([own[x] for x, (_, own, _) in zip(same, found, strict=True)])
+        del slot, rough, wanted, dead, found, same, pair, at
         count = np.bincount(mine, minlength=1 << 20)
         top = np.flatnonzero(count >= least)
         top = top[np.argsort(-count[top], kind="stable")[:per_round]]
@@ -250,13 +295,15 @@ def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int =
         rank[top] = np.arange(none)
         order = np.full(len(seq) + 1, none, np.int32)  # order[i + 1]: rank of the pair at i; nothing at both ends
         order[some + 1] = rank[mine]
+        del some, mine
         here = order[1:-1]
         at = np.flatnonzero(here < none)
         run = np.ones(len(at), bool)  # starts of runs of one pair, which are runs of one symbol
         run[1:] = (at[1:] != at[:-1] + 1) | (here[at[1:]] != here[at[:-1]])
-        begin = np.flatnonzero(run)
-        odd = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 1
-        here[at[odd]] = none
+        begin = np.flatnonzero(run).astype(np.int32)
+        place = np.arange(len(at), dtype=np.int32)
+        place -= np.repeat(begin, np.diff(np.append(begin, len(at))))
+        here[at[place & 1 == 1]] = none
         mid = order[at + 1]
         take = at[(mid < none) & (mid < order[at]) & (mid < order[at + 2])]
         if not len(take):
@@ -265,6 +312,7 @@ def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int =
         seq[take] = (symbols + which).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
+        del order, here, mid, at, run, place
         seq = seq[keep]
         chosen = held[top[used]]
         rules.append(np.stack(((chosen >> np.uint64(32)), chosen & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))

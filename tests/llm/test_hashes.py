@@ -91,3 +91,41 @@ def test_alike():
     a, b = np.frombuffer(b"one two one", np.uint8), np.frombuffer(b"two one onx", np.uint8)
     s = np.array
     assert textnum.alike((a, s([0, 4, 8, 0, 0]), s([3, 3, 3, 0, 2])), (b, s([4, 0, 8, 3, 4]), s([3, 3, 3, 0, 3]))).tolist() == [True, True, False, True, False]
+
+
+def test_words_are_learnt_once_whatever_marks_follow():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), tokens.Encoder(path)
+    marks = ["", ".", ",", "###", "***", "&&&", ".%%%", ",$$$"]
+    text = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}{m}" for k in range(100) for m in marks)
+    assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert coder.n < 120  # a hundred words and the marks; by words with their marks these were 800
+
+
+def test_chunks_cut_between_kinds_have_the_ids_of_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), tokens.Encoder(path)
+    parts = ["a", "the", "Été", "ß", "÷", "×", "é", "7", "2024", "'", "'s", "'ll", "'", ".", "!!", "€", "Жз", "ª", "²", "é", " ", " ", "\n", "  ", "\t", " ", "\x00", "\x01", "\r\n", "\U0001f600", "中"]
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 12)))
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_grammar_takes_a_bounded_number_of_bytes_an_id():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 1 << 20), 40_000).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        seq, rules = tokens.re_pair(ids)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (tokens.decode(seq, rules, tokens.expansions(rules)) == ids).all()
+    assert peak < 76 * len(ids)
