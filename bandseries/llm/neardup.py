@@ -22,6 +22,10 @@ TEXT_BYTES, CELLS = 1 << 19, 1 << 18
 #: Most rounds of pivots in split buckets, before all pairs that are left are compared, and about how many of these at a time.
 ROUNDS = 4
 PAIRS = 200_000
+#: Buckets of more members than this have their pairs narrowed by what members share with other labels at all.
+FEW = 8
+#: Longs in a text's sketch of parities.
+SKETCH = 16
 
 # Poisson(1): the chance of at most k darts in a region of area 1, as 64-bit thresholds.
 _P = np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 12.0))))
@@ -209,22 +213,60 @@ def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of buckets that hold several labels, with these, and these buckets (bucket, salts)."""
+    """The members of buckets that hold several labels, with these and how many they are, and these buckets (bucket, salts)."""
     now = members.drop("label").join(labels.select("node", "label"), "node")
-    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), salts_seen().alias("salts")).filter("lo <> hi")
-    return now.join(mixed.select("bucket", each_salt().alias("salt")), ["bucket", "salt"]), mixed.select("bucket", "salts")
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), salts_seen().alias("salts"), F.count(F.lit(1)).alias("held")).filter("lo <> hi")
+    return now.join(mixed.select("bucket", "held", each_salt().alias("salt")), ["bucket", "salt"]), mixed.select("bucket", "salts")
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label, salt) with 32 bits of each distinct shingle of the text, how often it occurs, and the parities of all weights by 64 * SKETCH bins."""
+    for b in batches:
+        for block in blocks(b["text"], TEXT_BYTES):
+            element, weight, begin = weighted(*_hashed(block))
+            part, at = b.slice(block.first, block.last - block.first), pa.array(begin.astype(np.int32))
+            owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            odd = np.bincount(owner * (64 * SKETCH) + (element >> U(32)).astype(np.int64) % (64 * SKETCH), weight, len(part) * 64 * SKETCH).astype(np.int64) & 1
+            sketch = pa.array(np.packbits(odd.astype(bool)).view(np.int64))
+            lists = {"slots": element.astype(np.uint32).view(np.int32), "times": weight.astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({c: part[c] for c in ("node", "label", "salt")} | {c: pa.ListArray.from_arrays(at, pa.array(x)) for c, x in lists.items()} | {"sketch": pa.ListArray.from_arrays(pa.array(np.arange(0, len(sketch) + 1, SKETCH, dtype=np.int32)), sketch)})
+    trim()
+
+
+def _reach(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, reach, sketch) of the members of buckets with more than FEW: the weight of the shingles that such members of other labels have as well, and parities.
+
+    No text of another label there shares more with the node's than that.  Shingles that only seem to be equal, by their 32 bits, make it larger.
+    """
+    crowd = stored(apart.filter(F.col("held") > FEW).select("node", "label", salt("node").alias("salt")).distinct(), "crowd")
+    slots = stored(small(crowd).join(texts, "node").select("node", "label", "salt", "text").mapInArrow(_slots, "node long, label long, salt int, slots array<int>, times array<int>, sketch array<long>"), "slots")
+    each = slots.select("node", "label", "salt", F.explode(F.arrays_zip("slots", "times")).alias("x")).select("node", "label", "salt", F.col("x.slots").alias("slot"), F.col("x.times").alias("times"))
+    met_by = each.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), salts_seen().alias("salts")).filter("lo <> hi")
+    common = each.select("node", "salt", "slot", "times").join(met_by.select("slot", each_salt().alias("salt")), ["slot", "salt"])
+    return slots.select("node", "sketch").join(common.groupBy("node").agg(F.sum("times").alias("reach")), "node", "left").select("node", F.coalesce("reach", F.lit(0)).alias("reach"), "sketch")
 
 
 def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """labels after all pairs that share a bucket, have different labels and weren't compared yet are compared.
 
-    About PAIRS of them at a time: what these link takes most of the others away, as their labels are one then.
+    Pairs in crowded buckets are left out where the texts' shingles alone rule the similarity out: two of weights n and m
+    must share similarity / (1 + similarity) of n + m, and a text can share no more than its `_reach`; they may differ in (1 - similarity) / (1 + similarity)
+    of n + m, and differ in no less than the bins whose parities differ.  About PAIRS of the others at a time: what these link takes most
+    of the others away, as their labels are one then.
     """
     apart, mixed = _apart(members, labels)
-    apart = stored(apart.select("bucket", "salt", "node", "label", "n"), "apart")
-    theirs = apart.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    apart = stored(apart.select("bucket", "salt", "node", "label", "n", "held"), "apart")
+    apart = apart.join(small(stored(_reach(apart, texts), "reach"), 50_000), "node", "left")
+    # With itself as the best partner that there may be: else it has none in this bucket.
+    apart = stored(apart.filter((F.col("held") <= FEW) | (F.col("reach") >= similarity * F.col("n") - 1e-9)).drop("held"), "apart")
+    theirs = apart.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), F.col("sketch").alias("sketch_b"))
     theirs = theirs.join(mixed, "bucket").withColumn("salt", each_salt()).drop("salts")
     sizes = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9
+    enough = similarity / (1 + similarity) * (F.col("n") + F.col("n_b")) - 1e-9
+    unknown = F.col("reach").isNull() | F.col("reach_b").isNull()
+    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH)), F.lit(0))
+    alike = (F.least("reach", "reach_b") >= enough) & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n_b")) + 1e-9)
+    sizes = sizes & (unknown | alike)
     pairs = apart.withColumnRenamed("node", "a").join(theirs, ["bucket", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & sizes)
     pairs = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     turn = 0

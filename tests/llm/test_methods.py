@@ -427,3 +427,27 @@ def test_pairs_that_pivots_do_not_meet_are_compared(spark, monkeypatch):
                 root = {d: new if r == old else r for d, r in root.items()}
     assert got == root
     assert len(set(root.values())) < len(root)
+
+
+def test_pairs_that_their_shingles_rule_out_are_not_compared(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for k in r.sample(range(120), 4):
+            own[k] = word()
+        texts += [" ".join(own), " ".join([*own[:-1], word()])]  # a copy that is alike, and others that aren't but share buckets
+    compared, stored = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: (x := stored(df, name), name == "rest" and compared.append(x.count()))[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    classes = {x.doc_id: x.class_id for x in neardup.near_duplicates(docs).collect()}
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert classes == dict(enumerate(root)) and len(set(root)) > 30
+    assert compared[0] < len(texts)  # about a thousand without the bounds
