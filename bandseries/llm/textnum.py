@@ -77,15 +77,16 @@ class Hasher:
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = np.concatenate((data, np.zeros(8, np.uint8)))
-        self.eight = np.lib.stride_tricks.sliding_window_view(self.data, 8)
+        self.eight = np.ndarray(len(data) + 1, "<u8", self.data, strides=(1,))  # one from each byte on
 
-    def _read(self, at: np.ndarray) -> np.ndarray:
-        return self.eight[at].view("<u8")[:, 0]
+    def read(self, at: np.ndarray) -> np.ndarray:
+        """The 8 bytes from each place on, zeros after the last, as one number."""
+        return self.eight[at]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         start, n = np.asarray(start, np.int64), np.asarray(end - start, np.int64)
         first = np.minimum(n, 8)
-        out = self._read(start) & MASKS[first]
+        out = self.read(start) & MASKS[first]
         short = n < 8
         out[short] |= n[short].astype(U) << U(56)
         some = np.flatnonzero(~short)
@@ -96,7 +97,7 @@ class Hasher:
             going = np.flatnonzero((n[some] > at) & (n[some] <= LONG))
             while len(going):
                 who = some[going]
-                held[going] = mix(held[going] * U(0xD1342543DE82EF95) ^ (self._read(start[who] + at) & MASKS[np.minimum(n[who] - at, 8)]))
+                held[going] = mix(held[going] * U(0xD1342543DE82EF95) ^ (self.read(start[who] + at) & MASKS[np.minimum(n[who] - at, 8)]))
                 at += 8
                 going = going[n[who] > at]
             out[some] = held

@@ -31,6 +31,9 @@ KINDS = np.zeros(256, np.uint8)
 KINDS[33:127] = MARK
 KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
 KINDS[48:58] = DIGIT
+#: Last bytes of characters that may be white space.
+MAYBE_WHITE = np.arange(256) >= 128
+MAYBE_WHITE[[*range(9, 14), *range(28, 33)]] = True
 #: How many pieces one call of the tokenizer takes as a string.
 RUN = 256
 
@@ -57,10 +60,11 @@ class Encoder:
     """Ids of whole texts, by the tokenizers library; the ids of chunks seen before are looked up.
 
     Chunks are found by hashes and then compared byte by byte: one that has another one's hash is encoded by itself.  At
-    most `held` chunks, of about 60 bytes each, are remembered in a worker process; then the table starts afresh.
+    most `held` chunks, of about 80 bytes each, or 16 times as many ids are remembered in a worker process; then those
+    that were not met again are forgotten, or all if that leaves more than half.
     """
 
-    def __init__(self, path: str, held: int = 600_000) -> None:
+    def __init__(self, path: str, held: int = 300_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,7 +72,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        self.special = [x.content.encode() for x in self.whole.get_added_tokens_decoder().values()]
         self.pieces = ByteLevel(add_prefix_space=False, use_regex=True)
         self.model = self.whole.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,29 +88,69 @@ class Encoder:
         self.all_bytes = all(chr(x) in vocabulary for x in self.bytes.tolist())
         self.held = held
         self.clear()
+        del vocabulary
+        trim()
 
     def clear(self) -> None:
-        self.known, self.number = np.zeros(0, U), np.zeros(0, np.int32)  # sorted hashes, and their chunks' numbers
-        self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
-        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0  # the known chunks' own bytes
-        self.raw_begin, self.raw_length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # in the order of known
+        self.n, self.slots = 0, np.full(1 << 16, -1, np.int32)  # the number of a chunk, at its hash or after; -1: free
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0  # the bytes of chunks of more than 16
+        # By number: hash, place and number of ids, number of bytes, the first and the last 8 of these, place in raw, whether met again.
+        kinds = {"key": U, "begin": np.int32, "length": np.int32, "long": np.int32, "head": U, "tail": U, "place": np.int64, "again": bool}
+        self.of = {name: np.zeros(1 << 14, kind) for name, kind in kinds.items()}
 
     def _store(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Keeps the ids of new chunks; the first one's number."""
         first, n = self.n, self.n + len(lengths)
-        if n > len(self.begin):
-            size = max(n, 2 * len(self.begin))
-            self.begin, self.length = np.resize(self.begin, size), np.resize(self.length, size)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
-        self.length[first:n] = lengths
-        self.begin[first:n] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        if n > len(self.of["key"]):
+            self.of = {name: np.resize(x, max(n, 3 * len(x) // 2)) for name, x in self.of.items()}
+        self.flat, self.used = _added(self.flat, self.used, ids)
+        self.of["length"][first:n] = lengths
+        self.of["begin"][first:n] = self.used - len(ids) + np.cumsum(lengths) - lengths
+        self.of["again"][first:n] = False
         self.n = n
         return first
 
+    def _enter(self, number: np.ndarray) -> None:
+        """Makes chunks, no two of one hash and none of a known one, known by their hashes."""
+        if 3 * self.n > len(self.slots):
+            number = np.concatenate((self.slots[self.slots >= 0], number))
+            self.slots = np.full(1 << int(5 * self.n).bit_length(), -1, np.int32)
+        last = len(self.slots) - 1
+        place = (self.of["key"][number] & U(last)).astype(np.int64)
+        while len(number):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = number[free]
+            left = self.slots[place] != number
+            number, place = number[left], place[left] + 1 & last
+
+    def _found(self, hashed: np.ndarray) -> np.ndarray:
+        """The number of the known chunk of each hash; -1: none."""
+        key, last = self.of["key"], len(self.slots) - 1
+        place = (hashed & U(last)).astype(np.int64)
+        number = self.slots[place]
+        going = np.flatnonzero((number >= 0) & (key[number] != hashed))
+        while len(going):
+            place[going] = place[going] + 1 & last
+            number[going] = now = self.slots[place[going]]
+            going = going[(now >= 0) & (key[now] != hashed[going])]
+        return number
+
+    def _forget(self) -> None:
+        """Leaves the chunks that were met again since they were learnt, or since this was last done."""
+        known = self.slots[self.slots >= 0]
+        old, known = (self.of, self.flat, self.raw), np.sort(known[self.of["again"][known]])
+        self.clear()
+        of, flat, raw = old
+        if not 0 < len(known) <= self.held // 2 or of["length"][known].sum() > 8 * self.held:
+            return
+        number = np.arange(self._store(gather(flat, of["begin"], of["length"], known), of["length"][known]), self.n)
+        for name in ("key", "long", "head", "tail"):
+            self.of[name][number] = of[name][known]
+        far = of["long"][known] > 16
+        self._keep_bytes(number[far], gather(raw, of["place"], of["long"], known[far]))
+        self._enter(number)
+
     def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Encodes the chunks data[start:end] and keeps their ids; their numbers.
 
@@ -146,86 +190,97 @@ class Encoder:
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The numbers of the chunks data[start:end]; unknown ones are learnt."""
-        length = end - start
-        hashed = Hasher(data)(start, end)
-        each, at, which = np.unique(hashed, return_index=True, return_inverse=True)
-        if self.n + len(each) > self.held:
-            self.clear()
-        right = np.ones(len(start), bool)  # chunks of 7 bytes or fewer are told apart by their hashes
-        far = np.flatnonzero((length > 7) & (at[which] != np.arange(len(start))))
-        right[far] = alike((data, start[far], length[far]), (data, start[at[which[far]]], length[at[which[far]]]))
-        place = np.searchsorted(self.known, each)
-        fresh = np.ones(len(each), bool)
-        inside = place < len(self.known)
-        fresh[inside] = self.known[place[inside]] != each[inside]
-        held = np.flatnonzero(~fresh & (length[at] > 7))
-        unlike = np.zeros(len(each), bool)
-        unlike[held] = ~alike((data, start[at[held]], length[at[held]]), (self.raw, self.raw_begin[place[held]], self.raw_length[place[held]]))
-        right &= ~unlike[which]
+        length, hasher = end - start, Hasher(data)
+        hashed = hasher(start, end)
+        number = self._found(hashed)
+        if self.n + int((number < 0).sum()) > self.held or self.used > 16 * self.held:
+            self._forget()
+            number = self._found(hashed)
+        fresh = number < 0
+        self.of["again"][number[~fresh]] = True
+        checked = np.flatnonzero(length > 7)  # chunks of 7 bytes or fewer are told apart by their hashes
         if fresh.any():
-            new = at[fresh]
-            number = self.learn(data, start[new], end[new])
-            size = length[new]
-            self._keep_bytes(gather(data, start, length, new))
-            begin = self.raw_used + np.cumsum(size) - size
-            self.raw_used += int(size.sum())
-            for name, values in (("known", each[fresh]), ("number", number), ("raw_begin", begin), ("raw_length", size)):
-                setattr(self, name, np.insert(getattr(self, name), place[fresh], values))
-            place = np.searchsorted(self.known, each)
-        out = self.number[place][which]
+            unknown = np.flatnonzero(fresh)
+            _, at, which = np.unique(hashed[unknown], return_index=True, return_inverse=True)
+            new = unknown[at]
+            got = self.learn(data, start[new], end[new])
+            of = self.of
+            of["key"][got], of["long"][got] = hashed[new], length[new]
+            some = np.flatnonzero(length[new] > 7)
+            of["head"][got[some]], of["tail"][got[some]] = hasher.read(start[new[some]]), hasher.read(end[new[some]] - 8)
+            far = new[length[new] > 16]
+            self._keep_bytes(got[length[new] > 16], gather(data, start, length, far))
+            self._enter(got)
+            number[unknown] = got[which]
+            fresh[:] = False
+            fresh[new] = True  # these are themselves
+            of["again"][number[unknown[~fresh[unknown]]]] = True
+            checked = checked[~fresh[checked]]
+        of, known = self.of, number[checked]
+        right = (of["long"][known] == length[checked]) & (of["head"][known] == hasher.read(start[checked])) & (of["tail"][known] == hasher.read(end[checked] - 8))
+        far = np.flatnonzero(right & (length[checked] > 16))
+        right[far] = alike((data, start[checked[far]], length[checked[far]]), (self.raw, of["place"][known[far]], of["long"][known[far]]))
         if not right.all():
-            out[~right] = self.learn(data, start[~right], end[~right])
-        return out
+            wrong = checked[~right]
+            number[wrong] = self.learn(data, start[wrong], end[wrong])
+        return number
 
     def _texts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
         return [bytes(data[a:z]).decode() for a, z in zip(start.tolist(), end.tolist(), strict=True)]
 
-    def _keep_bytes(self, new: np.ndarray) -> None:
-        if self.raw_used + len(new) > len(self.raw):
-            self.raw = np.resize(self.raw, max(2 * len(self.raw), self.raw_used + len(new)))
-        self.raw[self.raw_used : self.raw_used + len(new)] = new
+    def _keep_bytes(self, number: np.ndarray, new: np.ndarray) -> None:
+        size = self.of["long"][number]
+        self.of["place"][number] = self.raw_used + np.cumsum(size) - size
+        self.raw, self.raw_used = _added(self.raw, self.raw_used, new)
 
     def encode(self, text: str) -> np.ndarray:
         return next(ids for _, ids in self.encoded(pa.RecordBatch.from_pydict({"doc_id": [0], "text": [text]})))
 
-    def _cuts(self, text: str) -> list[int] | None:
-        """Where the chunks of a text start, in bytes, if white space is doubled in it; None: at each space and line end."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or text[:1] in " \n":
-            return [0, *accumulate(len(c.encode()) for c in CHUNK.findall(text))][:-1]
-        return None
+    def _cuts(self, text: str) -> list[int]:
+        """Where the chunks of a text start, in bytes."""
+        return [0, *accumulate(len(c.encode()) for c in CHUNK.findall(text))][:-1]
 
     def encoded(self, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of each row (doc_id, text); null is an empty text."""
         for block in blocks(batch["text"]):
             docs = batch["doc_id"].slice(block.first, block.last - block.first).to_pylist()
-            at = block.at.tolist()
-            raw = block.data.tobytes()
-            texts = [raw[a:z].decode() for a, z in zip(at, at[1:])]
-            whole = {k for k, t in enumerate(texts) if any(x in t for x in self.special)}
-            inner = changes(block.data)
-            cut = (block.data == 32) | (block.data == 10) | inner
-            cut[block.at[:-1][np.diff(block.at) > 0]] = True
-            for k, text in enumerate(texts):
-                if k in whole:  # encoded by itself: one chunk here, which isn't used
-                    cut[at[k] + 1 : at[k + 1]] = False
-                elif (starts := self._cuts(text)) is not None:
-                    cut[at[k] : at[k + 1]] = inner[at[k] : at[k + 1]]
-                    cut[at[k] + np.asarray(starts, np.int64)] = True
+            at, data = block.at, block.data
+            raw = data.tobytes()
+            text = lambda k: raw[at[k] : at[k + 1]]  # noqa: B023, E731
+            special = [x for x in self.special if x in raw]
+            whole = {k for k in range(len(docs)) if any(x in text(k) for x in special)} if special else set()
+            inner, white = changes(data), (data == 32) | (data == 10)
+            cut = white | inner
+            full = np.flatnonzero(np.diff(at))
+            cut[at[full]] = True
+            # A space or line end is a chunk's start, save where white space is doubled or at the ends of a text.
+            odd = np.searchsorted(at, np.flatnonzero(white[1:] & white[:-1]) + 1, "right") - 1
+            odd = np.union1d(odd, full[white[at[full]] | MAYBE_WHITE[data[at[full + 1] - 1]]])
+            for k in odd.tolist():
+                cut[at[k] : at[k + 1]] = inner[at[k] : at[k + 1]]
+                cut[at[k] + np.asarray(self._cuts(text(k).decode()), np.int64)] = True
             if whole:
-                data = block.data.copy()
-                for k in whole:
+                data = data.copy()
+                for k in whole:  # encoded by itself: one chunk here, which isn't used
                     data[at[k] : at[k + 1]] = 32
                     cut[at[k] : at[k + 1]] = False
                     cut[at[k]] = True
-            else:
-                data = block.data
             start = np.flatnonzero(cut)
             number = self.numbers(data, start, np.append(start[1:], len(data))) if len(start) else start
-            ids = gather(self.flat, self.begin, self.length, number)
-            ends = np.concatenate(([0], np.cumsum(self.length[number], dtype=np.int64)))[np.searchsorted(start, block.at)]
+            length = self.of["length"]
+            ids = gather(self.flat, self.of["begin"], length, number)
+            ends = np.concatenate(([0], np.cumsum(length[number], dtype=np.int64)))[np.searchsorted(start, at)].tolist()
             for k, doc in enumerate(docs):
                 own = ids[ends[k] : ends[k + 1]]
-                yield doc, np.asarray(self.whole.encode(texts[k], add_special_tokens=False).ids, np.uint32) if k in whole else own
+                yield doc, np.asarray(self.whole.encode(text(k).decode(), add_special_tokens=False).ids, np.uint32) if k in whole else own
+
+
+def _added(held: np.ndarray, used: int, new: np.ndarray) -> tuple[np.ndarray, int]:
+    """held[:used] and new after it, in an array with room for more."""
+    if used + len(new) > len(held):
+        held = np.resize(held, max(3 * len(held) // 2, used + len(new)))
+    held[used : used + len(new)] = new
+    return held, used + len(new)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -242,6 +297,10 @@ def encoder(path: str) -> Encoder:
 PART = 1 << 18
 
 
+def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+
+
 def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int = 4096, first: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): each round replaces the most frequent pairs of neighbours by new nonterminals.
 
@@ -254,11 +313,11 @@ def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int =
     if len(ids) and int(ids.max()) >= first:
         raise ValueError(f"id {int(ids.max())}: nonterminals start at {first}")
     seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
+    del ids
     symbols = first
     for turn in range(rounds):
         if len(seq) < 2 * least:
             break
-        ends = np.flatnonzero(seq == END)
         left, right = np.uint32(0x9E3779B1 + 2 * turn * 0x632BE59B & 0xFFFFFFFF), np.uint32(0x85EBCA77 + 2 * turn * 0x27D4EB2F & 0xFFFFFFFF)
         slot = np.empty(len(seq) - 1, np.int32)
         parts = [slice(lo, lo + PART) for lo in range(0, len(slot), PART)]
@@ -268,53 +327,66 @@ def re_pair(ids: np.ndarray, least: int = 16, rounds: int = 10, per_round: int =
             x += seq[1:][part] * right
             x *= np.uint32(0xC2B2AE3D)
             slot[part] = x >> np.uint32(12)
-        rough = np.bincount(slot, minlength=1 << 20)
+        rough = np.zeros(1 << 20, np.int32)
+        for lo in range(0, len(slot), 4 * PART):
+            rough += np.bincount(slot[lo : lo + 4 * PART], minlength=1 << 20)
         often = rough[rough >= least]
         cut = int(np.partition(often, -per_round)[-per_round]) if len(often) > per_round else least
+        wanted = rough >= cut  # few of the slots; pairs are numbered in their order from here on
+        none = int(wanted.sum())
+        rank = rough
+        rank[wanted] = np.arange(none)
+        del rough, often
         dead = np.zeros(len(seq) + 1, bool)
+        ends = np.flatnonzero(seq == END)
         dead[ends], dead[ends - 1] = True, True  # entry -1 stands for the place before the first
-        wanted, held, found = rough >= cut, np.zeros(1 << 20, np.uint64), []
+        held, found = np.zeros(none, np.uint64), []
         for part in parts:
-            at = np.flatnonzero(wanted[slot[part]] & ~dead[:-2][part]) + part.start
-            pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-            held[slot[at]] = pair
-            found.append((at.astype(np.int32), slot[at], pair))
-        if not any(len(at) for at, _, _ in found):
+            at = np.flatnonzero(wanted[slot[part]] > dead[:-2][part]) + part.start
+            own = rank[slot[at]]
+            held[own] = _pairs(seq, at)
+            found.append((at.astype(np.int32), own))
+        del slot, wanted, dead, rank, at, own
+        for k, (at, own) in enumerate(found):
+            same = np.flatnonzero(held[own] == _pairs(seq, at))
+            found[k] = at[same], own[same]
+        if not any(len(at) for at, _ in found):
             break
-        same = [held[own] == pair for _, own, pair in found]
-        some = np.concatenate([at[x] for x, (at, _, _) in zip(same, found, strict=True)])
-        mine = np.concatenate([own[x] for x, (_, own, _) in zip(same, found, strict=True)])
-        del slot, rough, wanted, dead, found, same, pair, at
-        count = np.bincount(mine, minlength=1 << 20)
+        count = np.bincount(np.concatenate([own for _, own in found]), minlength=none)
         top = np.flatnonzero(count >= least)
         top = top[np.argsort(-count[top], kind="stable")[:per_round]]
         if not len(top):
             break
-        none = len(top)
-        rank = np.full(1 << 20, none, np.int32)
-        rank[top] = np.arange(none)
+        rank = np.full(none, len(top), np.int32)
+        rank[top] = np.arange(len(top))
+        none, pairs = len(top), held[top]
         order = np.full(len(seq) + 1, none, np.int32)  # order[i + 1]: rank of the pair at i; nothing at both ends
-        order[some + 1] = rank[mine]
-        del some, mine
+        for at, own in found:
+            order[at + 1] = rank[own]
+        del found, at, own
         here = order[1:-1]
-        at = np.flatnonzero(here < none)
+        at = np.flatnonzero(here < none).astype(np.int32)
         run = np.ones(len(at), bool)  # starts of runs of one pair, which are runs of one symbol
         run[1:] = (at[1:] != at[:-1] + 1) | (here[at[1:]] != here[at[:-1]])
         begin = np.flatnonzero(run).astype(np.int32)
         place = np.arange(len(at), dtype=np.int32)
         place -= np.repeat(begin, np.diff(np.append(begin, len(at))))
         here[at[place & 1 == 1]] = none
+        del run, begin, place
         mid = order[at + 1]
         take = at[(mid < none) & (mid < order[at]) & (mid < order[at + 2])]
         if not len(take):
             break
-        used, which = np.unique(here[take], return_inverse=True)
-        seq[take] = (symbols + which).astype(np.uint32)
+        taken = here[take]
+        del order, here, mid, at
+        present = np.zeros(none, bool)
+        present[taken] = True
+        used = np.flatnonzero(present)
+        seq[take] = (symbols - 1 + np.cumsum(present)).astype(np.uint32)[taken]
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
-        del order, here, mid, at, run, place
-        seq = seq[keep]
-        chosen = held[top[used]]
+        seq = seq[np.flatnonzero(keep)]
+        chosen = pairs[used]
         rules.append(np.stack(((chosen >> np.uint64(32)), chosen & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         symbols += len(used)
     return seq, np.concatenate(rules)
@@ -341,23 +413,31 @@ def _expand(symbols: np.ndarray, rules: np.ndarray, first: int = 1 << 16) -> np.
 
 def decode(sequence: np.ndarray, rules: np.ndarray, length: np.ndarray, start: int = 0, stop: int | None = None, first: int = 1 << 16) -> np.ndarray:
     """The ids [start, stop) of a shard: only symbols that reach into the range are expanded."""
-    rule = np.maximum(sequence, first).astype(np.int64) - first
-    n = np.where(sequence >= first, length[rule], 1) if len(length) else np.ones(len(sequence), np.int64)
-    ends = np.cumsum(n)
+    n, big = np.ones(len(sequence), np.int32), sequence >= first
+    n[big] = length[sequence[big] - first]
+    ends = np.cumsum(n, dtype=np.int64)
     stop = int(ends[-1]) if stop is None and len(ends) else (stop or 0)
     if start >= stop:
         return np.zeros(0, np.uint32)
     lo, hi = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop - 1, "right")) + 1
     before = int(ends[lo - 1]) if lo else 0
-    some, rule = sequence[lo:hi], rule[lo:hi]
-    used, rule = np.unique(rule[some >= first], return_inverse=True)
-    # Each rule in use is expanded once; the sequence then takes its runs from these and from its own plain ids.
-    flat = np.concatenate((_expand((used + first).astype(np.uint32), rules, first), some[some < first]))
-    runs = np.concatenate((length[used], np.ones(int((some < first).sum()), np.int64)))
-    number = np.empty(len(some), np.int64)
-    number[some >= first] = rule
-    number[some < first] = len(used) + np.arange(int((some < first).sum()))
-    return gather(flat, np.cumsum(runs) - runs, runs, number)[start - before : stop - before]
+    # Each rule in use is expanded once; the sequence then takes its runs from these, part by part.
+    used = np.zeros(len(rules), bool)
+    used[sequence[lo:hi][big[lo:hi]] - first] = True
+    used = np.flatnonzero(used)
+    flat, begin = _expand((used + first).astype(np.uint32), rules, first), np.zeros(len(rules), np.int64)
+    begin[used] = np.cumsum(length[used]) - length[used]
+    out = np.empty(int(ends[hi - 1]) - before, np.uint32)
+    done = 0
+    for k in range(lo, hi, PART // 4):
+        part = slice(k, min(hi, k + PART // 4))
+        symbols, ruled = sequence[part], big[part]
+        own = np.repeat(ruled, n[part])
+        ids = out[done : done + len(own)]
+        ids[own] = gather(flat, begin, length, symbols[ruled] - first)
+        ids[~own] = symbols[~ruled]
+        done += len(own)
+    return out[start - before : stop - before]
 
 
 SHARDS = (
@@ -371,22 +451,23 @@ _SHARD_TYPES = pa.schema(
 
 def _pack(path: str, shard_ids: int):
     def pack(shard: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(ids)
-        seq, rules = re_pair(flat)
+        lengths, flat = [len(x) + 1 for x in ids[::2]], [np.concatenate(ids)]  # END follows each document
+        ids.clear()
+        seq, rules = re_pair(flat.pop())
         row = {
-            "shard": shard, "n_docs": len(docs), "n_ids": len(flat), "doc_ids": docs, "doc_lengths": [len(x) for x in ids],
+            "shard": shard, "n_docs": len(docs), "n_ids": sum(lengths), "doc_ids": docs, "doc_lengths": lengths,
             "rules": rules.astype("<u4").tobytes(), "expansion_lengths": expansions(rules).astype("<u4").tobytes(), "sequence": seq.astype("<u4").tobytes(),
         }
         return pa.RecordBatch.from_pylist([row], _SHARD_TYPES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32  # ranges and their tasks are in one order
-        coder, docs, ids, held = encoder(path), [], [], 0
+        coder, docs, ids, held, end = encoder(path), [], [], 0, np.full(1, END, np.uint32)
         for b in batches:
             for doc, own in coder.encoded(b):
                 docs.append(doc)
-                ids.append(np.append(own, np.uint32(END)))
-                held += len(ids[-1])
+                ids += own, end
+                held += len(own) + 1
                 if held >= shard_ids:
                     yield pack(shard, docs, ids)
                     shard, docs, ids, held = shard + 1, [], [], 0
@@ -416,7 +497,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(b.num_rows):
             row = b.slice(i, 1)
             whole = lambda k: np.frombuffer(row[k][0].as_buffer(), "<u4")  # noqa: B023, E731
-            ids = decode(whole("sequence"), whole("rules").reshape(-1, 2), whole("expansion_lengths").astype(np.int64)).astype("<u4")
+            ids = decode(whole("sequence"), whole("rules").reshape(-1, 2), whole("expansion_lengths").astype(np.int64)).astype("<u4", copy=False)
             n = np.asarray(row["doc_lengths"][0].values)
             ends = np.cumsum(n, dtype=np.int64)
             crc = [zlib.crc32(ids[z - k : z].tobytes()) for z, k in zip(ends.tolist(), n.tolist(), strict=True)]

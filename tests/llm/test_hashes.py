@@ -129,3 +129,37 @@ def test_grammar_takes_a_bounded_number_of_bytes_an_id():
         tracemalloc.stop()
     assert (tokens.decode(seq, rules, tokens.expansions(rules)) == ids).all()
     assert peak < 76 * len(ids)
+
+
+def test_chunks_met_again_outlast_a_full_table(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder, learnt = Tokenizer.from_file(path), tokens.Encoder(path, held=200), []
+    learn = coder.learn
+    monkeypatch.setattr(coder, "learn", lambda data, start, end: learnt.append(len(start)) or learn(data, start, end))
+    letters = "abcdefghij"
+    for turn in range(40):
+        words = [f"common{letters[k % 10]}{letters[k // 10]}ofallthetexts" for k in range(20)]
+        words += [f"new{letters[k % 10]}{letters[k // 10]}in{letters[turn % 10]}{letters[turn // 10]}" for k in range(30)]
+        text = " ".join(["x", *words])
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert coder.n <= 200
+    assert sum(learnt) == 1 + 20 + 40 * 30
+
+
+def test_decoding_takes_a_bounded_number_of_bytes_an_id():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 1 << 20), 40_000).astype(np.uint32)
+    seq, rules = tokens.re_pair(ids)
+    length = tokens.expansions(rules)
+    tracemalloc.start()
+    try:
+        got = tokens.decode(seq, rules, length)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (got == ids).all()
+    assert peak < 24 * len(ids)
